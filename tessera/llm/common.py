@@ -28,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 32) -> None:
+    """Let Arrow batches end at a size as well as at a number of rows, so that
+    very long texts don't add up in a Python worker.  A value that the session
+    was given is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b") or 0) in (-1, 0, 2147483647, 9223372036854775807):
+        spark.conf.set(key, str(megabytes << 20))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage so that
     a lost executor costs a re-read, not a recomputation."""

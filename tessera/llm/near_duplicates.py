@@ -14,16 +14,17 @@ How the join finds its pairs
    shingles use each shingle as a key and cannot miss.  A key needs several
    shingles in common and no others there, so a passage that many documents
    share makes no hot key of all of its holders.
-2. *Pivots.*  Under one key, all members are paired with the least member
-   alone (a star, not all pairs).  Copies are one set and one member.
-3. *Count-vector R-tree.*  Members of a key that did not link to the pivot are
-   searched against the key's members by an R-tree packed over the vectors of
-   group counts: a pair's overlap is at most the sum of coordinate minima, a
-   box's at most the minima with its upper corner.  This is exact within the
-   key: no pair that could reach the threshold is skipped, and a part already
-   known to be one component is not searched again.
-4. *Verification.*  Surviving pairs, from 2 and 3, are bounded by the minima
-   once more and then intersected exactly.
+2. *Pivots.*  Under one key, all members are paired with one of them alone (a
+   star, not all pairs): the member that meets others under the most keys,
+   which of a text and its edited copies is the text.  Exact copies are one
+   set and one member.
+3. *Count-vector R-tree.*  Keys whose members are not yet one component are
+   blocks.  Members outside the block's largest component are searched against
+   all members by an R-tree packed over the vectors of group counts: a pair's
+   overlap is at most the sum of coordinate minima, a box's at most the minima
+   with its upper corner.  This is exact within the key: no pair that could
+   reach the threshold is skipped unless it is known to be one component.
+4. *Verification.*  Pairs of 2 and 3 that pass the bound are intersected exactly.
 
 Sets are named by 64-bit hashes of their content; exact copies share the name.
 """
@@ -40,13 +41,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import bounded_batches, staged
 from tessera.llm.shingles import U, mix, pieces, shingle_sets, sums
 
 #: Similarity as a fraction: 100 * shared >= 80 * united.
 NUM, DEN = 80, 100
-#: Keys of a set at most, coordinates of a count vector, points of an R-tree and of a leaf.
-KEYS, DIMS, TREE, LEAF = 64, 32, 2048, 16
+#: Keys of a set at most; points and shingles of an R-tree, points of a leaf.
+KEYS, TREE, TREE_SHINGLES, LEAF = 64, 2048, 2_000_000, 16
 #: Mean shingles in a group at the upper end of a size class.
 LOAD = 3.9
 #: 64-bit words of the filter that spares unpaired sets the second pass.
@@ -90,11 +91,16 @@ def group_keys(s: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def counts(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The vector of group counts of each set."""
+def dims(n: int) -> int:
+    """Coordinates for sets of about ``n`` shingles: a power of two near n / 2."""
+    return 1 << min(12, max(5, int(n).bit_length() - 2))
+
+
+def counts(s: np.ndarray, offs: np.ndarray, d: int) -> np.ndarray:
+    """The vector of ``d`` group counts of each set."""
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    cell = row * DIMS + (mix(s) >> U(59)).astype(np.int64)
-    return np.bincount(cell, minlength=(len(offs) - 1) * DIMS).reshape(-1, DIMS).astype(np.int32)
+    cell = row * d + (mix(s) >> U(65 - d.bit_length())).astype(np.int64)
+    return np.bincount(cell, minlength=(len(offs) - 1) * d).reshape(-1, d).astype(np.int32)
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,22 +145,30 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(to[out]), pa.array(node[out])], ["key", "pivot", "node"])
 
 
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    lengths = col.value_lengths().to_numpy(zero_copy_only=False)
+    return col.flatten().to_numpy(zero_copy_only=False).view(U), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Exact verification of two sorted sets."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # two sorted runs merge in linear time
+    return bool(enough(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both sets in, links out: minima of counts first, then the intersection."""
     for batch in batches:
         a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        sets = []
-        for i in (2, 3):
-            col = batch.column(i)
-            flat, offs = col.flatten().to_numpy(zero_copy_only=False).view(U), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-            sets.append((flat, offs, counts(flat, offs), np.diff(offs)))
-        (fa, oa, ca, na), (fb, ob, cb, nb) = sets
-        may = enough(np.minimum(ca, cb).sum(1), na, nb)
+        (fa, oa), (fb, ob) = _flat(batch.column(2)), _flat(batch.column(3))
         ok = np.zeros(len(a), bool)
-        for i in np.flatnonzero(may).tolist():
-            both = np.concatenate([fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]]])
-            both.sort(kind="stable")  # two sorted runs merge in linear time
-            ok[i] = enough(int((both[1:] == both[:-1]).sum()), int(na[i]), int(nb[i]))
+        for i in range(len(a)):
+            x, y = fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]]
+            if enough(min(len(x), len(y)), len(x), len(y)):
+                d = dims(len(x))
+                u, v = (counts(z, np.array([0, len(z)]), d)[0] for z in (x, y))
+                ok[i] = enough(int(np.minimum(u, v).sum()), len(x), len(y)) and _linked(x, y)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ok)], ["a", "b", "ok"])
 
 
@@ -189,26 +203,32 @@ class CountTree:
 
 
 def _searched(block: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of a block: its queries against an R-tree over its members.
+    """Links of a block: its queries against an R-tree over its members.
 
-    ``query``: rows that did not link to the pivot; ``label``: the component
-    known so far.  Pairs of one component are left out.
+    ``label`` is the component known so far.  Pairs of one component are left
+    out, and links found here join components at once, so what is returned is
+    at most one link less than there are members.
     """
-    points, sizes = np.stack(block["counts"].to_numpy()).astype(np.int32), block["n"].to_numpy()
-    nodes, labels, queries, tile = block["node"].to_numpy(), block["label"].to_numpy(), block["query"].to_numpy(), block["indexed"].to_numpy()
-    index = np.flatnonzero(tile)
+    n = block["shingles"].map(len).to_numpy()
+    offs = np.concatenate([[0], np.cumsum(n)])
+    flat = np.concatenate(block["shingles"].to_numpy()).view(U)
+    points = counts(flat, offs, dims(int(np.median(n))))
+    nodes, queries, indexed = block["node"].to_numpy(), block["query"].to_numpy(), block["indexed"].to_numpy()
+    group = np.unique(block["label"].to_numpy(), return_inverse=True)[1]
+    index = np.flatnonzero(indexed)
     out: list[tuple[int, int]] = []
     if len(index):
-        tree = CountTree(points[index], sizes[index])
+        tree = CountTree(points[index], n[index])
         for i in np.flatnonzero(queries).tolist():
-            hit = index[tree.search(points[i], int(sizes[i]))]
-            hit = hit[(labels[hit] != labels[i]) & (nodes[hit] != nodes[i])]
-            out += [(min(nodes[i], x), max(nodes[i], x)) for x in nodes[hit].tolist()]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+            for j in index[tree.search(points[i], int(n[i]))].tolist():
+                if group[i] != group[j] and _linked(flat[offs[i] : offs[i + 1]], flat[offs[j] : offs[j + 1]]):
+                    out.append((nodes[i], nodes[j]))
+                    group[group == group[j]] = group[i]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def _filtered(words: dict[int, int]):
-    """The second pass: (node, n, counts, set) of sets whose name is in the filter."""
+    """The second pass: (node, shingles) of sets whose name is in the filter."""
     bits = np.zeros(FILTER_WORDS, np.int64)
     bits[list(words)] = list(words.values())
 
@@ -224,18 +244,9 @@ def _filtered(words: dict[int, int]):
                 rows = rows[np.unique(node[rows], return_index=True)[1]]
                 if not len(rows):
                     continue
-                vectors = counts(s, at)[rows]
                 flat = np.concatenate([s[at[r] : at[r + 1]] for r in rows.tolist()]).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(node[rows]),
-                        pa.array(n[rows].astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, DIMS, dtype=np.int32)), pa.array(vectors.ravel())),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                    ],
-                    ["node", "n", "counts", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
 
     return run
 
@@ -270,18 +281,19 @@ def components(links: DataFrame) -> DataFrame:
             break
         then = now
         edges = after
+    # stars now: every node has one edge to the least of its component
     return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, counts, shingles) of the given nodes, one row each.
+    """(node, shingles) of the given nodes, one row each.
 
     A filter of fixed size, made of their names, goes to the executors: a set
     that passes by chance costs some shuffle and is dropped by the join.
     """
     words = nodes.mapInArrow(_slots, "word int, bit int").distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()  # at most FILTER_WORDS rows
-    found = texts.mapInArrow(_filtered({r["word"]: r["bits"] for r in words}), "node long, n long, counts array<int>, shingles array<long>")
-    return staged(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("shingles").alias("shingles")), "sets")
+    found = texts.mapInArrow(_filtered({r["word"]: r["bits"] for r in words}), "node long, shingles array<long>")
+    return staged(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,43 +322,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their rows; an id with several texts joins their components only if the
     texts link.  Empty tables give no rows; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select("text")
     stars = texts.mapInArrow(_stars, "route long, key long, pivot long, node long")
-    paired = staged(stars.repartition("route").sortWithinPartitions("route", "key", "node").mapInArrow(_chain, "key long, pivot long, node long"), "pairs")
-    pairs = paired.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    nodes = paired.select("node").union(paired.select("pivot")).distinct()
-    sets = _sets_of(texts, nodes)
-    checked = staged(_links(pairs, sets), "links")
-    links = checked.where("ok").select("a", "b")
-    label = staged(components(links), "labels")
-
-    # keys whose members are not yet one component: those outside the component
-    # of the key's least member are searched (of two in different components one is)
-    known = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    marked = known(known(paired, "pivot"), "node")
-    open_keys = marked.where("pivot_label <> node_label").select("key").distinct()
-    rows = marked.join(open_keys, "key", "left_semi")
-    members = rows.select("key", "node", F.col("node_label").alias("label")).unionByName(rows.select("key", F.col("pivot").alias("node"), F.col("pivot_label").alias("label"))).distinct()
-    main = members.groupBy("key").agg(F.min_by("label", "node").alias("main"))
-    members = staged(members.join(main, "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("query")), "members")
-    # the same members under several keys are one block
-    block = members.groupBy("key").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node, query))").alias("x"), F.expr("bit_xor(xxhash64(query, node, 7))").alias("y")).groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TREE).cast("int").alias("tiles"))
-    blocks = members.join(block, "key").join(sets.select("node", "n", "counts"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # tiles bound a task: each tile of members is an R-tree, met by each tile of queries
+    paired = stars.repartition("route").sortWithinPartitions("route", "key", "node").mapInArrow(_chain, "key long, pivot long, node long")
+    ends = F.explode(F.array("pivot", "node")).alias("node")
+    members = staged(paired.select("key", ends).distinct(), "members")
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    pivots = members.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"))
+    pairs = members.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    sets = _sets_of(texts, members.select("node").distinct())
+    links = staged(_links(pairs, sets).where("ok").select("a", "b"), "links")
+    label = components(links)
+
+    # keys whose members are not yet one component are blocks of the R-tree search
+    marked = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main")).where("parts > 1")
+    marked = staged(marked.join(open_keys, "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("query")), "blocks")
+    size = sets.select("node", F.size("shingles").cast("long").alias("n"))
+    # the same members under several keys are one block; tiles bound what a task holds
+    block = (
+        marked.join(size, "node")
+        .groupBy("key")
+        .agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.expr("bit_xor(xxhash64(node, query))").alias("x"), F.expr("bit_xor(xxhash64(query, node, 7))").alias("y"))
+        .groupBy("m", "s", "x", "y")
+        .agg(F.min("key").alias("key"))
+        .select("key", F.ceil(F.greatest(F.col("m") / TREE, F.col("s") / TREE_SHINGLES)).cast("int").alias("tiles"))
+    )
+    tiled = marked.join(block, "key").join(sets, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # each tile of members is an R-tree and meets each tile of queries
     sides = F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.col("tiles") - 1),
             lambda t: F.array(
-                F.struct(F.col("tile").alias("i"), t.alias("q"), F.lit(True).alias("indexed"), F.lit(False).alias("query")),
-                F.struct(t.alias("i"), F.col("tile").alias("q"), F.lit(False).alias("indexed"), F.col("query").alias("query")),
+                F.struct(F.col("tile").alias("i"), t.alias("q"), F.lit(True).alias("indexed"), (F.col("query") & (F.col("tile") == t)).alias("query")),
+                F.struct(t.alias("i"), F.col("tile").alias("q"), F.lit(False).alias("indexed"), (F.col("query") & (F.col("tile") != t)).alias("query")),
             ),
         )
     )
-    dealt = blocks.select("key", "node", "n", "counts", "label", F.explode(sides).alias("s")).where("s.indexed or s.query").select("key", "s.i", "s.q", "node", "n", "counts", "label", "s.indexed", "s.query")
-    more = dealt.groupBy("key", "i", "q").applyInPandas(_searched, "a long, b long").distinct()
-    more = more.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found = staged(_links(more, sets).where("ok").select("a", "b"), "links")
-    label = staged(components(links.unionByName(found)), "labels") if not found.isEmpty() else label
+    dealt = tiled.select("key", "node", "label", "shingles", F.explode(sides).alias("s")).where("s.indexed or s.query").select("key", "s.i", "s.q", "node", "label", "shingles", "s.indexed", "s.query")
+    found = staged(dealt.groupBy("key", "i", "q").applyInPandas(_searched, "a long, b long"), "links")
+    if not found.isEmpty():
+        label = components(links.unionByName(found))
 
     named = docs.select("doc_id", "text").mapInArrow(_named, docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n_shingles long, node long")
     firsts = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -3,30 +3,82 @@ parameters, to its whole table and returns the contract's columns."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import shared_dir
+from tessera.llm.decontamination import contaminated
+from tessera.llm.html_text import extract
+from tessera.llm.language import held_out, identify, learn
+from tessera.llm.mixing import mix_to_weights
 from tessera.llm.near_duplicates import near_duplicates
+from tessera.llm.pii import find_pii
+from tessera.llm.quality import quality
 from tessera.llm.sharding import shard_by_bytes
+from tessera.llm.warc import read_warc, write_warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_to_weights(read(spark, sf_dir, "documents"), F.array("source"))
+    return mixed.select("doc_id", "size", F.col("source_size")[0].alias("source_size"), F.col("target")[0].alias("target"), "taken")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(read(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out).where("intact").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_jaccard_join, op9_sharding)
+    f.__name__: f for f in (
+        op1_quality_rules,
+        op2_pii,
+        op3_jaccard_join,
+        op5_decontamination,
+        op6_language_id,
+        op7_html_extraction,
+        op8_mixing,
+        op9_sharding,
+        op10_warc,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
