@@ -69,16 +69,19 @@ def positions(text: Column, pattern: str) -> Column:
     return let(both, placed)
 
 
+def _spans_of(hits: Column, kind: str, rank: int) -> Column:
+    good = F.filter(hits, lambda x: _valid(kind, x["match"]))
+    return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.length(x["match"])).alias("end")))
+
+
 def _spans(text: Column) -> Column:
     """Base spans as array<struct<start, rank, end>>, sorted."""
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     lists = []
     for rank, kind in enumerate(KINDS):
         needs, pattern = PATTERNS[kind]
-        test = F.contains(text, F.lit("@")) if kind == "email" else (F.contains(text, F.lit("+")) & text.rlike(needs)) if kind == "phone" else text.rlike(needs)
-        hits = F.filter(positions(text, pattern), lambda x, kind=kind: _valid(kind, x["match"]))
-        spans = F.transform(hits, lambda x, rank=rank: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.length(x["match"])).alias("end")))
-        lists.append(F.when(test, spans).otherwise(none))
+        first = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, F.lit(True))
+        lists.append(F.when(first & text.rlike(needs), _spans_of(positions(text, pattern), kind, rank)).otherwise(none))
     return F.array_sort(F.concat(*lists))
 
 
