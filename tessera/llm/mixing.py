@@ -119,63 +119,90 @@ def cycle_weights(sources: list, cycle: tuple[int, ...] = (1, 2, 3)) -> dict:
     return {s: cycle[i % len(cycle)] for i, s in enumerate(ordered)}
 
 
-def mix_to_weights(docs: DataFrame, membership: Column, weights=cycle_weights, seed: int = 17) -> DataFrame:
-    """Take documents so that the sources' tokens come near their targets.
+def _pattern_key(pattern: Column) -> Column:
+    """A pattern as text that tells null from every name; arrays don't join on nulls."""
+    return F.to_json(F.struct(F.transform(pattern, lambda s: F.struct(s.isNull().alias("n"), F.coalesce(s.cast("string"), F.lit("")).alias("s"))).alias("p")))
 
-    ``membership`` is each document's array of sources, ``weights`` maps the
-    list of sources to a weight each.  A source's size is the tokens of all
-    documents that it holds, and the targets share the tokens of all documents.
-    Returns doc_id, size, pattern, source_size and target (both by source of
-    the pattern, as maps would not compare: arrays in pattern order), taken.
 
-    Null text has size 0 and is never taken; a null source is a source of its
-    own; rows that repeat an id and text are taken alike, each counted.  Ties
-    of the seeded order are ties of id and size, so reruns agree.  An empty
-    table gives no rows; other columns are not read.
-    """
-    sized = docs.select("doc_id", n_words(F.col("text")).alias("size"), F.array_sort(F.array_distinct(membership)).alias("pattern"))
-    sized = staged(sized.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id")), "sizes")  # the texts are read once
-    rows = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+def _placed(docs: DataFrame, membership: Column, seed: int) -> DataFrame:
+    """Adds pattern, its key __p, and the seeded order: cell __cell, then __h, then doc_id."""
+    marked = docs.withColumn("__pattern", F.array_sort(F.array_distinct(membership)))
+    return marked.withColumns({"__p": _pattern_key(F.col("__pattern")), "__h": F.xxhash64(F.lit(seed), "doc_id")}).withColumn("__cell", F.pmod("__h", F.lit(CELLS)).cast("int"))
+
+
+def _rules(sized: DataFrame, weights) -> DataFrame:
+    """One row for each pattern: what the flow takes of it, and where it cuts the seeded order."""
+    rows = sized.groupBy("__pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns = sorted(((tuple(r["pattern"]), r["size"]) for r in rows), key=lambda p: [(s is None, s or "") for s in p[0]])
-    sources = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
+    name = lambda s: (s is None, s or "")
+    patterns = sorted(((tuple(r["__pattern"]), r["size"]) for r in rows), key=lambda p: [name(s) for s in p[0]])
+    sources = sorted({s for p, _ in patterns for s in p}, key=name)
     sizes = {s: sum(n for p, n in patterns if s in p) for s in sources}
     weight = weights(sources)
-    total = sum(n for _, n in patterns)
-    held = sum(sizes.values())
+    total, held = sum(n for _, n in patterns), sum(sizes.values())
     shares = fill_targets([sizes[s] for s in sources], [weight[s] for s in sources])
     targets = {s: x * (total / held if held != total else 1) for s, x in zip(sources, shares, strict=True)}
     flows = route_tokens(patterns, {s: int(targets[s]) for s in sources})
-    spark, kind = docs.sparkSession, sized.schema["pattern"].dataType
     schema = T.StructType(
-        [T.StructField("pattern", kind), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType()), T.StructField("source_size", T.ArrayType(T.LongType())), T.StructField("target", T.ArrayType(T.DoubleType()))]
-    )
-    plan = spark.createDataFrame(
         [
-            (list(p), (x := sum(f.values())) // n if n else 0, x % n if n else 0, [sizes[s] for s in p], [targets[s] for s in p])
-            for (p, n), f in zip(patterns, flows, strict=True)
-        ],
-        schema,
+            T.StructField("__pattern", sized.schema["__pattern"].dataType),
+            T.StructField("whole", T.LongType()),
+            T.StructField("rest", T.LongType()),
+            T.StructField("source_size", T.ArrayType(T.LongType())),
+            T.StructField("target", T.ArrayType(T.DoubleType())),
+        ]
     )
-    key = F.to_json(F.struct(F.transform("pattern", lambda s: F.struct(s.isNull().alias("n"), F.coalesce(s.cast("string"), F.lit("")).alias("s"))).alias("p")))
-    sized, plan = sized.withColumn("__p", key), plan.withColumn("__p", key).drop("pattern")
-    sized = sized.withColumn("__cell", F.pmod("__h", F.lit(CELLS)).cast("int"))
+    given = [sum(f.values()) for f in flows]
+    plan = [(list(p), x // n if n else 0, x % n if n else 0, [sizes[s] for s in p], [targets[s] for s in p]) for (p, n), x in zip(patterns, given, strict=True)]
+    plan = sized.sparkSession.createDataFrame(plan, schema).withColumn("__p", _pattern_key(F.col("__pattern")))
     cells = sized.groupBy("__p", "__cell").agg(F.sum("size").alias("b"))
     before = Window.partitionBy("__p").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        cells.withColumn("b0", F.coalesce(F.sum("b").over(before), F.lit(0)))
-        .join(plan.select("__p", "rest"), "__p")
-        .where("b0 < rest")
-        .groupBy("__p")
-        .agg(F.max_by(F.struct("__cell", "b0"), "__cell").alias("cut"))
-    )
-    # one row for each pattern (checked above)
-    rules = plan.join(cut, "__p", "left")
-    joined = sized.join(F.broadcast(rules), "__p")
-    extra = F.coalesce(F.col("__cell") < F.col("cut.__cell"), F.lit(False)).cast("long")
-    done = joined.where("cut is null or __cell <> cut.__cell").withColumn("taken", (F.col("whole") + extra) * F.col("size"))
+    cut = cells.withColumn("b0", F.coalesce(F.sum("b").over(before), F.lit(0))).join(plan.select("__p", "rest"), "__p").where("b0 < rest")
+    cut = cut.groupBy("__p").agg(F.max("__cell").alias("cut"), F.max_by("b0", "__cell").alias("b0"), F.first("rest").alias("rest"))
+    # rows of the cell in which the share is reached: a 1024th of a pattern
+    edge = sized.join(F.broadcast(cut.withColumnRenamed("cut", "__cell")), ["__p", "__cell"])
     in_cell = Window.partitionBy("__p").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = joined.where("__cell = cut.__cell").withColumn("__b", F.col("cut.b0") + F.sum("size").over(in_cell))
-    edge = edge.withColumn("taken", (F.col("whole") + (F.col("__b") - F.col("size") / 2 <= F.col("rest")).cast("long")) * F.col("size")).drop("__b")
-    return done.unionByName(edge).select("doc_id", "size", "pattern", "source_size", "target", "taken")
+    edge = edge.withColumn("__b", F.col("b0") + F.sum("size").over(in_cell)).where(F.col("__b") - F.col("size") / 2 <= F.col("rest"))
+    last = edge.groupBy("__p").agg(F.max(F.struct("__h", "doc_id")).alias("last"))
+    return plan.drop("__pattern").join(cut.select("__p", "cut"), "__p", "left").join(last, "__p", "left")
+
+
+def _copies() -> Column:
+    """How often a document is taken: a comparison with its pattern's cut."""
+    once_more = (F.col("__cell") < F.col("cut")) | ((F.col("__cell") == F.col("cut")) & F.coalesce(F.struct("__h", "doc_id") <= F.col("last"), F.lit(False)))
+    return F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("long")
+
+
+def mix_to_weights(docs: DataFrame, membership: Column, weights=cycle_weights, seed: int = 17) -> DataFrame:
+    """Take documents so that the sources' tokens come near their targets.
+
+    ``membership`` is each document's array of sources, ``weights`` maps the
+    list of sources to a weight each.  A source's size is the tokens of all
+    documents that it holds, and the targets share the tokens of all documents.
+    Returns doc_id, size, pattern, source_size and target (arrays in the
+    pattern's order), taken.
+
+    Null text has size 0 and nothing is taken of it; a null source is a source
+    of its own; rows that repeat an id are taken alike, each counted.  The
+    seeded order is one of ids, so reruns agree.  An empty table gives no rows;
+    other columns are not read.
+    """
+    sized = _placed(docs, membership, seed).select("doc_id", n_words(F.col("text")).alias("size"), "__pattern", "__p", "__h", "__cell")
+    sized = staged(sized, "sizes")  # the texts are read once
+    # one row for each pattern, whose number is checked
+    return sized.join(F.broadcast(_rules(sized, weights)), "__p").select("doc_id", "size", F.col("__pattern").alias("pattern"), "source_size", "target", (_copies() * F.col("size")).alias("taken"))
+
+
+def take_mix(docs: DataFrame, membership: Column, weights=cycle_weights, seed: int = 17) -> DataFrame:
+    """The documents as often as the mix takes them, with their own columns.
+
+    Documents without words are not taken.  Texts aren't shuffled: each row
+    is compared with the cut of its pattern.
+    """
+    placed = _placed(docs, membership, seed)
+    sized = staged(placed.select("doc_id", n_words(F.col("text")).alias("size"), "__pattern", "__p", "__h", "__cell"), "sizes")
+    rules = staged(_rules(sized, weights), "rules")
+    some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    taken = placed.where(some).join(F.broadcast(rules), "__p").select(*docs.columns, _copies().alias("__copies")).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)

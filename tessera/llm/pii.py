@@ -47,7 +47,7 @@ def _valid(kind: str, match: Column) -> Column:
             F.split(match, r"\."), lambda p: F.coalesce(F.right(F.concat(F.lit("00"), F.regexp_replace(p, "^0+", "")), F.lit(3)).try_cast("int"), F.lit(0)) <= 255
         )
     if kind == "card":
-        return F.length(digits).between(14, 19) & F.coalesce(F.luhn_check(digits), F.lit(False))
+        return F.length(digits).between(14, 19) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
     if kind == "phone":
         return F.length(digits).between(10, 15)
     return F.lit(True)

@@ -17,6 +17,7 @@ from tessera.llm.mixing import mix_to_weights
 from tessera.llm.near_duplicates import near_duplicates
 from tessera.llm.pii import find_pii
 from tessera.llm.quality import quality
+from tessera.llm.secrets import scan
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.warc import read_warc, write_warc
 
@@ -37,6 +38,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op2_pii,
         op3_jaccard_join,
+        op4_secret_scan,
         op5_decontamination,
         op6_language_id,
         op7_html_extraction,
