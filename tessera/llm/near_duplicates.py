@@ -24,7 +24,8 @@ How the join finds its pairs
    overlap is at most the sum of coordinate minima, a box's at most the minima
    with its upper corner.  This is exact within the key: no pair that could
    reach the threshold is skipped unless it is known to be one component.
-4. *Verification.*  Pairs of 2 and 3 that pass the bound are intersected exactly.
+4. *Verification.*  Pairs of 2, and the distinct pairs of 3, are bounded by the
+   minima of their counts and then intersected exactly.
 
 Sets are named by 64-bit hashes of their content; exact copies share the name.
 """
@@ -35,7 +36,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -46,8 +46,8 @@ from tessera.llm.shingles import U, mix, pieces, shingle_sets, sums
 
 #: Similarity as a fraction: 100 * shared >= 80 * united.
 NUM, DEN = 80, 100
-#: Keys of a set at most; points and shingles of an R-tree, points of a leaf.
-KEYS, TREE, TREE_SHINGLES, LEAF = 64, 2048, 2_000_000, 16
+#: Keys of a set at most; points of an R-tree and of a leaf.
+KEYS, TREE, LEAF = 64, 2048, 16
 #: Mean shingles in a group at the upper end of a size class.
 LOAD = 3.9
 #: 64-bit words of the filter that spares unpaired sets the second pass.
@@ -92,8 +92,8 @@ def group_keys(s: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def dims(n: int) -> int:
-    """Coordinates for sets of about ``n`` shingles: a power of two near n / 2."""
-    return 1 << min(12, max(5, int(n).bit_length() - 2))
+    """Coordinates for sets of ``n`` shingles: a power of two near n, 32 to 4096."""
+    return 1 << min(12, max(5, int(n).bit_length() - 1))
 
 
 def counts(s: np.ndarray, offs: np.ndarray, d: int) -> np.ndarray:
@@ -104,8 +104,8 @@ def counts(s: np.ndarray, offs: np.ndarray, d: int) -> np.ndarray:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (route, key, pivot, node): each key's first member in the batch
-    stands for it; other members are paired with it here and travel by their
+    """Rows (key, node, pivot): each key's first member in the piece stands for
+    it (no pivot); other members are paired with it here and travel by their
     own name, so that a key of many members is not dealt to one task."""
     for batch in batches:
         for _, data, offs in pieces(batch.column(0)):
@@ -120,7 +120,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = np.concatenate([[True], node[1:] != node[:-1]]) | new
             pivot = node[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             key, node, pivot, new = key[other], node[other], pivot[other], new[other]
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(new, key, node)), pa.array(key), pa.array(pivot), pa.array(node)], ["route", "key", "pivot", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(pivot, mask=new)], ["key", "node", "pivot"])
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +128,11 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     are paired with their key's least one.  One row is carried over."""
     last_key, last_pivot = None, None
     for batch in batches:
-        route, key, pivot, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(key):
             continue
-        stands = pivot == node
+        stands = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        pivot = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
         new = np.concatenate([[last_key is None or key[0] != last_key or not stands[0]], (key[1:] != key[:-1]) | ~stands[1:] | ~stands[:-1]])
         first = np.where(new, np.arange(len(new)), -1)
         first = np.maximum.accumulate(first)
@@ -202,33 +203,57 @@ class CountTree:
         return self.order[at[enough(np.minimum(self.points[at], point).sum(1), self.sizes[at], size)]]
 
 
-def _searched(block: pd.DataFrame) -> pd.DataFrame:
-    """Links of a block: its queries against an R-tree over its members.
+def folded(vector: np.ndarray, d: int) -> np.ndarray:
+    """A count vector in fewer coordinates: neighbouring groups are joined."""
+    return vector.reshape(d, -1).sum(1) if len(vector) > d else vector
 
-    ``label`` is the component known so far.  Pairs of one component are left
-    out, and links found here join components at once, so what is returned is
-    at most one link less than there are members.
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of blocks (key, i, q), which arrive in order.
+
+    Rows are key, i, q, node, label, n, vector (a byte for each coordinate),
+    indexed, query.  Each block's queries are searched in an R-tree over its
+    members; pairs of one component are left out.
     """
-    n = block["shingles"].map(len).to_numpy()
-    offs = np.concatenate([[0], np.cumsum(n)])
-    flat = np.concatenate(block["shingles"].to_numpy()).view(U)
-    points = counts(flat, offs, dims(int(np.median(n))))
-    nodes, queries, indexed = block["node"].to_numpy(), block["query"].to_numpy(), block["indexed"].to_numpy()
-    group = np.unique(block["label"].to_numpy(), return_inverse=True)[1]
-    index = np.flatnonzero(indexed)
-    out: list[tuple[int, int]] = []
-    if len(index):
+    held: list[tuple] = []
+    pairs: set[tuple[int, int]] = set()
+
+    def search() -> None:
+        node, label, n = (np.array([r[k] for r in held]) for k in (3, 4, 5))
+        raw = [np.frombuffer(r[6], np.uint8) for r in held]
+        d = min(map(len, raw))
+        points = np.stack([folded(v.astype(np.int32), d) for v in raw])
+        # a byte that is full may stand for more; such a coordinate bounds nothing
+        for i, v in enumerate(raw):
+            if v.max(initial=0) == 255:
+                points[i][folded((v == 255).astype(np.int32), d) > 0] = 1 << 20
+        index = np.flatnonzero([r[7] for r in held])
         tree = CountTree(points[index], n[index])
-        for i in np.flatnonzero(queries).tolist():
-            for j in index[tree.search(points[i], int(n[i]))].tolist():
-                if group[i] != group[j] and _linked(flat[offs[i] : offs[i + 1]], flat[offs[j] : offs[j + 1]]):
-                    out.append((nodes[i], nodes[j]))
-                    group[group == group[j]] = group[i]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        for i in np.flatnonzero([r[8] for r in held]).tolist():
+            hit = index[tree.search(points[i], int(n[i]))]
+            hit = hit[label[hit] != label[i]]
+            pairs.update((min(node[i], x), max(node[i], x)) for x in node[hit].tolist())
+
+    def found() -> pa.RecordBatch:
+        rows = sorted(pairs)
+        pairs.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:3] != r[:3]:
+                search()
+                held.clear()
+            held.append(r)
+        if len(pairs) > 100_000:
+            yield found()
+    if held:
+        search()
+    yield found()
 
 
 def _filtered(words: dict[int, int]):
-    """The second pass: (node, shingles) of sets whose name is in the filter."""
+    """The second pass: (node, n, vector, shingles) of sets whose name is in the filter."""
     bits = np.zeros(FILTER_WORDS, np.int64)
     bits[list(words)] = list(words.values())
 
@@ -246,7 +271,10 @@ def _filtered(words: dict[int, int]):
                     continue
                 flat = np.concatenate([s[at[r] : at[r + 1]] for r in rows.tolist()]).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
+                vectors = [np.minimum(counts(x, np.array([0, len(x)]), dims(len(x)))[0], 255).astype(np.uint8).tobytes() for x in np.split(flat.view(U), ends[1:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[rows]), pa.array(n[rows].astype(np.int64)), pa.array(vectors, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "n", "vector", "shingles"]
+                )
 
     return run
 
@@ -286,14 +314,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the given nodes, one row each.
+    """(node, n, vector, shingles) of the given nodes, one row each.
 
     A filter of fixed size, made of their names, goes to the executors: a set
     that passes by chance costs some shuffle and is dropped by the join.
     """
     words = nodes.mapInArrow(_slots, "word int, bit int").distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()  # at most FILTER_WORDS rows
-    found = texts.mapInArrow(_filtered({r["word"]: r["bits"] for r in words}), "node long, shingles array<long>")
-    return staged(found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    found = texts.mapInArrow(_filtered({r["word"]: r["bits"] for r in words}), "node long, n long, vector binary, shingles array<long>")
+    return staged(found.join(nodes, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "vector", "shingles"))), "sets")
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +352,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select("text")
-    stars = texts.mapInArrow(_stars, "route long, key long, pivot long, node long")
-    paired = stars.repartition("route").sortWithinPartitions("route", "key", "node").mapInArrow(_chain, "key long, pivot long, node long")
+    stars = texts.mapInArrow(_stars, "key long, node long, pivot long")
+    dealt = stars.repartition(F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.col("node")))
+    paired = dealt.sortWithinPartitions(F.col("pivot").isNotNull(), "key", "node").mapInArrow(_chain, "key long, pivot long, node long")
     ends = F.explode(F.array("pivot", "node")).alias("node")
     members = staged(paired.select("key", ends).distinct(), "members")
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
@@ -340,17 +369,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main")).where("parts > 1")
     marked = staged(marked.join(open_keys, "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("query")), "blocks")
-    size = sets.select("node", F.size("shingles").cast("long").alias("n"))
+    points = sets.select("node", "n", "vector")
     # the same members under several keys are one block; tiles bound what a task holds
     block = (
-        marked.join(size, "node")
-        .groupBy("key")
-        .agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.expr("bit_xor(xxhash64(node, query))").alias("x"), F.expr("bit_xor(xxhash64(query, node, 7))").alias("y"))
-        .groupBy("m", "s", "x", "y")
+        marked.groupBy("key")
+        .agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node, query))").alias("x"), F.expr("bit_xor(xxhash64(query, node, 7))").alias("y"))
+        .groupBy("m", "x", "y")
         .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.greatest(F.col("m") / TREE, F.col("s") / TREE_SHINGLES)).cast("int").alias("tiles"))
+        .select("key", F.ceil(F.col("m") / TREE).cast("int").alias("tiles"))
     )
-    tiled = marked.join(block, "key").join(sets, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = marked.join(block, "key").join(points, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # each tile of members is an R-tree and meets each tile of queries
     sides = F.flatten(
         F.transform(
@@ -361,8 +389,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    dealt = tiled.select("key", "node", "label", "shingles", F.explode(sides).alias("s")).where("s.indexed or s.query").select("key", "s.i", "s.q", "node", "label", "shingles", "s.indexed", "s.query")
-    found = staged(dealt.groupBy("key", "i", "q").applyInPandas(_searched, "a long, b long"), "links")
+    dealt = tiled.select("key", "node", "label", "n", "vector", F.explode(sides).alias("s")).where("s.indexed or s.query").select("key", "s.i", "s.q", "node", "label", "n", "vector", "s.indexed", "s.query")
+    candidates = dealt.repartition("key", "i", "q").sortWithinPartitions("key", "i", "q").mapInArrow(_searched, "a long, b long").distinct()
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = staged(_links(candidates.join(tried, ["a", "b"], "left_anti"), sets).where("ok").select("a", "b"), "links")
     if not found.isEmpty():
         label = components(links.unionByName(found))
 
