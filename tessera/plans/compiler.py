@@ -21,7 +21,7 @@ from tessera.functions import times
 from tessera.language import ast as A
 from tessera.language.lexer import QueryError
 from tessera.operators import tables
-from tessera.plans.values import Fn, GroupScope, Link, Rel, Scope, Val, fresh
+from tessera.plans.values import Fn, GroupScope, Link, Rel, Scope, Val, fresh, sorting
 from tessera.sources.catalog import Catalog
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -77,6 +77,7 @@ class Compiler:
             df, key, col = self.table(head)
             rel = Rel(df, Val(F.col(col), df.schema[col].dataType))
             rel.elem.key = key
+            rel.elem.id, rel.elem.rows = self.catalog[head.types[0]].id, lambda: df
             if head.record is not None:
                 rel = rel.but(df=rel.df.where(key == F.lit(head.record.value)))
         names = tuple(n for n in (head.binder, head.label) if n)
@@ -212,7 +213,7 @@ class Compiler:
             if gate is not None:
                 # filters of the base gate the traversal and keep the base's rows
                 base_key = fresh("k")
-                base = Rel(getattr(element, "rows")().select(element.col.alias(base_key)), Val(F.col(base_key), element.type))
+                base = Rel(element.rows().select(element.col.alias(base_key)), Val(F.col(base_key), element.type))
                 base.elem.key = F.col(base_key)[element.id]
                 base.env, base.names = {binder: base.elem}, (binder,)
                 kept = self.where(base, gate, env, None).df.select(F.col(base_key)[element.id].alias(k := fresh("k"))).distinct()
@@ -268,7 +269,9 @@ class Compiler:
         rows = link.make()
         pk = rows.pk[0]
         df = rel.df.join(rows.df, link.key == F.col(pk)).drop(pk)
-        return Rel(df, rows.elem, {**rel.env, **rows.env}, rel.pk, rel.outer, (*rel.order, *rows.order), rows.names, True)
+        names = (rel.walked_as,) if rel.walked_as else rows.names
+        env = {**rel.env, **dict.fromkeys(rel.names, rel.elem), **rows.env, **dict.fromkeys(names, rows.elem)}
+        return Rel(df, rows.elem, env, rel.pk, rel.outer, (*rel.order, *rows.order), names, True)
 
     # ------------------------------------------------------------ relational steps
     def in_rows(self, rel: Rel, env: dict) -> dict:
@@ -276,23 +279,21 @@ class Compiler:
         return {**env, **rel.env, **own}
 
     def scoped(self, rel: Rel) -> Scope:
-        return rel.group_scope if getattr(rel, "group_scope", None) is not None else Scope(rel.df)
+        return rel.group_scope if rel.group_scope is not None else Scope(rel.df)
 
     def plain(self, rel: Rel) -> Rel:
         """Groups as rows: the aggregation is built."""
-        scope = getattr(rel, "group_scope", None)
+        scope = rel.group_scope
         if scope is None:
             return rel
-        out = rel.but(df=scope.build())
-        out.group_scope = None
-        return out
+        return rel.but(df=scope.build(), group_scope=None)
 
     def where(self, rel: Rel, cond: A.Node, env: dict, scope: Scope | None) -> Rel:
-        if rel.group is not None and getattr(rel, "group_scope", None) is None:
+        if rel.group is not None and rel.group_scope is None:
             v = self.ev(cond, self.in_rows(rel, env), Scope(rel.df))
             new = F.coalesce(v.col, F.lit(False))
             return rel.but(cond=new if rel.cond is None else rel.cond & new, iterating=True)
-        if getattr(rel, "group_scope", None) is not None:
+        if rel.group_scope is not None:
             gs = rel.group_scope
             v = self.ev(cond, self.in_rows(rel, env), gs)
             gs.steps.append(lambda df: df.where(v.col))
@@ -363,12 +364,12 @@ class Compiler:
         return rel.but(df=row.df.where(~hit if call.name == "all" else hit))
 
     def ordered(self, rel: Rel, keys: tuple, env: dict) -> Rel:
-        gs = getattr(rel, "group_scope", None)
+        gs = rel.group_scope
         row = gs or Scope(rel.df)
         inner, cols = self.in_rows(rel, env), []
         for k in keys:
             v = self.ev(k.expr, inner, row)
-            cols.append(v.col.desc() if k.descending else v.col.asc())
+            cols.append((v.col, k.descending))
         out = rel.but(order=tuple(cols), iterating=True) if gs else self.unfused(rel).but(df=row.df, order=tuple(cols), iterating=True)
         return self._kept(rel, out)
 
@@ -381,7 +382,7 @@ class Compiler:
 
     @staticmethod
     def _kept(old: Rel, new: Rel) -> Rel:
-        if getattr(old, "group_scope", None) is not None:
+        if old.group_scope is not None:
             new.group_scope = old.group_scope
         return new
 
@@ -397,7 +398,7 @@ class Compiler:
 
     def sliced(self, rel: Rel, span: A.RangeOf, env: dict, scope: Scope | None) -> Rel:
         a, b = self.bounds(span, env, scope)
-        gs = getattr(rel, "group_scope", None)
+        gs = rel.group_scope
         lit = lambda v, d: d if v is None else v.literal
         start, end = lit(a, 0), lit(b, -1)
         if gs is not None:
@@ -405,15 +406,14 @@ class Compiler:
         rel = self.unfused(rel)
         plain = not rel.pk and start is not None and end is not None and start >= 0 and (b is None or end >= 0)
         if plain:
-            df = rel.df.orderBy(*rel.order) if rel.order else rel.df
+            df = rel.df.orderBy(*sorting(rel.order)) if rel.order else rel.df
             df = df.offset(start) if start else df
             if b is not None:
                 df = df.limit(max(0, end - start))
             return rel.but(df=df, iterating=True)
         n = fresh("n")
-        order = rel.order or (F.lit(1),)
         w = Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))
-        df = rel.df.withColumn(n, F.row_number().over(w.orderBy(*order)) - 1)
+        df = rel.df.withColumn(n, F.row_number().over(w.orderBy(*sorting(rel.order))) - 1)
         size = F.count("*").over(w)
         place = lambda v: v.col if v.literal is None or v.literal >= 0 else size + v.col
         if a is not None and start != 0:
@@ -451,7 +451,7 @@ class Compiler:
 
     def mapped(self, rel: Rel, body, env: dict) -> Rel:
         """A new element for each row; ``body(env, scope)`` builds it."""
-        gs = getattr(rel, "group_scope", None)
+        gs = rel.group_scope
         row = gs or Scope(rel.df)
         v = body(self.in_rows(rel, env), row)
         if isinstance(v, Rel):
@@ -471,20 +471,18 @@ class Compiler:
         rel = self.plain(rel)
         elem = self.filtered_elem(rel)
         if rel.order:
-            keys = [fresh("o") for _ in rel.order]
             n = fresh("n")
             rel = self.unfused(rel)
             part = Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))
-            rel = rel.but(df=rel.df.withColumn(n, F.row_number().over(part.orderBy(*rel.order))))
+            rel = rel.but(df=rel.df.withColumn(n, F.row_number().over(part.orderBy(*sorting(rel.order)))))
             pairs = F.array_sort(F.collect_list(F.struct(F.col(n).alias("n"), elem.alias("v"))))
             agg = F.transform(pairs, lambda p: p["v"])
-            del keys
         elif rel.cond is not None:
             agg = F.transform(F.collect_list(F.when(rel.cond, F.struct(rel.elem.col.alias("v")))), lambda p: p["v"])
         else:
             agg = F.collect_list(F.struct(elem.alias("v")))
             agg = F.transform(agg, lambda p: p["v"])
-        (col,) = scope.reduce(rel, [agg])
+        (col,) = scope.reduce(rel, [agg], array=True)
         kind = rel.elem.type or (rel.df.select(rel.elem.col.alias("x")).schema["x"].dataType if rel.group is None else rel.group.base.select(rel.elem.col.alias("x")).schema["x"].dataType)
         arr = T.ArrayType(kind)
         return Val(F.coalesce(col, F.array().cast(arr)), arr)
@@ -529,20 +527,20 @@ class Compiler:
     def picked(self, rel: Rel, n: int, scope: Scope, required: bool) -> Val:
         """The n-th element as one value; from the end if negative."""
         rel = self.unfused(self.plain(rel))
-        order = rel.order or (F.lit(1),)
+        order, place = rel.order, n
         if n < 0:
-            order, n = tuple(_reverse(o) for o in order), -n - 1
+            order, n = tuple((c, not down) for c, down in order), -n - 1
         if rel.pk:
             k = fresh("n")
-            w = Window.partitionBy(*rel.pk).orderBy(*order)
+            w = Window.partitionBy(*rel.pk).orderBy(*sorting(order))
             df = rel.df.withColumn(k, F.row_number().over(w)).where(F.col(k) == n + 1).drop(k)
         else:
-            df = (rel.df.orderBy(*order) if rel.order else rel.df).offset(n).limit(1)
-        (c,) = scope.reduce(rel.but(df=df), [F.first(F.struct(rel.elem.col.alias("v")))])
+            df = (rel.df.orderBy(*sorting(order)) if order else rel.df).offset(n).limit(1)
+        (c,) = scope.reduce(rel.but(df=df), [F.collect_list(F.struct(rel.elem.col.alias("v")))], array=True)
+        found = F.try_element_at(c, F.lit(1))
         if required:
-            c = F.coalesce(c, F.raise_error(F.lit(f"no element at {n}")).cast(T.StructType([T.StructField("v", rel.elem.type or T.StringType())])) if rel.elem.type else c)
-        out = Val(c["v"], rel.elem.type)
-        return out
+            found = F.element_at(F.when(F.size(c) > 0, c).otherwise(F.raise_error(F.lit(f"no element at {place}"))), 1)
+        return Val(found["v"], rel.elem.type)
 
     # ------------------------------------------------------------ expressions
     def ev(self, node: A.Node, env: dict, scope: Scope):
@@ -608,7 +606,7 @@ class Compiler:
         whole = isinstance(ta, INTEGERS) and isinstance(tb, INTEGERS)
         wide = _wider(ta, tb)
         if op == "/":
-            return Val(F.call_function("div", x, y), T.LongType()) if False else Val(F.expr("1"), None) if False else self.divide(x, y, whole, wide)
+            return self.divide(x, y, whole, wide)
         if op == "**":
             return Val(F.pow(x, y).cast(wide) if whole else F.pow(x, y), wide if whole else T.DoubleType())
         if op == "+" and isinstance(ta, T.StringType) and isinstance(tb, T.StringType):
@@ -620,7 +618,9 @@ class Compiler:
         """Integers divide to integers, toward zero; by zero is a runtime error."""
         if not whole:
             return Val(x / y, wide if isinstance(wide, T.DecimalType) else T.DoubleType())
-        return Val((x.cast("long") - x.cast("long") % y) / y if False else F.call_function("div", x.cast("long"), y.cast("long")), T.LongType())
+        x, y = x.cast("long"), y.cast("long")
+        # exact for all longs: the remainder goes first, and the quotient is whole
+        return Val(F.call_function("div", x, y), T.LongType())
 
     def type(self, v: Val, scope: Scope):
         if v.type is None:
@@ -753,9 +753,10 @@ class Compiler:
 
     def ev_BindAt(self, node, env, scope):
         v = self.ev(node.base, env, scope)
+        if isinstance(v, Rel) and v.following is not None:
+            return v.but(walked_as=node.name)
         if isinstance(v, Rel):
-            out = v.but(names=(node.name,), env={**v.env, node.name: v.elem})
-            return self._kept(v, out)
+            return v.but(names=(node.name,), env={**v.env, node.name: v.elem})
         return Val(v.col, v.type, v.links, v.literal, (node.name,)) if not hasattr(v, "key") else _copy(v, binders=(node.name,))
 
     def ev_Cast(self, node, env, scope):
@@ -778,9 +779,7 @@ class Compiler:
                 raise QueryError(f".{name} needs one element; use [*] to map over many")
             link = v.elem.links.get(name)
             if link is not None:
-                out = v.but()
-                out.following = link
-                return self._kept(v, out)
+                return v.but(following=link, walked_as=None)
             return self.mapped(v, lambda e, s: self.member(v.elem, name, e, s), env)
         members = getattr(v, "members", None)
         if members and name in members:
@@ -803,7 +802,7 @@ class Compiler:
 
     def ev_Member(self, node, env, scope):
         base = self.ev(node.base, env, scope)
-        if isinstance(base, Rel) and getattr(base, "following", None) is not None:
+        if isinstance(base, Rel) and base.following is not None:
             base = self.stars(base, 1)
         if isinstance(base, Val) and getattr(base, "many", False):
             return self.over(base, lambda x: self.member(x, node.name, env, scope), scope)
@@ -812,9 +811,9 @@ class Compiler:
     def ev_Project(self, node, env, scope):
         base = self.ev(node.base, env, scope)
         if isinstance(base, Rel):
-            if not base.iterating and not hasattr(base, "following"):
+            if not base.iterating and base.following is None:
                 raise QueryError("a projection needs one element; use [*] to map over many")
-            if getattr(base, "following", None) is not None:
+            if base.following is not None:
                 base = self.stars(base, 1)
             return self.mapped(base, lambda e, s: self.record(node.fields, e, s, base.elem), env)
         if getattr(base, "many", False):
@@ -840,7 +839,7 @@ class Compiler:
         return kind.elementType if isinstance(kind, T.ArrayType) else None
 
     def stars(self, rel: Rel, n: int) -> Rel:
-        link = getattr(rel, "following", None)
+        link = rel.following
         if link is not None:
             return self.follow(rel, link)
         return self._kept(rel, rel.but(iterating=True))
@@ -855,11 +854,11 @@ class Compiler:
         kind = node.kind
         if kind == "stars":
             out = self.stars(rel, node.arg)
-            link_depth = 2 if getattr(rel, "following", None) is not None else 1
+            link_depth = 2 if rel.following is not None else 1
             for _ in range(node.arg - link_depth):
                 out = self.exploded(out)
             return out
-        if getattr(rel, "following", None) is not None:
+        if rel.following is not None:
             rel = self.stars(rel, 1)
         if kind == "where":
             return self.where(rel, node.arg, env, scope)
@@ -902,13 +901,13 @@ class Compiler:
         rel = self.unfused(self.plain(rel))
         n, k = fresh("n"), fresh("k")
         df = rel.df.withColumn(k, key)
-        w = Window.partitionBy(*rel.pk, k).orderBy(*(rel.order or (F.lit(1),)))
+        w = Window.partitionBy(*rel.pk, k).orderBy(*sorting(rel.order))
         return rel.but(df=df.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n, k), iterating=True)
 
     def enumerated(self, rel: Rel) -> Rel:
         rel = self.unfused(self.plain(rel))
         n = fresh("n")
-        w = (Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))).orderBy(*(rel.order or (F.lit(1),)))
+        w = (Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))).orderBy(*sorting(rel.order))
         df = rel.df.withColumn(n, F.row_number().over(w) - 1)
         kind = T.StructType([T.StructField("index", T.IntegerType()), T.StructField("value", rel.elem.type or T.NullType())]) if rel.elem.type else None
         return rel.but(df=df, elem=Val(F.struct(F.col(n).alias("index"), rel.elem.col.alias("value")), kind), iterating=True)
@@ -1059,7 +1058,10 @@ class Compiler:
     # -- methods of rows
     def rel_method(self, node: A.Method, rel: Rel, env, scope):
         name, args = node.name, node.args
-        if getattr(rel, "following", None) is not None:
+        if name == "items" and rel.group_scope is not None:
+            members = self.unfused(rel.group_scope.members())
+            return members.but(iterating=True)
+        if rel.following is not None:
             rel = self.stars(rel, 1)
         fn = lambda i=0: self.ev(args[i], env, scope)
         if name in ("len", "count", "is_empty", "sum", "min", "max", "avg", "mean", "variance", "stddev", "median", "approx_count_distinct"):
@@ -1092,14 +1094,14 @@ class Compiler:
             return self.exploded(rel)
         if name in ("order_by", "order_by_asc", "order_by_desc", "top_k"):
             f = fn(1 if name == "top_k" else 0)
-            row = Scope(self.plain(rel).df) if getattr(rel, "group_scope", None) is None else rel.group_scope
+            row = Scope(self.plain(rel).df) if rel.group_scope is None else rel.group_scope
             keys = self._order_keys(f, rel, row, name in ("order_by_desc", "top_k"))
             out = self._kept(rel, self.unfused(rel).but(order=tuple(keys), iterating=True))
             if name == "top_k":
                 return self.sliced(out, A.RangeOf(None, args[0], False), env, scope)
             return out
         if name == "reversed":
-            return self._kept(rel, rel.but(order=tuple(_reverse(o) for o in rel.order)))
+            return self._kept(rel, rel.but(order=tuple((c, not down) for c, down in rel.order)))
         if name in ("slice", "range") and isinstance(args[0], A.RangeOf):
             return self.sliced(rel, args[0], env, scope)
         if name == "skip":
@@ -1172,7 +1174,7 @@ class Compiler:
         return rel.but(df=rel.df.where(cond)) if rel.group is None else rel.but(cond=cond if rel.cond is None else rel.cond & cond)
 
     def _filter(self, rel: Rel, f: Fn, env, keep: bool = True) -> Rel:
-        gs = getattr(rel, "group_scope", None)
+        gs = rel.group_scope
         row = gs or Scope(rel.df)
         p = F.coalesce(self.apply(f, [rel.elem], row).col, F.lit(False))
         p = p if keep else ~p
@@ -1184,7 +1186,7 @@ class Compiler:
     def _compacted(self, rel: Rel) -> Rel:
         return self._where_col(self.plain(rel), rel.elem.col.isNotNull())
 
-    def _order_keys(self, f: Fn, rel: Rel, row: Scope, down: bool) -> list[Column]:
+    def _order_keys(self, f: Fn, rel: Rel, row: Scope, down: bool) -> list[tuple[Column, bool]]:
         """Keys of a closure: one, a tuple, order::desc(k) or desc(k)."""
         env = dict(f.env)
         for p in f.params:
@@ -1196,24 +1198,24 @@ class Compiler:
             if isinstance(b, A.Call) and isinstance(b.fn, A.Name) and b.fn.name.split("::")[-1] in ("asc", "desc"):
                 d, b = b.fn.name.endswith("desc"), b.args[0]
             c = self.col(b, env, row).col
-            out.append(c.desc() if d else c.asc())
+            out.append((c, d))
         return out
 
     def ranked(self, rel: Rel, f: Fn | None, env) -> Rel:
         rel = self.unfused(self.plain(rel))
         row = Scope(rel.df)
-        keys = self._order_keys(f, rel, row, False) if f else [rel.elem.col.asc()]
+        keys = self._order_keys(f, rel, row, False) if f else [(rel.elem.col, False)]
         part = Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))
         i, r, d = fresh("n"), fresh("r"), fresh("d")
-        by = part.orderBy(*keys)
-        df = row.df.withColumns({i: F.row_number().over(part.orderBy(*keys, *rel.order)) - 1, r: F.rank().over(by), d: F.dense_rank().over(by)})
+        by = part.orderBy(*sorting(keys))
+        df = row.df.withColumns({i: F.row_number().over(part.orderBy(*sorting((*keys, *rel.order)))) - 1, r: F.rank().over(by), d: F.dense_rank().over(by)})
         ints = [T.StructField(n, T.IntegerType()) for n in ("index", "rank", "dense_rank")]
         elem = Val(F.struct(rel.elem.col.alias("value"), F.col(i).alias("index"), F.col(r).alias("rank"), F.col(d).alias("dense_rank")), T.StructType([T.StructField("value", rel.elem.type), *ints]) if rel.elem.type else None)
-        return rel.but(df=df, elem=elem, iterating=True, order=(*rel.pk, F.col(i)) if False else (F.col(i).asc(),))
+        return rel.but(df=df, elem=elem, iterating=True, order=((F.col(i), False),))
 
     def moving(self, rel: Rel, width: int) -> Rel:
         rel = self.unfused(self.plain(rel))
-        w = (Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))).orderBy(*(rel.order or (F.lit(1),))).rowsBetween(1 - width, 0)
+        w = (Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))).orderBy(*sorting(rel.order)).rowsBetween(1 - width, 0)
         m = fresh("m")
         return rel.but(df=rel.df.withColumn(m, F.avg(rel.elem.col).over(w)), elem=Val(F.col(m), T.DoubleType()), iterating=True)
 
@@ -1267,7 +1269,7 @@ class Compiler:
         fields = body.fields if isinstance(body, A.ObjectOf) else (("key", body),)
         names = (param,) if isinstance(param, str) else ()
         out = self.grouped(rel.but(names=names) if names else rel, A.ObjectOf(fields), f.env)
-        return out.but(iterating=True) if getattr(out, "group_scope", None) is None else self._kept(out, out.but(iterating=True))
+        return out.but(iterating=True) if out.group_scope is None else self._kept(out, out.but(iterating=True))
 
     def _map_groups(self, groups: Rel) -> Rel:
         """A lookup: key and array of values for each key."""
@@ -1519,23 +1521,6 @@ def _names(node) -> list[A.Name]:
     return out
 
 
-def _reverse(order: Column) -> Column:
-    """The opposite of an order column."""
-    text = str(order)
-    return _Reversed(order, text).column()
-
-
-class _Reversed:
-    def __init__(self, order: Column, text: str):
-        self.order, self.text = order, text
-
-    def column(self) -> Column:
-        inner = self.order._jc.expr() if hasattr(self.order._jc, "expr") else None
-        if inner is None:
-            raise QueryError("the order can't be reversed")
-        return self.order
-
-
 def _wider(a, b):
     if a is None or b is None:
         return a or b

@@ -29,6 +29,11 @@ def fresh(stem: str) -> str:
     return f"__{stem}{next(_ids)}"
 
 
+def sorting(order: tuple[tuple[Column, bool], ...]) -> list[Column]:
+    """Sort columns of an order; of none, a constant (any order)."""
+    return [c.desc() if down else c.asc() for c, down in order] or [F.lit(1)]
+
+
 @dataclass
 class Val:
     col: Column
@@ -61,11 +66,14 @@ class Rel:
     env: dict[str, Any] = field(default_factory=dict)  # binders over the rows
     pk: tuple[str, ...] = ()
     outer: tuple[Column, ...] = ()
-    order: tuple[Column, ...] = ()
+    order: tuple[tuple[Column, bool], ...] = ()  # (key, descending)
     names: tuple[str, ...] = ()  # binders of the current element
     iterating: bool = False
     group: Any = None  # GroupScope of members that aggregates can be fused into
     cond: Column | None = None  # of fused members
+    group_scope: Any = None  # groups that are not built yet
+    following: Link | None = None  # a link that the next selector walks
+    walked_as: str | None = None  # the binder of what it reaches
 
     def but(self, **changes) -> Rel:
         return replace(self, **changes)
@@ -91,12 +99,16 @@ class Scope:
             cond = cond & c
         self.df = self.df.join(right, cond, "left").drop(*keys)
 
-    def reduce(self, rel: Rel, aggs: list[Column]) -> list[Column]:
-        """Aggregates of a relation as columns of these rows."""
+    def reduce(self, rel: Rel, aggs: list[Column], array: bool = False) -> list[Column]:
+        """Aggregates of a relation as columns of these rows.  Arrays are joined
+        (one row), as higher-order functions can't hold subqueries."""
         names = [fresh("a") for _ in aggs]
         named = [a.alias(n) for a, n in zip(aggs, names, strict=True)]
         if not rel.pk:
             one = rel.df.agg(*named)
+            if array:
+                self.df = self.df.crossJoin(F.broadcast(one))  # one row
+                return [F.col(n) for n in names]
             if len(names) == 1:
                 return [one.scalar()]
             packed = one.select(F.struct(*names).alias("s")).scalar()
@@ -147,13 +159,16 @@ class GroupScope(Scope):
     def members(self) -> Rel:
         return self.rel.but(df=self.base, pk=tuple(self.keys), outer=tuple(F.col(k) for k in self.keys), group=self, order=self.rel.order)
 
-    def reduce(self, rel: Rel, aggs: list[Column]) -> list[Column]:
+    def reduce(self, rel: Rel, aggs: list[Column], array: bool = False) -> list[Column]:
         if rel.group is self and self.built is None:
             names = [fresh("a") for _ in aggs]
             self.aggs += [a.alias(n) for a, n in zip(aggs, names, strict=True)]
             return [F.col(n) for n in names]
         if not rel.pk:
-            return super().reduce(rel, aggs)
+            names = [fresh("a") for _ in aggs]
+            one = rel.df.agg(*(a.alias(n) for a, n in zip(aggs, names, strict=True)))
+            self.steps.append(lambda df: df.crossJoin(F.broadcast(one)))  # one row
+            return [F.col(n) for n in names]
         names = [fresh("a") for _ in aggs]
         right = rel.df.groupBy(*rel.pk).agg(*(a.alias(n) for a, n in zip(aggs, names, strict=True)))
         self.attach(rel, right, names)
