@@ -1315,7 +1315,8 @@ class Compiler:
             return lambda *cols: self.apply(f, [Val(v, t) for v, t in zip(cols, types, strict=False)], scope).col
 
         def one(i=0):
-            return call(ev(i), element)
+            g = call(ev(i), element)
+            return lambda v: g(v)
 
         def result(f, *cols_types) -> T.DataType | None:
             try:
