@@ -212,8 +212,9 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of blocks (key, i, q), which arrive in order.
 
     Rows are key, i, q, node, label, n, vector (a byte for each coordinate),
-    indexed, query.  Each block's queries are searched in an R-tree over its
-    members; pairs of one component are left out.
+    keys, indexed, query.  Each block's queries are searched in an R-tree over
+    its members; pairs of one component are left out, and a pair that meets in
+    several blocks is given by the one of its least common key.
     """
     held: list[tuple] = []
     pairs: set[tuple[int, int]] = set()
@@ -227,12 +228,14 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, v in enumerate(raw):
             if v.max(initial=0) == 255:
                 points[i][folded((v == 255).astype(np.int32), d) > 0] = 1 << 20
-        index = np.flatnonzero([r[7] for r in held])
+        index = np.flatnonzero([r[8] for r in held])
         tree = CountTree(points[index], n[index])
-        for i in np.flatnonzero([r[8] for r in held]).tolist():
+        for i in np.flatnonzero([r[9] for r in held]).tolist():
             hit = index[tree.search(points[i], int(n[i]))]
-            hit = hit[label[hit] != label[i]]
-            pairs.update((min(node[i], x), max(node[i], x)) for x in node[hit].tolist())
+            own = set(held[i][7])
+            for j in hit[label[hit] != label[i]].tolist():
+                if next(k for k in held[j][7] if k in own) == held[i][0]:
+                    pairs.add((min(node[i], node[j]), max(node[i], node[j])))
 
     def found() -> pa.RecordBatch:
         rows = sorted(pairs)
@@ -378,7 +381,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("key").alias("key"))
         .select("key", F.ceil(F.col("m") / TREE).cast("int").alias("tiles"))
     )
-    tiled = marked.join(block, "key").join(points, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    blocks = marked.join(block, "key")
+    # at most 2 * KEYS keys of a node
+    own = blocks.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    tiled = blocks.join(points, "node").join(own, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # each tile of members is an R-tree and meets each tile of queries
     sides = F.flatten(
         F.transform(
@@ -389,7 +395,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    dealt = tiled.select("key", "node", "label", "n", "vector", F.explode(sides).alias("s")).where("s.indexed or s.query").select("key", "s.i", "s.q", "node", "label", "n", "vector", "s.indexed", "s.query")
+    dealt = tiled.select("key", "node", "label", "n", "vector", "keys", F.explode(sides).alias("s")).where("s.indexed or s.query")
+    dealt = dealt.select("key", "s.i", "s.q", "node", "label", "n", "vector", "keys", "s.indexed", "s.query")
     candidates = dealt.repartition("key", "i", "q").sortWithinPartitions("key", "i", "q").mapInArrow(_searched, "a long, b long").distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found = staged(_links(candidates.join(tried, ["a", "b"], "left_anti"), sets).where("ok").select("a", "b"), "links")
