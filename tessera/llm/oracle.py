@@ -4,7 +4,7 @@ from __future__ import annotations
 
 #: Lower-cased words and distinct five-word shingles of a table's texts.
 _SHINGLES = """
-    select {id} as id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+    select {id} as id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
                             when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
     from (select {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from {table})
 """
@@ -28,8 +28,8 @@ ORACLE_SQL: dict[str, str] = {
         with digests as (
             select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages
         ), coded as (
-            select *, array_to_string(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(0, 5),
-                j -> ((instr('0123456789abcdef', substr(h, cast(1 + (5 * k + j) // 4 as bigint), 1)) - 1) >> cast(3 - (5 * k + j) % 4 as integer)) % 2 * (16 >> cast(j as integer)))) as bigint), 1)), '') as payload_digest,
+            select *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(0, 5),
+                lambda j: ((instr('0123456789abcdef', substr(h, cast(1 + (5 * k + j) // 4 as bigint), 1)) - 1) >> cast(3 - (5 * k + j) % 4 as integer)) % 2 * (16 >> cast(j as integer)))) as bigint), 1)), '') as payload_digest,
                 max(page_id) over (partition by h) as last
             from digests
         )

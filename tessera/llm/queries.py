@@ -15,6 +15,7 @@ from tessera.llm.html_text import extract
 from tessera.llm.language import held_out, identify, learn
 from tessera.llm.mixing import mix_to_weights
 from tessera.llm.near_duplicates import near_duplicates
+from tessera.llm.oracle import ORACLE_SQL
 from tessera.llm.pii import find_pii
 from tessera.llm.quality import quality
 from tessera.llm.secrets import scan
@@ -87,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_warc,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
