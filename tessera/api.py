@@ -81,7 +81,8 @@ class Engine:
             if v.following is not None:
                 v = compiler.stars(v, 1)
             v = compiler.unfused(compiler.plain(v))
-            return Result(self._rows(v.df, v.elem, v.order), True)
+            # an order inside groups or parents is none of the whole result
+            return Result(self._rows(v.df, v.elem, () if v.pk else v.order), True)
         return Result(self._rows(scope.df, v, ()), False)
 
     @staticmethod

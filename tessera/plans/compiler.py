@@ -271,7 +271,7 @@ class Compiler:
         df = rel.df.join(rows.df, link.key == F.col(pk)).drop(pk)
         names = (rel.walked_as,) if rel.walked_as else rows.names
         env = {**rel.env, **dict.fromkeys(rel.names, rel.elem), **rows.env, **dict.fromkeys(names, rows.elem)}
-        return Rel(df, rows.elem, env, rel.pk, rel.outer, (*rel.order, *rows.order), names, True)
+        return Rel(df, rows.elem, env, rel.pk, rel.outer, (*rel.order, *rows.order) if rel.order else (), names, True)
 
     # ------------------------------------------------------------ relational steps
     def in_rows(self, rel: Rel, env: dict) -> dict:
@@ -360,8 +360,8 @@ class Compiler:
             return rel
         row = Scope(rel.df)
         p = self.apply(self.ev(call.args[0], env, row), [rel.elem], row)
-        hit = F.coalesce(p.col, F.lit(False))
-        return rel.but(df=row.df.where(~hit if call.name == "all" else hit))
+        # a filter drops nulls by itself, and a bare predicate reaches the scan
+        return rel.but(df=row.df.where(~F.coalesce(p.col, F.lit(False)) if call.name == "all" else p.col))
 
     def ordered(self, rel: Rel, keys: tuple, env: dict) -> Rel:
         gs = rel.group_scope
@@ -413,16 +413,17 @@ class Compiler:
             return rel.but(df=df, iterating=True)
         n = fresh("n")
         w = Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))
-        df = rel.df.withColumn(n, F.row_number().over(w.orderBy(*sorting(rel.order))) - 1)
+        # ranks from 1, compared as they are: Catalyst then keeps k rows of a key on the map side
+        df = rel.df.withColumn(n, F.row_number().over(w.orderBy(*sorting(rel.order))))
         size = F.count("*").over(w)
         place = lambda v: v.col if v.literal is None or v.literal >= 0 else size + v.col
         if a is not None and start != 0:
-            df = df.withColumn(n + "a", F.col(n) >= place(a)).where(n + "a").drop(n + "a") if start is None or start < 0 else df.where(F.col(n) >= start)
+            df = df.withColumn(n + "a", F.col(n) > place(a)).where(n + "a").drop(n + "a") if start is None or start < 0 else df.where(F.col(n) > start)
         if b is not None:
             if end is not None and end >= 0:
-                df = df.where(F.col(n) < end)
+                df = df.where(F.col(n) <= end)
             else:
-                df = df.withColumn(n + "b", F.col(n) < place(b)).where(n + "b").drop(n + "b")
+                df = df.withColumn(n + "b", F.col(n) <= place(b)).where(n + "b").drop(n + "b")
         return rel.but(df=df.drop(n), iterating=True)
 
     def grouped(self, rel: Rel, keys: A.ObjectOf, env: dict, label: str | None = None) -> Rel:
