@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches
 
-#: Pages of a range of the URL order; keys sampled for the range bounds.
-RANGE, SAMPLE = 4000, 20_000
+#: Pages of a range of the URL order, ranges at most (then they grow), keys sampled for the bounds.
+RANGE, MOST, SAMPLE = 1000, 10_000, 20_000
 #: A neighbour with more than this share of the page's text is a copy, not a template.
 COPY = 0.5
 
@@ -251,6 +251,12 @@ def _differenced(edges: dict[int, tuple]) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = [[digest(x.text) for x in lines_of(t or "")] for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lines, pa.list_(pa.int64()))], ["host", "path", "page_id", "lines"])
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
     cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -272,7 +278,7 @@ def extract(pages: DataFrame, per_range: int = RANGE) -> DataFrame:
     bounded_batches(pages.sparkSession)
     keyed = _keyed(pages)
     keys = keyed.select("host", "path", "page_id")
-    n = max(1, -(-keys.count() // per_range))
+    n = min(MOST, max(1, -(-keys.count() // per_range)))
     sample = sorted({_key(*r) for r in keys.orderBy(F.xxhash64("host", "path", "page_id")).limit(SAMPLE).collect()}) if n > 1 else []
     bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
@@ -294,8 +300,9 @@ def extract(pages: DataFrame, per_range: int = RANGE) -> DataFrame:
         found = keys.mapInArrow(ends, "bucket int, host string, path string, page_id long, last int").groupBy("bucket").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("bucket").collect()
         want = {k: None for r in found for k in (_key(r["lo"][0], r["lo"][1], r["lo"][3]), _key(r["hi"][0], r["hi"][1], r["hi"][3]))}
         ids = pages.sparkSession.createDataFrame([(k[0], k[1], None if k[2] else k[3]) for k in want], "host string, path string, page_id long")
-        rows = keyed.join(F.broadcast(ids.withColumnsRenamed({c: f"w_{c}" for c in ids.columns})), (F.col("host") == F.col("w_host")) & (F.col("path") == F.col("w_path")) & F.col("page_id").eqNullSafe(F.col("w_page_id"))).groupBy("host", "path", "page_id").agg(F.min("html").alias("html")).collect()  # 2 rows a range at most
-        sides = {_key(r["host"], r["path"], r["page_id"]): (r["host"], r["path"], [digest(x.text) for x in lines_of(r["html"] or "")]) for r in rows}
+        rows = keyed.join(F.broadcast(ids.withColumnsRenamed({c: f"w_{c}" for c in ids.columns})), (F.col("host") == F.col("w_host")) & (F.col("path") == F.col("w_path")) & F.col("page_id").eqNullSafe(F.col("w_page_id"))).groupBy("host", "path", "page_id").agg(F.min("html").alias("html"))
+        rows = rows.mapInArrow(_digested, "host string, path string, page_id long, lines array<long>").collect()  # digests of 2 * MOST pages at most
+        sides = {_key(r["host"], r["path"], r["page_id"]): (r["host"], r["path"], r["lines"]) for r in rows}
         for a, b in zip(found[:-1], found[1:], strict=True):
             last, first = (sides.get(_key(k[0], k[1], k[3])) for k in (a["hi"], b["lo"]))
             edges[a["bucket"]] = (edges.get(a["bucket"], (None, None))[0], first)
