@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 U = np.uint64
 N_WORDS = 5
 #: Bytes hashed at a time; a longer document is one piece of its own.
-PIECE = 4 << 20
+PIECE = 1 << 20
 _R = 0x9E3779B97F4A7C15
 
 
