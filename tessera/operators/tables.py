@@ -1,4 +1,4 @@
-"""Table functions by their names in the language: graph::*, tree::*, search::*."""
+"""Table functions by their names in the language: graph::*, tree::*, search::*, geo::within_radius and geo::nearest."""
 
 from __future__ import annotations
 
@@ -49,4 +49,14 @@ def call(name: str, df: DataFrame, config: dict[str, Any]) -> DataFrame:
             return search.regex(df, column, config.get("pattern") or at)
         if short == "vector":
             return search.nearest_vectors(df, key, config.get("column", "embedding"), config["embedding"], config.get("k", 10))
+        if short == "hybrid":
+            texts = search.full_text(df, key, column, config["text"], config.get("limit", 100))
+            near = search.nearest_vectors(df, key, config.get("vector", "embedding"), config["embedding"], config.get("limit", 100))
+            return search.hybrid(texts, near, config.get("k", 10))
+    if space == "geo":
+        lon, lat, point = config.get("lon", "lon"), config.get("lat", "lat"), (config["x"], config["y"])
+        if short == "within_radius":
+            return search.within_radius(df, lon, lat, point, config["radius"])
+        if short == "nearest":
+            return search.nearest(df, lon, lat, point, config.get("k", 10))
     raise QueryError(f"unknown function {name}")

@@ -21,6 +21,7 @@ from tessera.functions import times
 from tessera.language import ast as A
 from tessera.language.lexer import QueryError
 from tessera.operators import tables
+from tessera.operators.positions import numbered
 from tessera.plans.values import Fn, GroupScope, Link, Rel, Scope, Val, fresh, sorting
 from tessera.sources.catalog import Catalog
 
@@ -45,7 +46,9 @@ class Compiler:
         return self.ev(node, env or {}, scope or self.unit())
 
     def unit(self) -> Scope:
-        return Scope(self.spark.range(1))
+        out = Scope(self.spark.range(1))
+        out.is_unit = True
+        return out
 
     def table(self, head: A.Head) -> tuple[DataFrame, Column | None]:
         """Rows of a head's types as one struct column, and the id in it."""
@@ -130,7 +133,9 @@ class Compiler:
                     env[first] = self.grouped(roots[only], q.groups[0][0], env, label=only)
         else:
             roots[only] = self.modified(roots[only], A.Modifiers(None, q.order, q.range), env, scope)
-        return self.ev(q.projection, {**env, **roots}, scope or self.unit())
+        scope = scope or self.unit()
+        scope.joins = scope.is_unit
+        return self.ev(q.projection, {**env, **roots}, scope)
 
     def group_target(self, keys: A.ObjectOf, roots: dict[str, Rel]) -> str:
         used = {n.name for _, e in keys.fields for n in _names(e)}
@@ -388,8 +393,10 @@ class Compiler:
 
     def bounds(self, span: A.RangeOf, env: dict, scope: Scope | None):
         ends = []
+        # bounds of whole collections are scalar subqueries, not columns of the result's row
+        scope = self.unit() if scope is None or scope.is_unit else scope
         for e in (span.start, span.end):
-            v = None if e is None else self.ev(e, env, scope or self.unit())
+            v = None if e is None else self.ev(e, env, scope)
             ends.append(v)
         a, b = ends
         if b is not None and span.inclusive:
@@ -908,9 +915,16 @@ class Compiler:
     def enumerated(self, rel: Rel) -> Rel:
         rel = self.unfused(self.plain(rel))
         n = fresh("n")
-        w = (Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))).orderBy(*sorting(rel.order))
-        df = rel.df.withColumn(n, F.row_number().over(w) - 1)
-        kind = T.StructType([T.StructField("index", T.IntegerType()), T.StructField("value", rel.elem.type or T.NullType())]) if rel.elem.type else None
+        kind = T.StructType([T.StructField("index", T.LongType()), T.StructField("value", rel.elem.type or T.NullType())]) if rel.elem.type else None
+        if not rel.pk:
+            v = fresh("v")
+            keys = [(fresh("o"), c, down) for c, down in rel.order]
+            df = rel.df.select(rel.elem.col.alias(v), *(c.alias(k) for k, c, _ in keys))
+            df = numbered(df, sorting(tuple((F.col(k), down) for k, _, down in keys)) if keys else [], n)
+            elem = Val(F.struct(F.col(n).alias("index"), F.col(v).alias("value")), kind)
+            return Rel(df, elem, order=((F.col(n), False),) if keys else (), names=rel.names, iterating=True)
+        w = Window.partitionBy(*rel.pk).orderBy(*sorting(rel.order))
+        df = rel.df.withColumn(n, F.row_number().over(w).cast("long") - 1)
         return rel.but(df=df, elem=Val(F.struct(F.col(n).alias("index"), rel.elem.col.alias("value")), kind), iterating=True)
 
     def select_array(self, node: A.Select_, arr: Val, env, scope):
@@ -971,7 +985,7 @@ class Compiler:
         if isinstance(target, Fn):
             return self.apply(target, [self.ev(a, env, scope) for a in node.args], scope)
         short = name.split("::")[-1]
-        if name.split("::")[0] in ("graph", "tree", "search") and node.args:
+        if node.args and (name.split("::")[0] in ("graph", "tree", "search") or name in ("geo::within_radius", "geo::nearest")):
             return self.table_function(name, node, env, scope)
         if name in FUNCTIONS and not (short in self.METHODS_OF_MANY and node.args and self._many(node.args[0], env, scope)):
             return self.builtin(FUNCTIONS[name], list(node.args), env, scope)
@@ -1121,7 +1135,7 @@ class Compiler:
             return self.enumerated(rel)
         if name == "map_indexed":
             e = self.enumerated(rel)
-            return self._map2(e, fn(), [Val(e.elem.col["value"], rel.elem.type), Val(e.elem.col["index"], T.IntegerType())])
+            return self._map2(e, fn(), [Val(e.elem.col["value"], rel.elem.type), Val(e.elem.col["index"], T.LongType())])
         if name in ("rank_by", "rank"):
             return self.ranked(rel, fn() if args else None, env)
         if name == "moving_average":

@@ -82,6 +82,9 @@ class Rel:
 class Scope:
     """Rows under evaluation; joins that expressions need are added to ``df``."""
 
+    is_unit = False  # the one row that a whole query's value is computed on
+    joins = False  # aggregates are joined to it, so that closures may use them
+
     def __init__(self, df: DataFrame):
         self.df = df
 
@@ -106,7 +109,7 @@ class Scope:
         named = [a.alias(n) for a, n in zip(aggs, names, strict=True)]
         if not rel.pk:
             one = rel.df.agg(*named)
-            if array:
+            if array or self.joins:
                 self.df = self.df.crossJoin(F.broadcast(one))  # one row
                 return [F.col(n) for n in names]
             if len(names) == 1:

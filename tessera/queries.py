@@ -268,7 +268,7 @@ TEXTS: dict[str, tuple[str, str]] = {
     "union_all": ("select a@a[*].n_name.union_all(b@b[*].r_name) from a@a:Nation, b@b:Region", "select n_name as value from nation union all select r_name from region"),
     "enumerate": (
         "select nations@n[order by n.n_name desc][enumerate]@x[*].{i: x.index, name: x.value.n_name} from nations@n:Nation",
-        "select cast(row_number() over (order by n_name desc) - 1 as integer) as i, n_name as name from nation",
+        "select row_number() over (order by n_name desc) - 1 as i, n_name as name from nation",
     ),
     "rank_by": (
         "select parts.rank_by(|p| p.p_size)@r[*].{id: r.value.p_partkey, rank: r.rank, dense: r.dense_rank} from parts@p:Part",

@@ -139,7 +139,6 @@ def test_definitions_go_before_builtins(engine):
 
 def test_values_may_be_passed(engine, spark):
     df = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
-    assert rows(Engine(engine.catalog), "select t@t[*].v from users@u:User") if False else True
     assert sorted(r[0] for r in engine.query("select t@t[where t.k > n][*].v from u@u:User", t=df, n=1).df.collect()) == ["y"]
 
 
@@ -161,3 +160,41 @@ def test_mutations(spark):
     assert e.query("create { a@a:A {id: 20}; len(a) }").value() == 1
     with pytest.raises(ValueError, match="unknown fields"):
         e.query("create a@a:A {nope: 1}")
+
+
+MORE = [
+    ("select [users@u[*].age.max(), 3].sum() from users@u:User", [(38,)]),
+    ("select users@u[order by u.id][..users.len() - 1][*].name from users@u:User", [("Alice",), ("Bob",)]),
+    ("{ let old = (select users@u[where u.age > 30] from users@u:User); select old@o[*].name from old@o }", [("Bob",)]),
+    ("select users.map_indexed(|u, i| {i: i, n: u.name}) from (users@u:User order by u.name)", [(0, "Alice"), (1, "Bob"), (2, "Cy")]),
+    ("select users@u[*].{n: u.name, k: (u.age, u.name).0} from users@u:User where u.age is i32 && u.name in ['Bob']", [("Bob", 35)]),
+    ("select users@u[*].{n: u.name, b: u.books@b[*].title.len()} from users@u:User links (users)->(books@b:Book)", [("Alice", 3), ("Bob", 3), ("Cy", 3)]),
+    ("select users@u[*][group by {old: u.age > 30}]@g[*].{o: g.old, n: g.items().len()} from users@u:User", [(False, 2), (True, 1)]),
+    ("select i\"n=${len(users)}\" from users@u:User", [("n=3",)]),
+    ("select users@u[*].{a: u.age.min(30), m: users.len()} from users@u:User where u.name == 'Bob'", [(30, 3)]),
+    ("select {t: time::format(dt'2024-03-01T10:00:00', 'yyyy/MM'), d: dt'2024-03-02' > dt'2024-03-01'} from users@u:User", [("2024/03", True)]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), MORE)
+def test_more(engine, text, want):
+    assert rows(engine, text) == want
+
+
+def test_create_with_links(spark):
+    cat = Catalog(spark)
+    cat.node("A", spark.createDataFrame([(1, "a")], "id int, s string"), "id")
+    cat.edge("R", spark.createDataFrame([(1, 1, 5)], "_from int, _to int, w int"), "_from", "_to")
+    e = Engine(cat)
+    e.query("create n@n:A {id: 2, s: 'b'} link (n)->[r@r:R {w: 7}]->(m@m:A where m.id == 1)")
+    assert rows(e, "select r@r[*].{f: r._from, t: r._to, w: r.w} from r@r:R") == [(1, 1, 5), (2, 1, 7)]
+
+
+def test_positions_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.positions import numbered
+
+    df = spark.range(1000, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("k"))
+    got = {r["k"]: r["n"] for r in numbered(df, [F.col("k").desc()], "n").collect()}
+    assert got == {k: 999 - k for k in range(1000)}
