@@ -21,3 +21,19 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     return marked.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+
+
+def ranks(df: DataFrame, order: list[tuple[Column, bool]], keys: list[str], position: str, rank: str, dense: str) -> DataFrame:
+    """Adds rank and dense rank (from 1) by ``keys`` to numbered rows.
+
+    A key's rank is its first position, its dense rank its place among the
+    distinct keys, so one aggregation and one join serve for the window.
+    """
+    first = df.groupBy(*keys).agg((F.min(position) + 1).alias(rank))
+    placed = numbered(first, [c.desc() if down else c.asc() for c, down in order], dense).withColumn(dense, F.col(dense) + 1)
+    other = placed.withColumnsRenamed({k: f"{k}_of" for k in keys})
+    on = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"{k}_of"))
+        on = one if on is None else on & one
+    return df.join(other, on).drop(*(f"{k}_of" for k in keys))

@@ -21,7 +21,7 @@ from tessera.functions import times
 from tessera.language import ast as A
 from tessera.language.lexer import QueryError
 from tessera.operators import tables
-from tessera.operators.positions import numbered
+from tessera.operators.positions import numbered, ranks
 from tessera.plans.values import Fn, GroupScope, Link, Rel, Scope, Val, fresh, sorting
 from tessera.sources.catalog import Catalog
 
@@ -1220,13 +1220,24 @@ class Compiler:
         rel = self.unfused(self.plain(rel))
         row = Scope(rel.df)
         keys = self._order_keys(f, rel, row, False) if f else [(rel.elem.col, False)]
-        part = Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))
         i, r, d = fresh("n"), fresh("r"), fresh("d")
+        places = [T.StructField(n, T.LongType()) for n in ("index", "rank", "dense_rank")]
+        kind = T.StructType([T.StructField("value", rel.elem.type), *places]) if rel.elem.type else None
+
+        def element(value: Column) -> Val:
+            return Val(F.struct(value.alias("value"), F.col(i).alias("index"), F.col(r).alias("rank"), F.col(d).alias("dense_rank")), kind)
+
+        if not rel.pk:
+            v, ks = fresh("v"), [fresh("k") for _ in keys]
+            own = [(F.col(k), down) for k, (_, down) in zip(ks, keys, strict=True)]
+            ties = [fresh("o") for _ in rel.order]
+            df = row.df.select(rel.elem.col.alias(v), *(c.alias(k) for k, (c, _) in zip(ks, keys, strict=True)), *(c.alias(t) for t, (c, _) in zip(ties, rel.order, strict=True)))
+            df = numbered(df, sorting((*own, *((F.col(t), down) for t, (_, down) in zip(ties, rel.order, strict=True)))), i)
+            return Rel(ranks(df, own, ks, i, r, d), element(F.col(v)), order=((F.col(i), False),), names=rel.names, iterating=True)
+        part = Window.partitionBy(*rel.pk)
         by = part.orderBy(*sorting(keys))
-        df = row.df.withColumns({i: F.row_number().over(part.orderBy(*sorting((*keys, *rel.order)))) - 1, r: F.rank().over(by), d: F.dense_rank().over(by)})
-        ints = [T.StructField(n, T.IntegerType()) for n in ("index", "rank", "dense_rank")]
-        elem = Val(F.struct(rel.elem.col.alias("value"), F.col(i).alias("index"), F.col(r).alias("rank"), F.col(d).alias("dense_rank")), T.StructType([T.StructField("value", rel.elem.type), *ints]) if rel.elem.type else None)
-        return rel.but(df=df, elem=elem, iterating=True, order=((F.col(i), False),))
+        df = row.df.withColumns({i: F.row_number().over(part.orderBy(*sorting((*keys, *rel.order)))).cast("long") - 1, r: F.rank().over(by).cast("long"), d: F.dense_rank().over(by).cast("long")})
+        return rel.but(df=df, elem=element(rel.elem.col), iterating=True, order=((F.col(i), False),))
 
     def moving(self, rel: Rel, width: int) -> Rel:
         rel = self.unfused(self.plain(rel))

@@ -272,11 +272,11 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
     "rank_by": (
         "select parts.rank_by(|p| p.p_size)@r[*].{id: r.value.p_partkey, rank: r.rank, dense: r.dense_rank} from parts@p:Part",
-        "select p_partkey as id, cast(rank() over (order by p_size) as integer) as rank, cast(dense_rank() over (order by p_size) as integer) as dense from part",
+        "select p_partkey as id, rank() over (order by p_size) as rank, dense_rank() over (order by p_size) as dense from part",
     ),
     "rank_partitioned": (
         "select g@x[*].items().rank_by(|o| desc(o.o_totalprice))@r[*].{id: r.value.o_orderkey, rank: r.rank} from orders@o:Order group by {c: o.o_custkey} into g",
-        "select o_orderkey as id, cast(rank() over (partition by o_custkey order by o_totalprice desc) as integer) as rank from orders",
+        "select o_orderkey as id, rank() over (partition by o_custkey order by o_totalprice desc) as rank from orders",
     ),
     "skip_take": ("select orders.order_by(|o| (order::desc(o.o_totalprice), o.o_orderkey)).skip(3).take(4).map(|o| {id: o.o_orderkey}) from orders@o:Order", "select o_orderkey as id from orders order by o_totalprice desc, o_orderkey limit 4 offset 3"),
     "reversed_first": ("select orders[order by o.o_orderkey].reversed().first().{o_orderkey} from orders@o:Order".replace("orders[", "orders@o["), "select max(o_orderkey) as o_orderkey from orders"),
