@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches
+from tessera.llm.common import bounded_batches, hash_sample
 
 #: Pages of a range of the URL order, ranges at most (then they grow), keys sampled for the bounds.
 RANGE, MOST, SAMPLE = 1000, 10_000, 20_000
@@ -279,7 +279,7 @@ def extract(pages: DataFrame, per_range: int = RANGE) -> DataFrame:
     keyed = _keyed(pages)
     keys = keyed.select("host", "path", "page_id")
     n = min(MOST, max(1, -(-keys.count() // per_range)))
-    sample = sorted({_key(*r) for r in keys.orderBy(F.xxhash64("host", "path", "page_id")).limit(SAMPLE).collect()}) if n > 1 else []
+    sample = sorted({_key(*r) for r in hash_sample(keys, ["host", "path", "page_id"], SAMPLE).collect()}) if n > 1 else []
     bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, words
+from tessera.llm.common import hash_sample, let, words
 from tessera.llm.pii import positions
 
 #: A candidate starts where no key character precedes; the look-ahead asks for a digit.
@@ -50,8 +50,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def dictionary(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> list[str]:
     """The commonest plain words of a bounded sample of documents."""
-    part = docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(sample)
-    texts = docs.join(F.broadcast(part.distinct()), "doc_id", "left_semi")  # at most ``sample`` rows
+    texts = hash_sample(docs.select("doc_id", "text"), ["doc_id"], sample)
     word = texts.select(F.explode(words(F.lower("text"))).alias("w")).where(F.col("w").rlike(r"^\p{L}{3,}$"))
     return [r["w"] for r in word.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
 
