@@ -186,7 +186,7 @@ class Engine:
             rel = env[head.label]
             rel = compiler.modified(rel.but(names=tuple(n for n in (head.binder, head.label) if n)), head.mods, env, None)
             fields = rel.elem.type.names
-            key = next(t.id for t in self.catalog.tables.values() if t.id in fields and set(t.df.columns) == set(fields))
+            key = next(t.id for t in self.catalog.opened() if t.id in fields and set(t.df.columns) == set(fields))
         return rel, rel.df.select(rel.elem.col[key].alias(name), rel.elem.col.alias(f"{name}_row"))
 
     def _add_edges(self, link: tuple, compiler: Compiler, env: dict) -> int:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +37,8 @@ class Catalog:
     """Snapshots of tables by type name; mutations put new snapshots in place."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tables = spark, {}
+        self.spark = spark
+        self.tables: dict[str, Table | Callable[[], Table]] = {}
 
     def node(self, name: str, df: DataFrame, id: str) -> Catalog:
         self.tables[name] = Table(name, df, id)
@@ -45,12 +48,22 @@ class Catalog:
         self.tables[name] = Table(name, df, None, source, target)
         return self
 
+    def lazy(self, name: str, load: Callable[[], DataFrame], id: str | None = None, source: str | None = None, target: str | None = None) -> Catalog:
+        """A collection that is opened when a query first names it."""
+        self.tables[name] = lambda: Table(name, load(), id, source, target)
+        return self
+
     def replace(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = replace(self.tables[name], df=df)
+        self.tables[name] = replace(self[name], df=df)
+
+    def opened(self) -> list[Table]:
+        return [t for t in self.tables.values() if isinstance(t, Table)]
 
     def __getitem__(self, name: str) -> Table:
         if name not in self.tables:
             raise QueryError(f"unknown type {name}; known: {', '.join(sorted(self.tables))}")
+        if not isinstance(self.tables[name], Table):
+            self.tables[name] = self.tables[name]()
         return self.tables[name]
 
 
@@ -76,12 +89,15 @@ EDGES = [
 def standard(spark: SparkSession, sf_dir: str) -> Catalog:
     """The standard tables as a document graph."""
     cat = Catalog(spark)
-    load = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    load = cache(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
     for name, table, key in NODES:
-        cat.node(name, load(table), key)
+        cat.lazy(name, lambda t=table: load(t), key)
     for name, table, source, target in EDGES:
-        cat.edge(name, load(table), source, target)
-    n = load("nation")
-    a, b = n.select(F.col("n_nationkey").alias("_from"), F.col("n_regionkey").alias("r")), n.select(F.col("n_nationkey").alias("_to"), F.col("n_regionkey").alias("r"))
-    cat.edge("NationNeighbours", a.join(b, "r").where("_from <> _to").select("_from", "_to"), "_from", "_to")
-    return cat
+        cat.lazy(name, lambda t=table: load(t), None, source, target)
+
+    def neighbours() -> DataFrame:
+        n = load("nation")
+        a, b = n.select(F.col("n_nationkey").alias("_from"), F.col("n_regionkey").alias("r")), n.select(F.col("n_nationkey").alias("_to"), F.col("n_regionkey").alias("r"))
+        return a.join(b, "r").where("_from <> _to").select("_from", "_to")
+
+    return cat.lazy("NationNeighbours", neighbours, None, "_from", "_to")
