@@ -221,7 +221,7 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select c_custkey as id, exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 450000) as big, not exists (select 1 from events where user_id = c_custkey and event_type = 'purchase') as quiet from customer",
     ),
     "corr_scalar_top1": (
-        "select customers@c[*].{id: c.c_custkey, last: (select orders@o[*].o_orderkey from orders@o:Order where o.o_custkey == c.c_custkey order by o.o_orderdate desc, o.o_orderkey range ..1)[0]} from customers@c:Customer",
+        "select customers@c[*].{id: c.c_custkey, last: (select orders@o[*].o_orderkey from orders@o:Order where o.o_custkey == c.c_custkey order by o.o_orderdate desc, o.o_orderkey range ..1).first()} from customers@c:Customer",
         "select c_custkey as id, (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 1) as last from customer",
     ),
     "corr_aggregate": (
