@@ -303,6 +303,11 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select customers@c[*].{id: c.c_custkey, v: c.places@e[order by e.o_orderkey][*].o_orderkey.fold(0, |a, x| a * 3 % 1000 + x)} from customers@c:Customer " + CUSTOMER_ORDERS + " where c.c_custkey < 20",
         "with recursive t as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) r from orders where o_custkey < 20), f as (select c_custkey as id, cast(0 as bigint) as v, 0 as r from customer where c_custkey < 20 union all select f.id, f.v * 3 % 1000 + t.o_orderkey, f.r + 1 from f join t on t.o_custkey = f.id and t.r = f.r + 1) select id, v from f qualify row_number() over (partition by id order by r desc) = 1",
     ),
+    # the same over every customer; a list fold is quick enough in SQL
+    "fold_sum_all": (
+        "select customers@c[*].{id: c.c_custkey, v: c.places@e[order by e.o_orderkey][*].o_orderkey.fold(0, |a, x| a * 3 % 1000 + x)} from customers@c:Customer " + CUSTOMER_ORDERS,
+        "select c_custkey as id, list_reduce(list_prepend(cast(0 as bigint), coalesce(list(o_orderkey order by o_orderkey) filter (o_orderkey is not null), [])), lambda a, x: a * 3 % 1000 + x) as v from customer left join orders on o_custkey = c_custkey group by 1",
+    ),
     "scan_running": (
         "select { let s = nations@n[order by n.n_nationkey][*].n_nationkey.scan(0, |a, x| {left: a + x, right: a + x}); {last: s.last(), n: len(s)} } from nations@n:Nation",
         "select cast(sum(n_nationkey) as integer) as last, cast(count(*) as integer) as n from nation",
@@ -312,6 +317,10 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select orders@o[*].{k: [[o.o_orderkey, o.o_custkey], [o.o_orderkey]]}@r[*].k[***] from orders@o:Order where o.o_orderkey < 10".replace("@r[*].k[***]", ".map(|r| r.k[**]).flatten()"),
         "select o_orderkey as value from orders where o_orderkey < 10 union all select o_custkey from orders where o_orderkey < 10 union all select o_orderkey from orders where o_orderkey < 10",
     ),
+    "flatten_depth2_all": (
+        "select orders@o[*].{k: [[o.o_orderkey, o.o_custkey], [o.o_orderkey]]}.map(|r| r.k[**]).flatten() from orders@o:Order",
+        "select o_orderkey as value from orders union all select o_custkey from orders union all select o_orderkey from orders",
+    ),
     "comprehension": (
         "select parts@p[*].{id: p.p_partkey, n: [x * 2 for x in [p.p_size, 1, 7] if x > 5].sum()} from parts@p:Part",
         "select p_partkey as id, (case when p_size > 5 then p_size * 2 else 0 end) + 14 as n from part",
@@ -377,6 +386,10 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select events@e[*].{id: e.event_id, k: json::get(e.props, '$.k') as i64} from events@e:Event where e.event_id < 500",
         "select event_id as id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_id < 500",
     ),
+    "json_field_all": (
+        "select events@e[*].{id: e.event_id, k: json::get(e.props, '$.k') as i64} from events@e:Event",
+        "select event_id as id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
+    ),
 }
 
 
@@ -397,6 +410,10 @@ def _transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine.standard(spark, sf_dir).sql("select edges.transitive_closure({seed: 3}) from edges@e:NationNeighbours")
 
 
+def _closure_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine.standard(spark, sf_dir).sql("select edges.transitive_closure({}) from edges@e:NationNeighbours")
+
+
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine.standard(spark, sf_dir).sql("select graph::connected_components(edges) from edges@e:NationNeighbours")
 
@@ -452,6 +469,10 @@ BUILDERS: dict[str, tuple[Query, str | None]] = {
         _transitive_closure,
         "with recursive e as (select a.n_nationkey as f, b.n_nationkey as t from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey), r as (select f, t from e where f = 3 union select r.f, e.t from r join e on e.f = r.t) select f as _from, t as _to from r",
     ),
+    "transitive_closure_all": (
+        _closure_of_all,
+        "with recursive e as (select a.n_nationkey as f, b.n_nationkey as t from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey), r as (select f, t from e union select r.f, e.t from r join e on e.f = r.t) select f as _from, t as _to from r",
+    ),
     "connected_components": (_components, "select n_nationkey as node, min(n_nationkey) over (partition by n_regionkey) as component from nation"),
     "pagerank": (_pagerank, None),
     "vector_knn": (
