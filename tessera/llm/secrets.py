@@ -16,15 +16,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_sample, let, words
+from tessera.llm.common import let, words
 from tessera.llm.pii import positions
 
 #: A candidate starts where no key character precedes; the look-ahead asks for a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{16,}+"
 #: Code points of context on each side.
 CONTEXT = 48
-#: Labelled findings, documents of the dictionary sample, words of the dictionary, at most.
-LABELLED, SAMPLE, DICTIONARY = 4000, 5000, 2000
+#: Labelled findings, words of the dictionary, at most.
+LABELLED, DICTIONARY = 4000, 2000
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "auth", "bearer", "credential", "credentials", "private", "access")
 FEATURES = ("length", "entropy", "switches", "digits", "uppers", "symbols", "repeats", "hex", "numeric", "coverage", "in_path", "extension", "assigned", "quoted", "keyword", "plain_words")
 
@@ -48,10 +48,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.where(text.rlike("[0-9]")).select("doc_id", F.explode(let(text, found)).alias("c")).select("doc_id", "c.*")
 
 
-def dictionary(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY) -> list[str]:
-    """The commonest plain words of a bounded sample of documents."""
-    texts = hash_sample(docs.select("doc_id", "text"), ["doc_id"], sample)
-    word = texts.select(F.explode(words(F.lower("text"))).alias("w")).where(F.col("w").rlike(r"^\p{L}{3,}$"))
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The commonest plain words of all documents.
+
+    Words are counted where the rows are before they are shuffled; only the
+    top of the list reaches the driver.
+    """
+    word = docs.select(F.explode(words(F.lower("text"))).alias("w")).where(F.col("w").rlike(r"^\p{L}{3,}$"))
     return [r["w"] for r in word.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
 
 

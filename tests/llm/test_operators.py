@@ -142,6 +142,14 @@ def test_secret_forest_holds_out(spark):
     assert sum(r["label"] == r["prediction"] for r in out) / len(out) > 0.97
 
 
+def test_secret_dictionary_counts_every_document(spark):
+    """Beyond any sample: each of 6000 documents has a word of its own."""
+    name = F.translate(F.format_string("%04d", F.col("id").cast("int")), "0123456789", "abcdefghij")
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common "), name).alias("text"))
+    known = secrets.dictionary(docs, size=10_000)
+    assert known[0] == "common" and len(known) == 6001
+
+
 # -- 5 decontamination
 def test_decontamination_matches_brute_force(spark, corpus, sets):
     long = next(r["text"] for r in corpus.where("length(text) > 100000").collect())
