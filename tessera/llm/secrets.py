@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of at least 16 key characters with a digit.  A forest over
+Candidates are runs of at least 16 key characters with a digit, and values of
+at least 6 characters of any kind that a telling name is assigned.  A forest over
 length, character transitions, dictionary coverage, path and neighbouring words
 tells secrets from hashes in paths, identifiers, numbers and long words.  It is
 trained from labelled findings; :func:`labelled_findings` makes a deterministic
@@ -19,13 +20,18 @@ from pyspark.sql import functions as F
 from tessera.llm.common import let, words
 from tessera.llm.pii import positions
 
-#: A candidate starts where no key character precedes; the look-ahead asks for a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{16,}+"
 #: Code points of context on each side.
 CONTEXT = 48
 #: Labelled findings, words of the dictionary, at most.
 LABELLED, DICTIONARY = 4000, 2000
 KEYWORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "auth", "bearer", "credential", "credentials", "private", "access")
+#: A candidate starts where no key character precedes; the look-ahead asks for a digit.
+#: An equals sign ends it, but for the padding of base64.
+_RUN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_.=-]))?+"
+#: After a telling name and an assignment sign, any value of at least SHORT characters.
+SHORT = 6
+_NAMED = r"(?<=[=:\s\"'`])(?<=[=:]\s{0,3}[\"'`]?)(?<=(?i:" + "|".join(sorted(set(KEYWORDS))) + r")[A-Za-z0-9_-]{0,16}[\"']?\s{0,3}[=:]\s{0,3}[\"'`]?)(?![=:])[^\s\"'`<>,;&()\[\]{}|]{" + str(SHORT) + ",}+"
+CANDIDATE = f"{_NAMED}|{_RUN}"
 FEATURES = ("length", "entropy", "switches", "digits", "uppers", "symbols", "repeats", "hex", "numeric", "coverage", "in_path", "extension", "assigned", "quoted", "keyword", "plain_words")
 
 
@@ -45,7 +51,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    return docs.where(text.rlike("[0-9]")).select("doc_id", F.explode(let(text, found)).alias("c")).select("doc_id", "c.*")
+    return docs.where(text.rlike("[0-9=:]")).select("doc_id", F.explode(let(text, found)).alias("c")).select("doc_id", "c.*")
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
@@ -64,20 +70,19 @@ def features(found: DataFrame, known: list[str]) -> DataFrame:
     n = F.length(v)
     count = lambda pattern, s=v: (F.length(s) - F.length(F.regexp_replace(s, pattern, ""))).cast("double")
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9"), "[^aA9]", "-")
-    chars = F.split(v, "(?!^)")
     parts = F.split(F.lower(v), "[^a-z]+")
     vocabulary = F.split(F.lit(" ".join(known) or " "), " ")
     before = F.lower(F.regexp_extract(left, r"([\p{L}_]+)[\s=:\"'\(>]*$", 1))
     near = F.split(F.lower(F.concat(left, F.lit(" "), right)), r"[^\p{L}]+")
 
-    def entropy(c: Column) -> Column:
-        share = lambda x: F.size(F.filter(c, lambda y: y == x)) / F.size(c)
-        return F.aggregate(F.transform(F.array_distinct(c), share), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    def entropy(s: Column) -> Column:
+        share = lambda x: (F.length(s) - F.length(F.replace(s, x, F.lit("")))) / F.length(s)
+        return F.aggregate(F.transform(F.array_remove(F.array_distinct(F.split(s, "(?!^)")), ""), share), F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
     return found.withColumns(
         {
-            "length": F.least(n, F.lit(512)).cast("double"),
-            "entropy": let(F.slice(chars, 1, 512), entropy),
+            "length": n.cast("double"),
+            "entropy": let(v, entropy),
             "switches": count(r"(?<=^|a)(?=[A9-])|(?<=A)(?=[a9-])|(?<=9)(?=[aA-])", classes) + (F.size(F.split(classes, r"(?<=a)(?=[A9-])|(?<=A)(?=[9-])|(?<=9)(?=[aA-])")) - 1) / n,
             "digits": count("[0-9]") / n,
             "uppers": count("[A-Z]") / n,
@@ -101,14 +106,15 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, known: list[str] |
 
     Secrets: random hex, base64 and prefixed keys, mostly assigned to a name
     that tells; others: digests and ids in paths, dates and numbers, words
-    joined by signs, placeholders.  ``known`` gives the words around them.
+    joined by signs, placeholders, words assigned to such a name.  ``known`` gives the words around them.
     """
     vocabulary = F.split(F.lit(" ".join(known or ["value", "note", "text", "with", "from"])), " ")
     rows = spark.range(n).withColumn("r", F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512)).withColumn("b", F.translate(F.base64(F.unhex("r")), "=", ""))
     pick = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("int")
     word = lambda k: F.get(vocabulary, F.pmod(F.xxhash64("id", F.lit(k)), F.size(vocabulary)).cast("int"))
     from_ = lambda k, *xs: F.get(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs)), pick(k, len(xs)))
-    digits = F.translate("r", "abcdef", "012345")
+    digits, letters = F.translate("r", "abcdef", "012345"), F.translate("r", "0123456789", "ghijklmnop")
+    mixed = F.translate("b", "0123456789+/", "QRSTUVWXYZmn")
     secret = from_(
         1,
         F.substring("r", 1, 40),
@@ -117,6 +123,10 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, known: list[str] |
         F.substring("b", 1, 40),
         F.concat(F.lit("AKIA"), F.upper(F.substring("b", 1, 16))),
         F.concat(F.lit("ghp_"), F.regexp_replace(F.substring("b", 1, 60), "[+/]", "x")),
+        # from here on only candidates because a name tells
+        F.substring("b", 1, 8),
+        F.substring("b", 1, 12),
+        F.substring(mixed, 1, 24),
     )
     key = from_(2, "token", "secret", "password", "api_key", "auth_token", "access_key", "private_key", "secret_key")
     other = from_(
@@ -130,10 +140,16 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, known: list[str] |
         F.concat_ws("-", F.substring("r", 1, 8), F.substring("r", 9, 4), F.substring("r", 13, 4), F.substring("r", 17, 12)),
         F.lit("xxxxxxxxxxxxxxxx0000"),
         F.lit("EXAMPLE-KEY-1234567890"),
+        # words after a name that tells
+        word(4),
+        F.concat_ws("-", word(4), word(5)),
+        F.substring(letters, 1, 7),
+        F.substring(letters, 1, 10),
     )
+    named = F.when(F.col("id") % 2 == 1, pick(1, 9) >= 6).otherwise(pick(3, 13) >= 9)
     told = F.concat(word(8), F.lit(" "), key, from_(9, " = ", "=", ": ", ":"), from_(10, '"', "'", ""))
     label = F.col("id") % 2
-    left = F.when((label == 1) & (pick(11, 8) > 0), told).when((label == 0) & (pick(12, 6) == 0), F.concat(word(8), F.lit(" id: "))).otherwise(F.concat(word(8), F.lit(" "), word(13), F.lit(" ")))
+    left = F.when(named | (label == 1) & (pick(11, 8) > 0), told).when((label == 0) & (pick(12, 6) == 0), F.concat(word(8), F.lit(" id: "))).otherwise(F.concat(word(8), F.lit(" "), word(13), F.lit(" ")))
     return rows.select(F.when(label == 1, secret).otherwise(other).alias("value"), left.alias("left"), F.concat(F.lit('" '), word(14), F.lit(" "), word(15)).alias("right"), label.cast("double").alias("label"))
 
 
@@ -152,7 +168,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
     Positions are code points, end exclusive.  Null and empty texts have no
     findings; repeated rows repeat theirs; a candidate of any length is judged
-    whole (its entropy by its first 512 characters).  Empty tables give no
+    whole.  Empty tables give no
     rows; other columns are not read.
     """
     known = dictionary(docs)

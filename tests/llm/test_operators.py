@@ -150,6 +150,24 @@ def test_secret_dictionary_counts_every_document(spark):
     assert known[0] == "common" and len(known) == 6001
 
 
+def test_secret_assignments_are_split(spark):
+    """The value alone is reported, and a name that tells admits short and digit-free ones."""
+    key = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"
+    texts = {
+        0: (f"set API_KEY={key} now", key), 1: (f"go to http://h.x/a?token={key}&x=1", key), 2: ("my password: hT9x2LqP here", "hT9x2LqP"),
+        3: ("secret=hTQxrLqPzUmNcXvBbwEkrYkJ", "hTQxrLqPzUmNcXvBbwEkrYkJ"), 4: ("see aGVsbG8gd29ybGQgMTIzNDU2Nw== there", "aGVsbG8gd29ybGQgMTIzNDU2Nw=="), 5: ("nothing short: ab12cd", None),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.candidates(docs).collect()}
+    assert {i: r["value"] for i, r in got.items()} == {i: v for i, (_, v) in texts.items() if v}
+    assert all(texts[i][0][r["start"] : r["end"]] == r["value"] for i, r in got.items())
+    f = {r["doc_id"]: r for r in secrets.features(secrets.candidates(docs), []).collect()}
+    assert all(f[i]["assigned"] == f[i]["keyword"] == 1 for i in (0, 1, 2, 3)) and f[0]["hex"] == 1
+    assert {r["doc_id"] for r in secrets.scan(docs).collect()} >= {0, 2, 3}
+    long = spark.createDataFrame([("a" * 600 + "b" * 600, "", "")], "value string, left string, right string")
+    assert secrets.features(long, []).first()["entropy"] == pytest.approx(1.0)
+
+
 # -- 5 decontamination
 def test_decontamination_matches_brute_force(spark, corpus, sets):
     long = next(r["text"] for r in corpus.where("length(text) > 100000").collect())
