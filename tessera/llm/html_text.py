@@ -33,9 +33,9 @@ RANGE, MOST, SAMPLE = 1000, 10_000, 20_000
 COPY = 0.5
 
 # Element names by their role in HTML.
-RAW = frozenset("script style noscript template textarea title iframe svg math object audio video canvas select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object audio video canvas select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mspace mstyle semantics annotation".split())
 DROPPED = frozenset("nav footer aside form head header menu button dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 NAMES = frozenset(
@@ -48,7 +48,8 @@ MAIN = frozenset(("article", "main"))
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
-_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style")}
+_TAGS = {name: re.compile(rf"""<(/?){name}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.I) for name in RAW}
 
 
 @dataclass
@@ -73,12 +74,25 @@ def _drops(name: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+def _closed(page: str, name: str) -> dict[int, int]:
+    """Where the elements of a name start, and where their end tags end; unclosed ones are left out."""
+    out, opened = {}, []
+    for m in _TAGS[name].finditer(page):
+        if not m[1]:
+            if not (name == "svg" and m[2].endswith("/")):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def lines_of(page: str) -> list[Line]:
     """Text blocks of a page in page order; unclosed and cut-off markup is taken as it comes."""
     out: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []  # name, inside main, dropped
     held: list[str] = []
     at = 0
+    closed: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
@@ -109,10 +123,17 @@ def lines_of(page: str) -> list[Line]:
                 while stack.pop()[0] != name:
                     pass
             continue
-        if name in RAW:
+        if name in _ENDS:
             end = _ENDS[name].search(page, at)
             at = end.end() if end else len(page)
             continue
+        if name in RAW:
+            # a self-closing or unclosed element has no content to skip
+            if not (name == "svg" and m[3].endswith("/")):
+                if name not in closed:
+                    closed[name] = _closed(page, name)
+                at = closed[name].get(m.start(), at)
+            continue
         if name in VOID or m[3].endswith("/"):
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name[0] == "h" and name[1:].isdigit():

@@ -225,6 +225,18 @@ def test_html_lines_and_text():
     assert html_text.main_text(html_text.lines_of("<p>" * 3000 + "x"), []) == "x"
 
 
+@pytest.mark.parametrize("tag", ["<svg viewBox='0'/>", "<math/>", "<noscript>", "<video src='x'>", "<canvas>", "<select>", "<svg>t<svg/>u</svg>"])
+def test_html_skips_no_further_than_an_element(tag):
+    page = f"<article><p>One</p>{tag}<p>Two</p></article>"
+    assert html_text.main_text(html_text.lines_of(page), []) == "One Two"
+    later = f"<article><p>One</p>{tag}<p>Two</p><video>no</video><svg>no</svg></article>"
+    assert html_text.main_text(html_text.lines_of(later), []) == "One Two"
+
+
+def test_html_keeps_formulas():
+    assert html_text.main_text(html_text.lines_of("<article><p>where <math><mi>E</mi><mo>=</mo><mn>2</mn></math> holds</p></article>"), []) == "where E=2 holds"
+
+
 def test_html_differencing(spark):
     page = lambda body, top="Site top line": f"<body><p>{top}</p><p>{body}</p><p>Contact us here</p></body>"
     rows = [(1, "http://h.x/a/1", page("first text of some length that is its own and goes on")), (2, "http://h.x/a/2", page("second text of some length that is its own and goes on")), (3, "http://other.x/a/1", page("alone")), (4, None, None), (5, "http://h.x/b/1", ""), (6, "http://h.x/a/1", page("first text of some length that is its own and goes on"))]
