@@ -7,7 +7,8 @@ as boilerplate.  Differencing alone deletes text that articles share (licence
 lines, quoted passages, copies of a page) and keeps boilerplate that changes
 from page to page, so markup has the last word where it speaks: lines of an
 ``article`` or ``main`` element stay, lines of menus, adverts, forms and the
-like go, and the verdict of the difference holds for all others.
+like go, and the verdict of the difference holds for all others, on pages with
+an article too.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from tessera.llm.common import bounded_batches, hash_sample
 
 #: Pages of a range of the URL order, ranges at most (then they grow), keys sampled for the bounds.
 RANGE, MOST, SAMPLE = 1000, 10_000, 20_000
-#: A neighbour with more than this share of the page's text is a copy, not a template.
+#: A neighbour with more than this share of the page's text (of its article's, if it has one) may be a copy, not a template.
 COPY = 0.5
 
 # Element names by their role in HTML.
@@ -186,17 +187,33 @@ def shared(a: list[int], b: list[int]) -> set[int]:
 
 
 def main_text(lines: list[Line], neighbours: list[list[int]]) -> str:
-    """Text of a page; ``neighbours``: line digests of the nearest page, then the next."""
-    if any(x.main and not x.dropped for x in lines):
-        return " ".join(x.text for x in lines if x.main and not x.dropped)
+    """Text of a page; ``neighbours``: line digests of the nearest page, then the next.
+
+    Lines of an article stay; the first neighbour that is no copy judges the
+    rest.  One that shares most of the text is a copy unless both neighbours
+    share the very same lines and go their own ways in the others, as pages of
+    one template do; a page whose neighbours are all copies stays whole.
+    """
     kept = [x for x in lines if not x.dropped]
+    if all(x.main for x in kept):
+        return " ".join(x.text for x in kept)
     own = [digest(x.text) for x in kept]
-    total = sum(len(x.text) for x in kept)
+    some = any(x.main for x in kept)
+    size = [len(x.text) if x.main or not some else 0 for x in kept]
+    gone: set[int] = set()
+    both = []
     for other in neighbours:
-        gone = shared(own, other)
-        if sum(len(kept[i].text) for i in gone) <= COPY * total:
-            return " ".join(x.text for i, x in enumerate(kept) if i not in gone)
-    return " ".join(x.text for x in kept)
+        out = shared(own, other)
+        if sum(size[i] for i in out) <= COPY * sum(size):
+            gone = out
+            break
+        both.append(out)
+    else:
+        if len(both) == 2 and both[0] == both[1] and len(both[0]) < len(own):
+            ways = [set(other).difference(own) for other in neighbours]
+            if ways[0] and ways[1] and not ways[0] & ways[1]:
+                gone = both[0]
+    return " ".join(x.text for i, x in enumerate(kept) if x.main or i not in gone)
 
 
 _HOST, _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)"

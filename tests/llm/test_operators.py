@@ -252,6 +252,25 @@ def test_html_differencing(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_html_difference_judges_beside_an_article():
+    """A body in plain divs stays beside a teaser; shared lines outside the article go."""
+    page = lambda k: html_text.lines_of(f"<div>Top line of the site</div><article>Teaser {k}</article><div>Long body of page {k}</div>")
+    other = [[html_text.digest(x.text) for x in page(k)] for k in (2, 3)]
+    assert html_text.main_text(page(1), other) == "Teaser 1 Long body of page 1"
+    assert html_text.main_text(page(1), []) == "Top line of the site Teaser 1 Long body of page 1"
+
+
+def test_html_large_template_is_no_copy():
+    template = "".join(f"<p>A long line of the template, number {i}</p>" for i in range(9))
+    page = lambda *own: html_text.lines_of(template + "".join(f"<p>{x}</p>" for x in own))
+    digests = lambda lines: [html_text.digest(x.text) for x in lines]
+    assert html_text.main_text(page("short a"), [digests(page("short b")), digests(page("short c"))]) == "short a"
+    whole = " ".join(x.text for x in page("short a"))
+    assert html_text.main_text(page("short a"), [digests(page("short a"))] * 2) == whole  # copies
+    assert html_text.main_text(page("short a"), [digests(page("short b"))] * 2) == whole  # an edited copy of two equal pages
+    assert html_text.main_text(page("short a"), [digests(page("short b"))]) == whole
+
+
 @pytest.mark.parametrize(("a", "b", "want"), [([1, 2, 3, 4], [2, 4], {1, 3}), ([1, 1, 2], [1, 2, 1], None), ([], [1], set()), ([5], [], set())])
 def test_lcs(a, b, want):
     got = html_text.shared(a, b)
