@@ -194,9 +194,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents in which no item was found; rows with a null id stay."""
-    bad = contaminated(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents in which no item was found.
+
+    Rows are judged by their own text, whatever their id; items without an id
+    are searched under a surrogate.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text")).alias("item_id"), "text")
+    bad = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(bad, "__key", "left_anti").select(docs.columns)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -411,15 +411,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near duplicates: of each component the row with
-    the least doc_id stays (of rows that repeat it, the least text); rows
-    without an id all stay.  Columns are those of ``docs``."""
+    """The documents without near duplicates: of each component one row stays,
+    that of the least doc_id, a row without an id only where no other has one.
+
+    Rows are told by id and text, so rows that share an id are judged each, and
+    of rows that repeat both one stays.  Null and wordless texts are copies of
+    nothing; those without an id all stay.  Columns are those of ``docs``."""
     from pyspark.sql import Window
 
-    kept = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    cols = docs.columns
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").select(cols)
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text")).distinct()
+    found = found.select(F.col("doc_id").alias("__key"), "component_id", (F.col("n_shingles") == 0).alias("blank"))
+    # keys are aggregated before they are joined, so many copies of a text meet in no task
+    first = keyed.groupBy("__key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
+    best = first.join(found.where("not blank"), "__key").groupBy("component_id").agg(F.min(F.struct("first", "__key")).alias("best"))
+    best = best.select(F.col("best.first.doc_id").alias("__id"), F.col("best.__key").alias("__of"))
+    blank = found.where("blank").select(F.col("__key").alias("__of"))
+    of_key = F.col("__key") == F.col("__of")
+    kept = keyed.join(best, of_key & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    empty = keyed.join(blank, of_key, "left_semi")
+    one = kept.unionByName(empty.where("doc_id is not null"))
+    one = one.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__key"))).where("__n = 1")
+    return one.select(docs.columns).unionByName(empty.where("doc_id is null").select(docs.columns))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tests.llm.test_near_duplicates import brute
 
 from tessera.llm import quality
+from tessera.llm.decontamination import drop_contaminated
+from tessera.llm.near_duplicates import keep_one_of_each
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +61,15 @@ def test_empty_tables(spark, sf_dir, corpus, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{out}/{t}.parquet")
     assert corpus_pipeline.run(spark, out).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    """Rows are judged each, not by an id that they share or lack."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, text("a")), (2, text("b")), (2, text("c")), (3, text("c")), (2, text("d")), (None, text("a")), (None, text("e")), (None, text("e")), (4, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, keep_one_of_each(docs).collect()), key=repr)
+    assert got == sorted([(1, text("a")), (2, text("b")), (2, text("c")), (2, text("d")), (None, text("e")), (4, None), (None, None)], key=repr)
+    bench = spark.createDataFrame([(None, text("b")), (7, text("e"))], "item_id long, text string")
+    left = drop_contaminated(docs, bench).collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([r for r in rows if r[1] not in (text("b"), text("e"))], key=repr)
