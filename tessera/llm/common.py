@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,36 +18,50 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see (spark.checkpoint.dir).
 
-    A temporary local folder is chosen only where the setting is absent, which
-    is right for single-machine tests alone.
+    A temporary local folder is chosen only where the setting is absent and all
+    runs in one process, as in tests; on a cluster the setting is needed.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 32) -> None:
-    """Let Arrow batches end at a size as well as at a number of rows, so that
-    very long texts don't add up in a Python worker.  A value that the session
-    was given is left alone."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b") or 0) in (-1, 0, 2147483647, 9223372036854775807):
-        spark.conf.set(key, str(megabytes << 20))
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage so that
     a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders staged in each open scratch().
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that are staged inside are removed at the end, also after a failure.
+
+    What is returned from inside must have been written before.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            to = spark._jvm.org.apache.hadoop.fs.Path(path)
+            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def hash_sample(df: DataFrame, by: list[str], limit: int) -> DataFrame:
     """About nine tenths of ``limit`` rows by a hash of their columns ``by``, or all if they are no more.
 

@@ -30,7 +30,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches
 from tessera.llm.shingles import U, mix, pieces, shingle_hashes, shingle_sets, word_hashes
 
 #: Chance that a contained item has no matching bin.
@@ -179,7 +178,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     other columns are not read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
     n = max(1, -(-items.count() // block))
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, hash_sample
+from tessera.llm.common import hash_sample
 
 #: Pages of a range of the URL order, ranges at most (then they grow), keys sampled for the bounds.
 RANGE, MOST, SAMPLE = 1000, 10_000, 20_000
@@ -313,7 +313,6 @@ def extract(pages: DataFrame, per_range: int = RANGE) -> DataFrame:
     rows are extracted each (as copies they are no template of each other).
     Empty tables give no rows; other columns are not read.
     """
-    bounded_batches(pages.sparkSession)
     keyed = _keyed(pages)
     keys = keyed.select("host", "path", "page_id")
     n = min(MOST, max(1, -(-keys.count() // per_range)))

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 
 U = np.uint64
 N_WORDS = 5
-#: Bytes hashed at a time; a longer document is one piece of its own.
+#: Bytes hashed at a time; a longer document is a piece of its own, hashed in parts.
 PIECE = 1 << 20
 _R = 0x9E3779B97F4A7C15
 
@@ -75,7 +75,27 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the index of the first word of each text (with an end)."""
+    """Hash of each word, and the index of the first word of each text (with an end).
+
+    A long text is hashed in parts that end between words, so only the hashes
+    of its words (not the arrays over its bytes) grow with it.
+    """
+    if len(offs) != 2 or len(data) <= 2 * PIECE:
+        return _word_hashes(data, offs)
+    parts, at, sep = [], 0, _powers(PIECE)[3]
+    while at < len(data):
+        end = at + PIECE
+        while end < len(data) and not sep[data[end - PIECE : end]].any():
+            end += PIECE
+        if end < len(data):
+            end -= int(sep[data[end - PIECE : end]][::-1].argmax())
+        parts.append(_word_hashes(data[at:end], np.array([0, len(data[at:end])]))[0])
+        at = end
+    words = np.concatenate(parts)
+    return words, np.array([0, len(words)])
+
+
+def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.empty(0, U), np.zeros(len(offs), np.int64)

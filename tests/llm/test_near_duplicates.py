@@ -94,3 +94,15 @@ def test_keys_meet_at_the_threshold(n):
         a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n : 2 * n - shared]]))
         k = [set(nd.group_keys(x, np.array([0, len(x)]))[0].tolist()) for x in (a, b)]
         assert k[0] & k[1]
+
+
+def test_long_texts_are_hashed_in_parts():
+    """Words, shingles and their hashes are those of the text in one piece."""
+    from tessera.llm import shingles
+
+    text = " ".join(f"w{i % 977}" for i in range(900_000)) + " " + "x" * 3_000_000 + "  y z"
+    data = np.frombuffer(text.encode(), np.uint8)
+    offs = np.array([0, len(data)])
+    assert len(data) > 2 * shingles.PIECE
+    got, first = shingles.word_hashes(data, offs)
+    assert (got == shingles._word_hashes(data, offs)[0]).all() and first.tolist() == [0, 900_003]

@@ -7,6 +7,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,62 @@ def test_language(spark):
     assert language.identify(docs, language.learn(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_matches_brute_force(spark, corpus):
+    """Trigrams, probabilities, mixtures and the choice of languages, one by one in Python."""
+    sentence = {"en": "the cat sat on the mat and the dog lay by the door ", "fr": "le chat est sur le tapis et le chien est à la porte ", "de": "die Katze saß auf der Matte und der Hund lag vor der Tür "}
+    rows = [(i, sentence[k] * (1 + i % 3), k) for i, k in enumerate(["en", "fr", "de"] * 12)]
+    rows += [(100 + i, sentence[a] * 4 + sentence[b] * (i + 1), None) for i, (a, b) in enumerate([("en", "fr"), ("fr", "de"), ("de", "en"), ("en", "de")])]
+    rows += [(200, sentence["en"] * 60_000, None), (201, "½ ² 3", None), (202, "①", None), (203, "é", None)]
+    docs = spark.createDataFrame([(*r, r[0]) for r in rows + rows[:5]], "doc_id long, text string, lang string, score long")
+    trained = [r for r in rows + rows[:5] if r[2] is not None]
+
+    def grams(text):
+        low = [32, 32] + [(b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalpha() else 32 for b in text.encode()]
+        return Counter((a << 16 | b << 8 | c) * 2654435761 % 2**32 >> 18 for a, b, c in zip(low, low[1:], low[2:], strict=False) if b != 32 or (a != 32 and c != 32))
+
+    langs = ["de", "en", "fr"]
+    total = {k: sum((grams(t) for _, t, x in trained if x == k), Counter()) for k in langs}
+    p = {k: lambda b, k=k: (total[k][b] + 0.5) / (total[k].total() + 0.5 * language.BUCKETS) for k in langs}
+
+    def em(n, own, share, rounds):
+        for _ in range(rounds):
+            new = dict.fromkeys(own, 0.0)
+            for b, m in n.items():
+                dense = sum(share[k] * p[k](b) for k in own)
+                for k in own:
+                    new[k] += m * share[k] * p[k](b) / dense / n.total()
+            moved = max(abs(new[k] - share[k]) for k in own)
+            share = new
+            if moved < 1e-3:
+                break
+        return share, sum(m * np.log(sum(share[k] * p[k](b) for k in own)) for b, m in n.items())
+
+    def expected(text):
+        n = grams(text)
+        share, _ = em(n, langs, dict.fromkeys(langs, 1 / 3), 20)
+        order, best = sorted(langs, key=lambda k: (-share[k], k)), None
+        for size in (1, 2, 3):
+            own = order[:size]
+            part, fit = em(n, own, {k: share[k] / sum(share[x] for x in own) for k in own}, 5)
+            value = fit - size * 3 * np.log(max(2, n.total()))
+            if best is not None and value <= best[1]:
+                break
+            best = part, value
+        return max(best[0].items(), key=lambda x: x[1])
+
+    model = language.learn(docs)
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    for i, t, _ in rows:
+        if i in (201, 202):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+        elif i != 200:
+            lang, score = expected(t)
+            assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-6)
+    assert got[200]["lang_pred"] == "en" and len(rows[-4][1]) > 3_000_000
+    # what reaches the driver doesn't grow with the partitions
+    assert len({language.bucket_counts(docs.repartition(n)).count() for n in (1, 7)}) == 1
+
+
 # -- 7 html
 def test_html_lines_and_text():
     page = '<html><head><title>t</title><script>var x="</p>";</script></head><body><nav>menu</nav><div class="ad">buy</div><article><h1>Head &amp; <b>bold</b></h1><p>One<br>two<p>Three &#233;<!-- no --></article><footer>f</footer></body></html>'
