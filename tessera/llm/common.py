@@ -32,13 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage so that
-    a lost executor costs a re-read, not a recomputation."""
+    a lost executor costs a re-read, not a recomputation.
+
+    The folder is noted in ``into``, or else in the innermost scratch().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
+    for noted in [into] if into is not None else _scratch[-1:]:
+        noted.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,18 +51,23 @@ _scratch: list[list[str]] = []
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Folders that are staged inside are removed at the end, also after a failure.
 
-    What is returned from inside must have been written before.
+    What is used later must have been written elsewhere before.
     """
     _scratch.append([])
     try:
-        yield
+        yield _scratch[-1]
     finally:
-        for path in _scratch.pop():
-            to = spark._jvm.org.apache.hadoop.fs.Path(path)
-            to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+        discard(spark, _scratch.pop())
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders of the shared storage."""
+    for path in paths:
+        to = spark._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
 
 
 def hash_sample(df: DataFrame, by: list[str], limit: int) -> DataFrame:

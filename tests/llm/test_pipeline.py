@@ -73,3 +73,22 @@ def test_rows_without_or_with_repeated_ids(spark):
     bench = spark.createDataFrame([(None, text("b")), (7, text("e"))], "item_id long, text string")
     left = drop_contaminated(docs, bench).collect()
     assert sorted(map(tuple, left), key=repr) == sorted([r for r in rows if r[1] not in (text("b"), text("e"))], key=repr)
+
+
+def test_repeated_id_keeps_its_unique_text(spark):
+    """An id that one row shares with a copy doesn't take its other text along."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(5, text("u")), (5, text("t") + " more"), (3, text("t"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, keep_one_of_each(docs).collect())) == [(3, text("t")), (5, text("u"))]
+
+
+def test_run_leaves_one_folder(spark, sf_dir):
+    """Only the last stage's input stays in the shared folder."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("staged-*"))
+    corpus_pipeline.run(spark, sf_dir).count()
+    left = set(shared.glob("staged-*")) - before
+    assert sum("staged-mixing" in x.name for x in left) == 1 and not any(x.name.startswith(f"staged-{k}") for x in left for k in ("quality", "jaccard", "decontamination", "edges", "sets"))
