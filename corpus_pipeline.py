@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import discard, scratch, staged
 from tessera.llm.decontamination import drop_contaminated
 from tessera.llm.mixing import take_mix
 from tessera.llm.near_duplicates import keep_one_of_each
@@ -60,8 +60,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
+    """All stages over documents; each result is written and read again.
+
+    What a stage stages on its way, and its predecessor's result, are removed
+    when its own result is written, and all of it after a failure; the input
+    of the last stage stays in the shared folder until the result was used.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    with scratch(spark) as results:
+        for name, stage in STAGES[:-1]:
+            with scratch(spark):
+                docs = staged(stage(spark, docs, sf_dir), name, results)
+            discard(spark, results[:-1])
+            del results[:-1]
+        results.clear()
     return STAGES[-1][1](spark, docs, sf_dir)
