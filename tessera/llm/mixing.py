@@ -24,8 +24,8 @@ from tessera.llm.common import n_words, staged
 REPEAT_COSTS = (0, 1, 3)
 #: Patterns and sources at most on the driver; more are refused, not dropped.
 MAX_PATTERNS = 100_000
-#: Cells of the seeded order over which the cut is found.
-CELLS = 1024
+#: Hexadecimal digits of the seeded order that make a cell; the cut is found over cells first.
+CELL_DIGITS = 4
 
 
 def fill_targets(sizes: list[int], weights: list[int], most: float = len(REPEAT_COSTS)) -> list[float]:
@@ -67,33 +67,72 @@ class Network:
         return len(self.to) - 2
 
     def route(self, source: int, sink: int) -> None:
+        """All flow of least cost.
+
+        For each distance of the sink, the arcs on shortest paths are filled by
+        blocking flows; costs are few small numbers, so there are few distances.
+        """
         price = [0] * self.n
         while True:
             dist: list[int | None] = [None] * self.n
-            via, heap = [-1] * self.n, [(0, source)]
+            heap = [(0, source)]
             dist[source] = 0
             while heap:
                 d, u = heapq.heappop(heap)
                 if d > dist[u]:
                     continue
                 for a in self.out[u]:
-                    v, nd = self.to[a], d + self.cost[a] + price[u] - price[self.to[a]]
-                    if self.room[a] > 0 and (dist[v] is None or nd < dist[v]):
-                        dist[v], via[v] = nd, a
-                        heapq.heappush(heap, (nd, v))
+                    v = self.to[a]
+                    if self.room[a] > 0:
+                        nd = d + self.cost[a] + price[u] - price[v]
+                        if dist[v] is None or nd < dist[v]:
+                            dist[v] = nd
+                            heapq.heappush(heap, (nd, v))
             if dist[sink] is None:
                 return
             far = max(d for d in dist if d is not None)
             price = [p + (far if d is None else d) for p, d in zip(price, dist, strict=True)]
-            push, v = None, sink
-            while v != source:
-                push = self.room[via[v]] if push is None else min(push, self.room[via[v]])
-                v = self.to[via[v] ^ 1]
-            v = sink
-            while v != source:
-                self.room[via[v]] -= push
-                self.room[via[v] ^ 1] += push
-                v = self.to[via[v] ^ 1]
+            while self._fill(source, sink, price):
+                pass
+
+    def _fill(self, source: int, sink: int, price: list[int]) -> bool:
+        """A blocking flow over arcs of reduced cost 0; false if the sink isn't reached."""
+        free = lambda a, u: self.room[a] > 0 and self.cost[a] + price[u] == price[self.to[a]]
+        level, queue = {source: 0}, [source]
+        for u in queue:
+            for a in self.out[u]:
+                v = self.to[a]
+                if v not in level and free(a, u):
+                    level[v] = level[u] + 1
+                    queue.append(v)
+        if sink not in level:
+            return False
+        tried, path, u = dict.fromkeys(level, 0), [], source
+        while True:
+            if u == sink:
+                push = min(self.room[a] for a in path)
+                for a in path:
+                    self.room[a] -= push
+                    self.room[a ^ 1] += push
+                # go on from the tail of the first arc that is full
+                k = next(i for i, a in enumerate(path) if not self.room[a])
+                u = self.to[path[k] ^ 1]
+                del path[k:]
+                continue
+            arcs = self.out[u]
+            while tried[u] < len(arcs):
+                a = arcs[tried[u]]
+                if level.get(self.to[a]) == level[u] + 1 and free(a, u):
+                    break
+                tried[u] += 1
+            if tried[u] < len(arcs):
+                path.append(arcs[tried[u]])
+                u = self.to[path[-1]]
+            elif path:
+                u = self.to[path.pop() ^ 1]
+                tried[u] += 1
+            else:
+                return True
 
 
 def route_tokens(patterns: list[tuple[tuple, int]], quotas: dict, costs: tuple[int, ...] = REPEAT_COSTS) -> list[dict]:
@@ -125,20 +164,34 @@ def _pattern_key(pattern: Column) -> Column:
 
 
 def _placed(docs: DataFrame, membership: Column, seed: int) -> DataFrame:
-    """Adds pattern, its key __p, and the seeded order: cell __cell, then __h, then doc_id."""
-    marked = docs.withColumn("__pattern", F.array_sort(F.array_distinct(membership)))
-    return marked.withColumns({"__p": _pattern_key(F.col("__pattern")), "__h": F.xxhash64(F.lit(seed), "doc_id")}).withColumn("__cell", F.pmod("__h", F.lit(CELLS)).cast("int"))
+    """Adds the pattern, its key __mix_p, and the seeded order __mix_h with its cell.
+
+    The order is a digest of seed, id and text, so rows that share an id or
+    lack one are still told apart; __mix_draw (0 to 1) tells equal rows apart.
+    """
+    marked = docs.withColumn("__mix_pattern", F.array_sort(F.array_distinct(membership)))
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
+    marked = marked.withColumns({"__mix_p": _pattern_key(F.col("__mix_pattern")), "__mix_h": h, "__mix_draw": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)})
+    return marked.withColumn("__mix_cell", F.substring("__mix_h", 1, CELL_DIGITS))
+
+
+#: What is kept of a row to find the rules.
+SLIM = ("__mix_size", "__mix_pattern", "__mix_p", "__mix_h", "__mix_cell", "__mix_draw")
 
 
 def _rules(sized: DataFrame, weights) -> DataFrame:
     """One row for each pattern: what the flow takes of it, and where it cuts the seeded order."""
-    rows = sized.groupBy("__pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+    rows = sized.groupBy("__mix_pattern").agg(F.sum("__mix_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     name = lambda s: (s is None, s or "")
-    patterns = sorted(((tuple(r["__pattern"]), r["size"]) for r in rows), key=lambda p: [name(s) for s in p[0]])
+    patterns = sorted(((tuple(r["__mix_pattern"]), r["size"]) for r in rows), key=lambda p: [name(s) for s in p[0]])
     sources = sorted({s for p, _ in patterns for s in p}, key=name)
-    sizes = {s: sum(n for p, n in patterns if s in p) for s in sources}
+    sizes = dict.fromkeys(sources, 0)
+    for p, n in patterns:
+        for s in p:
+            sizes[s] += n
     weight = weights(sources)
     total, held = sum(n for _, n in patterns), sum(sizes.values())
     shares = fill_targets([sizes[s] for s in sources], [weight[s] for s in sources])
@@ -146,32 +199,34 @@ def _rules(sized: DataFrame, weights) -> DataFrame:
     flows = route_tokens(patterns, {s: int(targets[s]) for s in sources})
     schema = T.StructType(
         [
-            T.StructField("__pattern", sized.schema["__pattern"].dataType),
-            T.StructField("whole", T.LongType()),
-            T.StructField("rest", T.LongType()),
-            T.StructField("source_size", T.ArrayType(T.LongType())),
-            T.StructField("target", T.ArrayType(T.DoubleType())),
+            T.StructField("__mix_pattern", sized.schema["__mix_pattern"].dataType),
+            T.StructField("__mix_whole", T.LongType()),
+            T.StructField("__mix_rest", T.LongType()),
+            T.StructField("__mix_source_size", T.ArrayType(T.LongType())),
+            T.StructField("__mix_target", T.ArrayType(T.DoubleType())),
         ]
     )
     given = [sum(f.values()) for f in flows]
     plan = [(list(p), x // n if n else 0, x % n if n else 0, [sizes[s] for s in p], [targets[s] for s in p]) for (p, n), x in zip(patterns, given, strict=True)]
-    plan = sized.sparkSession.createDataFrame(plan, schema).withColumn("__p", _pattern_key(F.col("__pattern")))
-    cells = sized.groupBy("__p", "__cell").agg(F.sum("size").alias("b"))
-    before = Window.partitionBy("__p").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cells.withColumn("b0", F.coalesce(F.sum("b").over(before), F.lit(0))).join(plan.select("__p", "rest"), "__p").where("b0 < rest")
-    cut = cut.groupBy("__p").agg(F.max("__cell").alias("cut"), F.max_by("b0", "__cell").alias("b0"), F.first("rest").alias("rest"))
-    # rows of the cell in which the share is reached: a 1024th of a pattern
-    edge = sized.join(F.broadcast(cut.withColumnRenamed("cut", "__cell")), ["__p", "__cell"])
-    in_cell = Window.partitionBy("__p").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("__b", F.col("b0") + F.sum("size").over(in_cell)).where(F.col("__b") - F.col("size") / 2 <= F.col("rest"))
-    last = edge.groupBy("__p").agg(F.max(F.struct("__h", "doc_id")).alias("last"))
-    return plan.drop("__pattern").join(cut.select("__p", "cut"), "__p", "left").join(last, "__p", "left")
+    plan = sized.sparkSession.createDataFrame(plan, schema).withColumn("__mix_p", _pattern_key(F.col("__mix_pattern")))
+    # the cell in which a pattern's share is reached, then the place in it; equal rows are one step
+    cells = sized.groupBy("__mix_p", "__mix_cell").agg(F.sum("__mix_size").alias("b"))
+    before = Window.partitionBy("__mix_p").orderBy("__mix_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cells.withColumn("b0", F.coalesce(F.sum("b").over(before), F.lit(0))).join(plan.select("__mix_p", F.col("__mix_rest").alias("rest")), "__mix_p").where("b0 < rest")
+    cut = cut.groupBy("__mix_p").agg(F.max("__mix_cell").alias("__mix_cell"), F.max_by("b0", "__mix_cell").alias("b0"), F.first("rest").alias("rest"))
+    edge = sized.where("__mix_size > 0").join(F.broadcast(cut), ["__mix_p", "__mix_cell"]).groupBy("__mix_p", "__mix_h").agg(F.sum("__mix_size").alias("n"), F.max("__mix_size").alias("one"), F.first("b0").alias("b0"), F.first("rest").alias("rest"))
+    in_cell = Window.partitionBy("__mix_p").orderBy("__mix_h").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("at", F.col("b0") + F.coalesce(F.sum("n").over(in_cell), F.lit(0)))
+    # a row is taken if more than half of it fits; of equal rows, the share that fits
+    fits = F.when(F.col("n") == F.col("one"), (F.col("at") + F.col("n") / 2 <= F.col("rest")).cast("double")).otherwise((F.col("rest") - F.col("at")) / F.col("n"))
+    last = edge.where("at < rest").groupBy("__mix_p").agg(F.max("__mix_h").alias("__mix_last"), F.max_by(F.least(fits, F.lit(1.0)), "__mix_h").alias("__mix_share"))
+    return plan.drop("__mix_pattern").join(last, "__mix_p", "left")
 
 
 def _copies() -> Column:
     """How often a document is taken: a comparison with its pattern's cut."""
-    once_more = (F.col("__cell") < F.col("cut")) | ((F.col("__cell") == F.col("cut")) & F.coalesce(F.struct("__h", "doc_id") <= F.col("last"), F.lit(False)))
-    return F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("long")
+    once_more = (F.col("__mix_h") < F.col("__mix_last")) | ((F.col("__mix_h") == F.col("__mix_last")) & (F.col("__mix_draw") < F.col("__mix_share")))
+    return F.col("__mix_whole") + F.coalesce(once_more, F.lit(False)).cast("long")
 
 
 def mix_to_weights(docs: DataFrame, membership: Column, weights=cycle_weights, seed: int = 17) -> DataFrame:
@@ -184,25 +239,30 @@ def mix_to_weights(docs: DataFrame, membership: Column, weights=cycle_weights, s
     pattern's order), taken.
 
     Null text has size 0 and nothing is taken of it; a null source is a source
-    of its own; rows that repeat an id are taken alike, each counted.  The
-    seeded order is one of ids, so reruns agree.  An empty table gives no rows;
-    other columns are not read.
+    of its own.  The seeded order is one of id and text; rows that repeat both
+    follow each other in it, and where the cut falls among them, a share of
+    them is taken by their place in the table, so reruns over the same files
+    agree.  An empty table gives no rows; a text of any length is counted
+    whole; other columns are not read, whatever their names.
     """
-    sized = _placed(docs, membership, seed).select("doc_id", n_words(F.col("text")).alias("size"), "__pattern", "__p", "__h", "__cell")
+    sized = _placed(docs, membership, seed).withColumn("__mix_size", n_words(F.col("text"))).select("doc_id", *SLIM)
     sized = staged(sized, "sizes")  # the texts are read once
     # one row for each pattern, whose number is checked
-    return sized.join(F.broadcast(_rules(sized, weights)), "__p").select("doc_id", "size", F.col("__pattern").alias("pattern"), "source_size", "target", (_copies() * F.col("size")).alias("taken"))
+    return sized.join(F.broadcast(_rules(sized, weights)), "__mix_p").select(
+        "doc_id", F.col("__mix_size").alias("size"), F.col("__mix_pattern").alias("pattern"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (_copies() * F.col("__mix_size")).alias("taken")
+    )
 
 
 def take_mix(docs: DataFrame, membership: Column, weights=cycle_weights, seed: int = 17) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns.
 
     Documents without words are not taken.  Texts aren't shuffled: each row
-    is compared with the cut of its pattern.
+    is compared with the cut of its pattern.  Nulls, ties, repeated rows and
+    empty tables as in :func:`mix_to_weights`.
     """
     placed = _placed(docs, membership, seed)
-    sized = staged(placed.select("doc_id", n_words(F.col("text")).alias("size"), "__pattern", "__p", "__h", "__cell"), "sizes")
+    sized = staged(placed.withColumn("__mix_size", n_words(F.col("text"))).select("doc_id", *SLIM), "sizes")
     rules = staged(_rules(sized, weights), "rules")
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    taken = placed.where(some).join(F.broadcast(rules), "__p").select(*docs.columns, _copies().alias("__copies")).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    taken = placed.where(some).join(F.broadcast(rules), "__mix_p").select(*(F.col(f"`{c}`") for c in docs.columns), _copies().alias("__mix_copies")).where("__mix_copies > 0")
+    return taken.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

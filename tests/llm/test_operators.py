@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -373,6 +374,76 @@ def test_mixing(corpus, nothing):
     assert mixing.mix_to_weights(nothing, F.array("source")).count() == 0
 
 
+def test_mixing_targets_and_cut_by_hand(spark):
+    """Targets by exact fractions, then the cut by one walk over the seeded order."""
+    from fractions import Fraction
+
+    rng = random.Random(2)
+    rows = [(i, " ".join("w" * rng.randrange(1, 30)), rng.choice(["a", "b", "c", "d", None])) for i in range(400)] + [(None, f"x {'y ' * (i % 9)}{i}", "b") for i in range(300)] + [(1, None, "a"), (2, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    order = ["a", "b", "c", "d", None]
+    weight = dict(zip(order, [1, 2, 3, 1, 2], strict=True))
+    target, open_ = {}, set(order)
+    while open_:
+        left = sum(size.values()) - sum(target.values())
+        part = {s: Fraction(left * weight[s], sum(weight[x] for x in open_)) for s in open_}
+        over = {s for s in open_ if part[s] > 3 * size[s]}
+        target |= {s: Fraction(3 * size[s]) for s in over} if over else part
+        open_ = open_ - over if over else set()
+    want = Counter()
+    for s in order:
+        own = sorted((hashlib.md5(f"17:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), i, len(WORD.findall(t or ""))) for i, t, x in rows if x == s)
+        whole, rest = divmod(int(target[s]), size[s])
+        at = 0
+        for _, i, n in own:
+            want[i, s, n, n * (whole + (n > 0 and at < rest and at + n / 2 <= rest))] += 1
+            at += n
+    got = mixing.mix_to_weights(docs, F.array("source")).collect()
+    assert Counter((r["doc_id"], r["pattern"][0], r["size"], r["taken"]) for r in got) == want
+    assert all(r["target"][0] == pytest.approx(float(target[r["pattern"][0]])) for r in got)
+
+
+def test_mixing_ties_and_names(spark):
+    """Rows without an id are told apart, equal rows are split, clashing columns stay."""
+    rows = [(None, f"word {i}", "p" if i % 3 else "q", 1, 2) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target int, cut int").withColumns({c: F.lit(c) for c in ("last", "whole", "rest", "source_size", "size", "pattern", "__p", "__h")})
+    for table, near in ((docs, 4), (docs.withColumn("text", F.lit("same words")), 300)):
+        got = mixing.mix_to_weights(table, F.array("source")).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()
+        assert len(got) == 2 and all(abs(r["t"] - r["target"][0]) <= near for r in got)
+        taken = mixing.take_mix(table, F.array("source"))
+        assert taken.columns == docs.columns
+        by = {r["source"]: r["n"] for r in taken.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+        assert all(abs(by[s] - t) <= near for s, t in (("p", 4000 / 3), ("q", 8000 / 3)) if s in by)
+
+
+def test_flow_is_least_cost():
+    """Against every division of small patterns over their sources."""
+    from itertools import product
+
+    rng = random.Random(4)
+    for _ in range(60):
+        members = rng.sample([("a",), ("b",), ("a", "b"), ("c",), ("b", "c"), ("a", "b", "c")], 3)
+        patterns = [(m, rng.randrange(0, 3)) for m in members]
+        quotas = {s: rng.randrange(0, 5) for s in "abc"}
+        cost = lambda used: sum(max(0, min(u, 2 * n) - n) + 3 * max(0, u - 2 * n) for u, (_, n) in zip(used, patterns, strict=True))  # noqa: E731, B023
+        ways = [[w for w in product(*(range(3 * n + 1) for _ in m)) if sum(w) <= 3 * n] for m, n in patterns]
+        best = None
+        for w in product(*ways):
+            got = Counter()
+            for (m, _), give in zip(patterns, w, strict=True):
+                got.update(dict(zip(m, give, strict=True)))
+            if all(got[s] <= quotas[s] for s in quotas):
+                key = (-got.total(), cost([sum(x) for x in w]))
+                best = key if best is None else min(best, key)
+        flows = mixing.route_tokens(patterns, quotas)
+        used = [sum(f.values()) for f in flows]
+        assert (-sum(used), cost(used)) == best
+        assert all(sum(f.get(s, 0) for f in flows) <= quotas[s] for s in quotas)
+
+
 def test_flow_prefers_fresh_text_and_overlap():
     flows = mixing.route_tokens([(("a",), 10), (("a", "b"), 10), (("b",), 2)], {"a": 15, "b": 12})
     out = {s: sum(f.get(s, 0) for f in flows) for s in "ab"}
