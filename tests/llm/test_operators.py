@@ -468,6 +468,29 @@ def test_sharding(corpus, nothing, tolerance):
     assert sharding.shard_by_bytes(nothing).count() == 0
 
 
+def test_sharding_cells_leave_the_order(spark, monkeypatch):
+    """Small cells, a text and a row that repeat: shards and slots are those of a plain sort."""
+    rows = [(i, f"text {i % 90}") for i in range(400)] + [(i, "hot text of many") for i in range(1000, 1500)] + [(None, "null id")] * 200 + [(3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, size int")
+    whole = Counter(map(tuple, sharding.shard_by_bytes(docs).collect()))
+    monkeypatch.setattr(sharding, "CELL", 8)
+    assert Counter(map(tuple, sharding.shard_by_bytes(docs.repartition(5)).collect())) == whole
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    ordered = sorted((md5(t or "")[:3], md5(f"{'' if i is None else i}:{md5(t or '')}"), i, len((t or "").encode()) + 1) for i, t in rows)
+    bins, target = Counter(), sum(r[3] for r in ordered) / 16
+    for b, _, _, n in ordered:
+        bins[b] += n
+    at, before, slots, want = 0, Counter(), Counter(), Counter()
+    for b, _, i, n in ordered:
+        before.setdefault(b, at)
+        at += n
+        k = min(15, int((before[b] + bins[b] / 2 if bins[b] <= target * 0.015 else at - n / 2) // target))
+        want[i, n, k, slots[k]] += 1
+        slots[k] += 1
+    assert Counter((i, n, k, slot) for i, n, _, k, slot in whole.elements()) == want
+
+
 # -- 10 warc
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://h/{i}?q=é", f"<p>{'x' * (i * 37 % 900)} é {i % 40}</p>") for i in range(120)] + [(500, "http://a/\r\nb", None), (501, None, ""), (502, "u", "same"), (503, "u", "same"), (504, "u", "same"), (None, "n", "same"), (504, "u", "same")]
