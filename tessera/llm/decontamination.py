@@ -34,8 +34,8 @@ from tessera.llm.shingles import U, mix, pieces, shingle_hashes, shingle_sets, w
 
 #: Chance that a contained item has no matching bin.
 MISS = 1e-9
-#: Items sent to the executors at a time; more are searched in further blocks.
-BLOCK = 20_000
+#: Bytes of item texts sent to the executors at a time; more are searched in further blocks.
+BLOCK = 32 << 20
 THRESHOLD = 0.8
 
 
@@ -133,31 +133,39 @@ def _found(h: np.ndarray, offs: np.ndarray, p: Partition, table: np.ndarray, shi
     return both[:, 0], both[:, 1]
 
 
+def _hits(index: Index, sieves: list[tuple], data: np.ndarray, offs: np.ndarray, threshold: float) -> tuple[list[int], list[int], list[int]]:
+    """(text, item, shingles shared) of the items that are found in a run of texts."""
+    h, at = shingle_hashes(*word_hashes(data, offs))
+    docs, items, shared = [], [], []
+    pairs = [_found(h, at, *p) for p in sieves]
+    d, i = (np.concatenate([x[k] for x in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
+    order = np.argsort(d, kind="stable")
+    last, own = -1, None
+    for x, y in zip(d[order].tolist(), i[order].tolist(), strict=True):
+        if x != last:
+            last, own = x, np.unique(h[at[x] : at[x + 1]])
+        q = index.shingles[index.offs[y] : index.offs[y + 1]]
+        where = np.minimum(np.searchsorted(own, q), len(own) - 1)
+        both = int((own[where] == q).sum())
+        if both >= threshold * len(q):
+            docs.append(x), items.append(y), shared.append(both)
+    return docs, items, shared
+
+
 def _search(index: Index, threshold: float):
+    """(doc_id, item_id, n_item, n_shared) of (doc_id, text) rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieves = [(p, *p.sieve()) for p in index.partitions]
         for batch in batches:
             for row, data, offs in pieces(batch.column(1)):
-                h, at = shingle_hashes(*word_hashes(data, offs))
-                docs, items, shared = [], [], []
-                pairs = [_found(h, at, *p) for p in sieves]
-                d, i = (np.concatenate([x[k] for x in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
-                order = np.argsort(d, kind="stable")
-                last, own = -1, None
-                for x, y in zip(d[order].tolist(), i[order].tolist(), strict=True):
-                    if x != last:
-                        last, own = x, np.unique(h[at[x] : at[x + 1]])
-                    q = index.shingles[index.offs[y] : index.offs[y + 1]]
-                    where = np.minimum(np.searchsorted(own, q), len(own) - 1)
-                    both = int((own[where] == q).sum())
-                    if both >= threshold * len(q):
-                        docs.append(x + row), items.append(y), shared.append(both)
-                items_ = np.array(items, np.int64)
+                docs, items, shared = _hits(index, sieves, data, offs, threshold)
+                of = np.array(items, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(docs, pa.int64())),
-                        pa.array(index.ids[items_], pa.int64()),
-                        pa.array(np.diff(index.offs)[items_].astype(np.int64)),
+                        batch.column(0).take(pa.array([row + x for x in docs], pa.int64())),
+                        pa.array(index.ids[of], pa.int64()),
+                        pa.array(np.diff(index.offs)[of].astype(np.int64)),
                         pa.array(shared, pa.int64()),
                     ],
                     ["doc_id", "item_id", "n_item", "n_shared"],
@@ -166,41 +174,60 @@ def _search(index: Index, threshold: float):
     return run
 
 
+def _without(index: Index, threshold: float, text: int):
+    """The rows in whose text (column number ``text``) no item is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieves = [(p, *p.sieve()) for p in index.partitions]
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for row, data, offs in pieces(batch.column(text)):
+                clean[[row + x for x in _hits(index, sieves, data, offs, threshold)[0]]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _blocks(items: DataFrame, block: int, threshold: float) -> Iterator[Index]:
+    """The index of each block of items (item_id, text), of about ``block`` bytes of text."""
+    n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block))
+    for k in range(n):
+        part: pd.DataFrame = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toPandas()
+        yield index_items(part["item_id"].to_numpy(np.int64), pa.array(part["text"].tolist(), pa.string()), threshold)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of every item in every document.
 
-    One pass over the documents for each ``block`` of benchmark items, which is
-    what is sent to the executors; nothing is shuffled.  An item without words
-    or without text matches nothing, one of one to four words is the shingle of
-    its whole sequence.  Documents with null text match nothing; repeated rows
-    repeat their results; of items that repeat an id, each is searched, and the
-    pair is listed once with its best containment.  Empty tables give no rows,
-    other columns are not read.
+    One pass over the documents for each ``block`` bytes of benchmark text,
+    which is what is sent to the executors; nothing is shuffled.  An item
+    without id, words or text matches nothing, one of one to four words is the
+    shingle of its whole sequence.  Documents with null text match nothing; a
+    long one is searched whole.  Repeated rows of documents repeat their
+    results; of items that repeat an id, each is searched and listed for
+    itself.  An item at exactly the threshold is found.  Empty tables give no
+    rows, other columns are not read.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
-    n = max(1, -(-items.count() // block))
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
     found = None
-    for k in range(n):
-        part: pd.DataFrame = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toPandas()
-        texts = pa.array(part["text"].tolist(), pa.string())
-        index = index_items(part["item_id"].to_numpy(np.int64), texts, threshold)
+    for index in _blocks(items, block, threshold):
         one = docs.select("doc_id", "text").mapInArrow(_search(index, threshold), f"doc_id {kind}, item_id long, n_item long, n_shared long")
         found = one if found is None else found.unionByName(one)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents in which no item was found.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """The documents in which no item was found, with their own columns.
 
-    Rows are judged by their own text, whatever their id; items without an id
-    are searched under a surrogate.
+    Each row is judged by its own text, whatever its id, where it is: nothing
+    is shuffled.  Items without an id are searched, too; null texts match
+    nothing; repeated rows stay or go together.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text")).alias("item_id"), "text")
-    bad = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(bad, "__key", "left_anti").select(docs.columns)
+    for index in _blocks(items, block, threshold):
+        docs = docs.mapInArrow(_without(index, threshold, docs.columns.index("text")), docs.schema)
+    return docs
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -189,10 +189,12 @@ def test_decontamination_matches_brute_force(spark, corpus, sets):
             q = sets(t)
             if i is not None and q and len(q & own) >= 0.8 * len(q):
                 want.add((r["doc_id"], i, len(q), len(q & own)))
-    for block in (20_000, 10):
+    for block in (1 << 20, 3000):
         got = decontamination.contaminated(corpus, bench, block=block)
         assert {(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in got.collect()} == want
-    kept = decontamination.drop_contaminated(corpus, bench)
+    assert len(list(decontamination._blocks(bench.where("item_id is not null"), 3000, 0.8))) > 2
+    kept = decontamination.drop_contaminated(corpus, bench.where("item_id is not null"), block=3000)
+    assert kept.columns == corpus.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in corpus.collect()} - ({d for d, *_ in want} - {None})
     assert decontamination.contaminated(corpus.limit(0), bench).count() == 0
     assert decontamination.contaminated(corpus, bench.limit(0)).count() == 0
