@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, html_text, language, mixing, pii, quality, secrets, sharding, warc
@@ -46,18 +47,46 @@ def test_quality_counts(spark, corpus, labels):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_quality_score_matches_the_model(spark, corpus, labels):
-    """Weights and scores recomputed from the hashed buckets in Python."""
-    docs = corpus.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
-    weights, _ = quality.llr_model(docs, quality.trusted_sample(labels))
-    from tessera.llm.common import words
+def xx(*values):
+    """Spark's xxhash64 of strings and longs."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
 
-    grams = docs.select("doc_id", quality._ngrams(quality._hashes(words(F.col("text")))).alias("g")).collect()
-    for r, s in zip(sorted(grams, key=lambda r: r["doc_id"]), sorted(quality.quality(docs, labels).collect(), key=lambda r: r["doc_id"]), strict=True):
-        if r["g"]:
-            assert s["score"] == pytest.approx(sum(weights[b] for b in r["g"]) / len(r["g"]))
-        else:
-            assert s["score"] is None
+def test_quality_model_matches_brute_force(spark, corpus, labels):
+    """Buckets, multinomials, threshold, scores and verdicts, all recomputed in Python."""
+    docs = corpus.where("doc_id is not null").dropDuplicates(["doc_id"])
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    trusted = {r["doc_id"]: r["quality"] == 1 for r in labels.where("doc_id is not null").collect()}
+
+    def buckets(t):
+        h = [xx(w) for w in WORD.findall(t or "")]
+        return [x % quality.BUCKETS for x in h] + [xx(a, b) % quality.BUCKETS for a, b in zip(h, h[1:], strict=False)]
+
+    grams = {i: buckets(t) for i, t in text.items()}
+    raw, good = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        if trusted.get(i):
+            good.update(g)
+    share = lambda n, b: (n[b] + 1) / (n.total() + quality.BUCKETS)
+    weight = [np.log(share(good, b)) - np.log(share(raw, b)) for b in range(quality.BUCKETS)]
+    score = {i: np.mean([weight[b] for b in g]) if g else None for i, g in grams.items()}
+    failed = {i: (c := counts(t))[0] < 50 or 100 * c[4] > 50 * c[0] for i, t in text.items()}
+    of = lambda kind: [score[i] for i, k in trusted.items() if k is kind and i in score and not failed[i]]
+    low, high = np.percentile(of(True), 0.5), np.percentile(of(False), 95)
+    threshold = min(high + (low - high) / 4, low)
+    weights, got = quality.llr_model(docs, quality.trusted_sample(labels))
+    assert got == pytest.approx(threshold, abs=1e-5) and np.allclose(weights, weight, atol=1e-6)
+    for r in quality.quality(docs, labels).collect():
+        i = r["doc_id"]
+        assert r["base_failed"] == failed[i] and (r["score"] is None) == (score[i] is None)
+        if score[i] is not None:
+            assert r["score"] == pytest.approx(score[i], abs=1e-5)
+            if abs(score[i] - threshold) > 1e-5:
+                assert r["kept"] == (not failed[i] and score[i] >= threshold)
 
 
 def test_quality_separates(spark):
@@ -75,6 +104,18 @@ def test_quality_without_labels(corpus, labels, nothing):
     assert quality.keep_good(corpus, labels.limit(0)).columns == corpus.columns
 
 
+@pytest.mark.parametrize("spare", [0, 44])
+def test_quality_long_texts(spark, spare):
+    """Windows are told apart and repeats among them found, also where their bits are few."""
+    from tessera.llm.common import words
+
+    far = " ".join(f"w{i}" for i in range(200_000 if not spare else 20_000))
+    texts = {1: (far, 0), 2: (far + " w7 w8 w9 w10 zz", 8), 3: ("a b c " + " ".join(f"w{i}" for i in range(300)) + " a b c", 6), 4: ("a b", 0), 5: ("a b a b a b", 6)}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    got = docs.select("doc_id", quality.let(words(F.col("text")), lambda w: quality.let(quality._hashes(w), lambda h: quality._repeated(h, spare))).alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {i: n for i, (_, n) in texts.items()}
+
+
 # -- 2 personal data
 PII = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
