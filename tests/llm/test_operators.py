@@ -163,6 +163,64 @@ def test_pii_context_discovers(spark):
     assert "contextual" not in got[51]
 
 
+def planted_identifiers(n=300):
+    """Texts with identifiers that no matcher knows, and the spans of those: (rows, {(doc, start, end)}, round that can find them)."""
+    rng = random.Random(9)
+    vocab = ["word%s" % chr(97 + i) * (1 + i % 2) for i in range(26)]
+    noise = lambda k: " ".join(rng.choice(vocab) for _ in range(k))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card(valid):
+        while True:
+            d = "4" + digits(15)
+            if luhn(d) == valid:
+                return d
+
+    rows, want = [], {}
+
+    def add(before, value, after, kind):
+        lead = f"{noise(rng.randrange(3, 9))} {before} "
+        if kind:
+            want[len(rows), len(lead), len(lead) + len(value)] = kind
+        rows.append((len(rows), f"{lead}{value} {after} {noise(4)}"))
+
+    members = [f"LM-{digits(5)}-{rng.choice('XYZ')}" for _ in range(n // 5)]
+    spaced = lambda d: " ".join(d[i : i + 4] for i in range(0, 16, 4))
+    for _ in range(n):
+        add("please charge my card", card(True), "for it", None)
+    for i in range(n // 5):
+        add("please charge my card", card(False), "for it", "first")
+        add("please charge my card", spaced(card(False)), "for it", "first")
+        if i % 3 == 0:
+            add("please charge my card", members[i], "for it", "first")
+        add("loyalty member id", members[i], "since then", "second")
+        add("loyalty member id", f"QX{digits(6)}", "since then", "second")
+        add("please charge my card", "20240101", "for it", None)  # a number that is everywhere
+    for i in range(2 * n):
+        add(f"the {rng.choice(vocab)}", rng.choice(["20240101", "19991231", "31415926"]), rng.choice(vocab), None)
+        add("order number", digits(8), "of ours", None)
+    return rows, want
+
+
+def test_pii_bootstrap_finds_planted_identifiers(spark):
+    """Precision and recall over unseen identifiers; the second context meets no base entity."""
+    rows, want = planted_identifiers()
+    got = {(r["doc_id"], s["start"], s["end"]) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "found").collect() for s in r["found"]}
+    right = got & set(want)
+    assert len(right) / len(got) >= 0.95
+    for kind in ("first", "second"):
+        assert sum(want[x] == kind for x in right) / sum(v == kind for v in want.values()) >= 0.95
+    first = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).select("found").collect()
+    assert 0 < sum(len(r["found"]) for r in first) < len(got)  # later rounds need the first one's finds
+
+
+def test_pii_long_text_is_linear(spark):
+    """Offsets of many matches in one text, against Python."""
+    text = "\ue002 \ue040 " + " ".join(f"{i % 256}.0.0.{i % 250} n{i} 1234{i}" for i in range(6000))
+    (r,) = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s["start"], s["rank"], s["end"]) for s in r["base"]] == base_spans(text)
+
+
 # -- 4 secrets
 def test_secret_scan(spark):
     texts = [
