@@ -191,7 +191,7 @@ def planted_identifiers(n=300):
     for i in range(n // 5):
         add("please charge my card", card(False), "for it", "first")
         add("please charge my card", spaced(card(False)), "for it", "first")
-        if i % 3 == 0:
+        if i % 2 == 0:
             add("please charge my card", members[i], "for it", "first")
         add("loyalty member id", members[i], "since then", "second")
         add("loyalty member id", f"QX{digits(6)}", "since then", "second")
