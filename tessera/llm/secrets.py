@@ -1,7 +1,8 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of at least 16 key characters with a digit, and values of
-at least 6 characters of any kind that a telling name is assigned.  A forest over
+Candidates are runs of at least 16 key characters with a digit, values of at
+least 6 characters of any kind that a telling name is assigned, and framed key
+blocks over several lines.  A forest over
 length, character transitions, dictionary coverage, path and neighbouring words
 tells secrets from hashes in paths, identifiers, numbers and long words.  It is
 trained from labelled findings; :func:`labelled_findings` makes a deterministic
@@ -31,8 +32,10 @@ _RUN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{16,}+(?:=
 #: After a telling name and an assignment sign, any value of at least SHORT characters.
 SHORT = 6
 _NAMED = r"(?<=[=:\s\"'`])(?<=[=:]\s{0,3}[\"'`]?)(?<=(?i:" + "|".join(sorted(set(KEYWORDS))) + r")[A-Za-z0-9_-]{0,16}[\"']?\s{0,3}[=:]\s{0,3}[\"'`]?)(?![=:])[^\s\"'`<>,;&()\[\]{}|]{" + str(SHORT) + ",}+"
-CANDIDATE = f"{_NAMED}|{_RUN}"
-FEATURES = ("length", "entropy", "switches", "digits", "uppers", "symbols", "repeats", "hex", "numeric", "coverage", "in_path", "extension", "assigned", "quoted", "keyword", "plain_words")
+#: A key block over lines, framed as PEM.
+_BLOCK = r"-----BEGIN [A-Z ]{1,40}+-----[^-]++-----END [A-Z ]{1,40}+-----"
+CANDIDATE = f"{_BLOCK}|{_NAMED}|{_RUN}"
+FEATURES = ("private", "length", "entropy", "switches", "digits", "uppers", "symbols", "repeats", "hex", "numeric", "coverage", "in_path", "extension", "assigned", "quoted", "keyword", "plain_words")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -51,7 +54,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    return docs.where(text.rlike("[0-9=:]")).select("doc_id", F.explode(let(text, found)).alias("c")).select("doc_id", "c.*")
+    return docs.where(text.rlike("[0-9=:]|-----BEGIN ")).select("doc_id", F.explode(let(text, found)).alias("c")).select("doc_id", "c.*")
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
@@ -81,6 +84,7 @@ def features(found: DataFrame, known: list[str]) -> DataFrame:
 
     return found.withColumns(
         {
+            "private": v.rlike("^-----BEGIN [A-Z ]*PRIVATE KEY").cast("double"),
             "length": n.cast("double"),
             "entropy": let(v, entropy),
             "switches": count(r"(?<=^|a)(?=[A9-])|(?<=A)(?=[a9-])|(?<=9)(?=[aA-])", classes) + (F.size(F.split(classes, r"(?<=a)(?=[A9-])|(?<=A)(?=[9-])|(?<=9)(?=[aA-])")) - 1) / n,
@@ -102,10 +106,10 @@ def features(found: DataFrame, known: list[str]) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED, known: list[str] | None = None) -> DataFrame:
-    """(value, left, right, label): a deterministic set of findings, half of them secrets.
+    """(value, left, right, label, template): a deterministic set of findings, half of them secrets.
 
-    Secrets: random hex, base64 and prefixed keys, mostly assigned to a name
-    that tells; others: digests and ids in paths, dates and numbers, words
+    Secrets: key blocks, random hex, base64 and prefixed keys, mostly assigned
+    to a name that tells; others: certificates, digests and ids in paths, dates and numbers, words
     joined by signs, placeholders, words assigned to such a name.  ``known`` gives the words around them.
     """
     vocabulary = F.split(F.lit(" ".join(known or ["value", "note", "text", "with", "from"])), " ")
@@ -115,8 +119,10 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, known: list[str] |
     from_ = lambda k, *xs: F.get(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in xs)), pick(k, len(xs)))
     digits, letters = F.translate("r", "abcdef", "012345"), F.translate("r", "0123456789", "ghijklmnop")
     mixed = F.translate("b", "0123456789+/", "QRSTUVWXYZmn")
+    block = lambda what: F.concat(F.lit(f"-----BEGIN {what}-----\n"), F.substring("b", 1, 64), F.lit("\n"), F.substring("b", 10, 60), F.lit(f"\n-----END {what}-----"))
     secret = from_(
         1,
+        block("RSA PRIVATE KEY"),
         F.substring("r", 1, 40),
         F.substring("r", 1, 32),
         F.substring("r", 1, 64),
@@ -131,6 +137,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, known: list[str] |
     key = from_(2, "token", "secret", "password", "api_key", "auth_token", "access_key", "private_key", "secret_key")
     other = from_(
         3,
+        block("CERTIFICATE"),
         F.substring(digits, 1, 16),
         F.concat_ws("-", F.lit("2024"), F.substring(digits, 1, 2), F.substring(digits, 3, 2), F.substring(digits, 5, 12)),
         F.concat_ws("-", word(4), word(5), word(6), F.substring(digits, 1, 2)),
@@ -146,11 +153,11 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, known: list[str] |
         F.substring(letters, 1, 7),
         F.substring(letters, 1, 10),
     )
-    named = F.when(F.col("id") % 2 == 1, pick(1, 9) >= 6).otherwise(pick(3, 13) >= 9)
+    named = F.when(F.col("id") % 2 == 1, pick(1, 10) >= 7).otherwise(pick(3, 14) >= 10)
     told = F.concat(word(8), F.lit(" "), key, from_(9, " = ", "=", ": ", ":"), from_(10, '"', "'", ""))
     label = F.col("id") % 2
     left = F.when(named | (label == 1) & (pick(11, 8) > 0), told).when((label == 0) & (pick(12, 6) == 0), F.concat(word(8), F.lit(" id: "))).otherwise(F.concat(word(8), F.lit(" "), word(13), F.lit(" ")))
-    return rows.select(F.when(label == 1, secret).otherwise(other).alias("value"), left.alias("left"), F.concat(F.lit('" '), word(14), F.lit(" "), word(15)).alias("right"), label.cast("double").alias("label"))
+    return rows.select(F.when(label == 1, secret).otherwise(other).alias("value"), left.alias("left"), F.concat(F.lit('" '), word(14), F.lit(" "), word(15)).alias("right"), label.cast("double").alias("label"), F.when(label == 1, F.concat(F.lit("secret-"), pick(1, 10))).otherwise(F.concat(F.lit("other-"), pick(3, 14))).alias("template"))
 
 
 def _assembled(df: DataFrame) -> DataFrame:
