@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -466,6 +467,76 @@ def test_lcs(a, b, want):
     assert len(got) == best[-1][-1]
 
 
+def test_lcs_in_halves(monkeypatch):
+    """The divided alignment is a longest one, too."""
+    rng = random.Random(8)
+    for _ in range(40):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(40))] for _ in range(2))
+        monkeypatch.setattr(html_text, "TABLE", 1 << 27)
+        whole = html_text.shared(a, b)
+        monkeypatch.setattr(html_text, "TABLE", 20)
+        halves = html_text.shared(a, b)
+        assert len(whole) == len(halves)
+        it = iter(b)
+        assert all(any(a[i] == x for x in it) for i in sorted(halves))  # a subsequence of b
+    assert len(html_text.shared([i % 50_021 for i in range(60_000)], [i % 49_999 for i in range(60_000)])) > 40_000
+
+
+def html_brute(rows):
+    """Every page against its nearest by URL, by a plain table of lengths."""
+
+    def lcs(a, b):
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+        return t[-1, -1]
+
+    split = lambda u: re.match(r"(?:\w+://([^/]*))?([^?#]*)", u or "").groups()
+    keyed = sorted(((split(u)[0] or "").lower(), split(u)[1] or "", i, h) for i, u, h in rows)
+    out = {}
+    for k, (host, path, i, h) in enumerate(keyed):
+        near = [keyed[j] for j in (k - 1, k + 1) if 0 <= j < len(keyed) and keyed[j][0] == host]
+        near.sort(key=lambda x: -len(os.path.commonprefix([path.split("/"), x[1].split("/")])))
+        own = [x.text for x in html_text.lines_of(h)]
+        out[i] = own, [lcs(own, [x.text for x in html_text.lines_of(x[3])]) for x in near]
+    return out
+
+
+def test_html_extracts_planted_text(spark):
+    """Precision and recall of words over templates, by the difference and by markup."""
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(500)]
+    line = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    rows, want, menus = [], {}, {h: [line(3) for _ in range(6)] for h in range(5)}
+    for i in range(200):
+        host = i % 5
+        body = [line(rng.randrange(8, 40)) for _ in range(rng.randrange(2, 7))]
+        want[i] = " ".join(body).split()
+        inner = "".join(f"<p>{x}</p>" for x in body)
+        if i % 2:  # markup tells; the advert is new on every page, and the licence is shared
+            want[i] += "This text is free to copy".split()
+            page = f"<nav>{line(4)}</nav><article>{inner}<p>This text is free to copy</p></article><aside class='ad'>{line(6)}</aside>"
+        else:
+            page = f"<div>{inner}</div>"
+        top, end = ("".join(f"<div>{x}</div>" for x in part) for part in (menus[host][:3], menus[host][3:]))
+        rows.append((i, f"http://h{host}.x/{'a' if i % 2 else 'b'}/{i}", f"<body>{top}{page}{end}</body>"))
+    rows += [(1000, "http://alone.x/", f"<p>{line(50_000)}</p>")]
+    pages = spark.createDataFrame([(*r, 7, "t") for r in rows + rows[:2]], "page_id long, url string, html string, n_chars int, text string")
+    got = {r["page_id"]: r["text"].split() for r in html_text.extract(pages, per_range=9).collect()}
+    both = sum(sum((Counter(got[i]) & Counter(want[i])).values()) for i in want if i > 1)
+    assert both / sum(len(want[i]) for i in want if i > 1) > 0.99 and both / sum(len(got[i]) for i in want if i > 1) > 0.99
+    assert len(got[1000]) == 50_000
+    # the difference deletes as many lines as the plain alignment with a neighbour shares
+    brute = html_brute(rows)
+    for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), per_range=7, why=True).collect():
+        own, most = brute[r["page_id"]]
+        said = r["text"].split(",")
+        gone = sum(v in ("shared", "restored") for v in said)
+        assert len(said) == len(own) and gone in (0, *most)
+        assert gone or not most
+
+
 # -- 8 mixing
 def test_fill_targets():
     assert mixing.fill_targets([100, 100], [1, 3]) == [50, 150]
