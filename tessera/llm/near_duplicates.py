@@ -5,27 +5,29 @@ link when ``|A & B| / |A | B| >= 0.8``; the answer is the component of each.
 
 How the join finds its pairs
 ----------------------------
-1. *Groups.*  Shingle hashes are dealt into groups.  For two linked sets of
-   sizes a and b, ``|A ^ B| <= (a + b) / 9``, so with about b / 3 groups a good
-   part of the groups holds the same shingles on both sides.  The contents of
-   each of the first ``KEYS`` groups make a key, so linked sets meet under
-   many keys (a miss needs every one of them to be broken: below 1e-9 for
-   the worst pair at exactly 0.8, far below for closer ones).  Sets under 64
-   shingles use each shingle as a key and cannot miss.  A key needs several
-   shingles in common and no others there, so a passage that many documents
-   share makes no hot key of all of its holders.
-2. *Pivots.*  Under one key, all members are paired with one of them alone (a
-   star, not all pairs): the member that meets others under the most keys,
-   which of a text and its edited copies is the text.  Exact copies are one
-   set and one member.
-3. *Count-vector R-tree.*  Keys whose members are not yet one component are
-   blocks.  Members outside the block's largest component are searched against
-   all members by an R-tree packed over the vectors of group counts: a pair's
-   overlap is at most the sum of coordinate minima, a box's at most the minima
-   with its upper corner.  This is exact within the key: no pair that could
-   reach the threshold is skipped unless it is known to be one component.
-4. *Verification.*  Pairs of 2, and the distinct pairs of 3, are bounded by the
-   minima of their counts and then intersected exactly.
+1. *Blocks.*  Documents are brought together before they are indexed.  Shingle
+   hashes are dealt into groups.  For two linked sets of sizes a and b,
+   ``|A ^ B| <= (a + b) / 9``, so with about b / 3 groups a good part of the
+   groups holds the same shingles on both sides.  The contents of each of the
+   first ``KEYS`` groups name a block, so linked sets meet in many blocks (a
+   miss needs every one of them to be broken: below 1e-9 for the worst pair at
+   exactly 0.8, far below for closer ones).  Sets under 64 shingles are in the
+   blocks of their rarest shingles, as many as a linked set can't all miss.  A
+   block needs several shingles in common and no others there, so a passage
+   that many documents share makes no hot block of all of its holders.  Blocks
+   of the same members are one.
+2. *Count-vector R-tree.*  Each block is an R-tree packed over its members'
+   vectors of group counts (blocks of over ``TREE`` members are several trees).
+   A pair's overlap is at most the sum of coordinate minima, a box's at most
+   the minima with its upper corner, so a search gives every member that could
+   reach the threshold.  All pairs come from such searches, in two rounds: in
+   the first, each block's trees are searched for one member, the one that
+   meets others in the most blocks (of a text and its edited copies, the
+   text); in the second, in blocks that are not yet one component, for all
+   members outside of the block's largest component.  So a group of copies
+   gives a pair or two for each member, not all pairs, and no pair is skipped
+   unless it is known to be one component.
+3. *Verification.*  Pairs are intersected exactly.
 
 Sets are named by 64-bit hashes of their content; exact copies share the name.
 """
@@ -50,6 +52,10 @@ NUM, DEN = 80, 100
 KEYS, TREE, LEAF = 64, 2048, 16
 #: Mean shingles in a group at the upper end of a size class.
 LOAD = 3.9
+#: Common shingles told to the executors, and how often a piece has one at least.
+COMMON, OFTEN = 1 << 16, 8
+#: Share of an aggregation's rows beyond which a key is joined by broadcast; there are fewer such keys than this.
+HOT = 500
 #: 64-bit words of the filter that spares unpaired sets the second pass.
 FILTER_WORDS = 1 << 17
 
@@ -64,20 +70,26 @@ def set_names(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return mix(sums(mix(s ^ U(0x5BD1E995)), offs) + mix(np.diff(offs).astype(U))).astype(np.int64)
 
 
-def group_keys(s: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def group_keys(s: np.ndarray, offs: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(key, row) of every set under its own size class and, where a set could
-    link to one of the class below, under that class as well."""
+    link to one of the class below, under that class as well.
+
+    Small sets have their first shingles as keys, ``n - ceil(0.8 n) + 1`` of
+    them, in an order of all shingles that puts the ``common`` ones (sorted)
+    last; two linked sets share one of those, whatever the order.
+    """
     n = np.diff(offs)
     level = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    first = _firsts(s, offs, row, common)
     keys, rows = [], []
     for shift in (0, 1):
         c = level - shift
         use = (n > 0) & (c >= 0) & ((shift == 0) | (n * NUM <= DEN * (1 << np.maximum(level, 0))))
         groups = np.where(c < 6, 1 << 32, np.ceil(1.25 * 2.0 ** (c + 1) / LOAD)).astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
         # group of each shingle; sets are sorted, so a group's shingles are neighbours
         group = ((s >> U(32)) * groups.astype(U)[row]) >> U(32)
-        take = use[row] & ((group < U(KEYS)) | (c[row] < 6))
+        take = use[row] & np.where(c[row] < 6, first, group < U(KEYS))
         g, r, h = group[take], row[take], s[take]
         if not len(g):
             continue
@@ -91,6 +103,34 @@ def group_keys(s: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def _firsts(s: np.ndarray, offs: np.ndarray, row: np.ndarray, common: np.ndarray | None) -> np.ndarray:
+    """Which shingles are among the first of their set, common ones last."""
+    n, place = np.diff(offs), np.arange(len(s)) - np.repeat(offs[:-1], np.diff(offs))
+    if common is not None and len(common):
+        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        if late.any():
+            order = np.lexsort((place, late, row))
+            place[order] = np.arange(len(s)) - offs[row[order]]
+    return place < (n - -(-NUM * n // DEN) + 1)[row]
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, n) of what small sets of a piece have in common."""
+    for batch in batches:
+        for _, data, offs in pieces(batch.column(0)):
+            s, at = shingle_sets(data, offs)
+            value, n = np.unique(s[np.repeat(np.diff(at) < 128, np.diff(at))], return_counts=True)
+            value, n = value[n >= OFTEN], n[n >= OFTEN]
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """The COMMON commonest shingles of small sets, counted over all texts; an
+    aid to the order of shingles only, which any list leaves exact."""
+    rows = texts.mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    return np.sort(np.array([r["shingle"] for r in rows], np.int64).view(U))
+
+
 def dims(n: int) -> int:
     """Coordinates for sets of ``n`` shingles: a power of two near n, 32 to 4096."""
     return 1 << min(12, max(5, int(n).bit_length() - 1))
@@ -103,24 +143,28 @@ def counts(s: np.ndarray, offs: np.ndarray, d: int) -> np.ndarray:
     return np.bincount(cell, minlength=(len(offs) - 1) * d).reshape(-1, d).astype(np.int32)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(common: np.ndarray):
     """Rows (key, node, pivot): each key's first member in the piece stands for
     it (no pivot); other members are paired with it here and travel by their
     own name, so that a key of many members is not dealt to one task."""
-    for batch in batches:
-        for _, data, offs in pieces(batch.column(0)):
-            s, at = shingle_sets(data, offs)
-            key, row = group_keys(s, at)
-            node = set_names(s, at)[row]
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            if not len(key):
-                continue
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            other = np.concatenate([[True], node[1:] != node[:-1]]) | new
-            pivot = node[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-            key, node, pivot, new = key[other], node[other], pivot[other], new[other]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(pivot, mask=new)], ["key", "node", "pivot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offs in pieces(batch.column(0)):
+                s, at = shingle_sets(data, offs)
+                key, row = group_keys(s, at, common)
+                node = set_names(s, at)[row]
+                order = np.lexsort((node, key))
+                key, node = key[order], node[order]
+                if not len(key):
+                    continue
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                other = np.concatenate([[True], node[1:] != node[:-1]]) | new
+                pivot = node[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+                key, node, pivot, new = key[other], node[other], pivot[other], new[other]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(pivot, mask=new)], ["key", "node", "pivot"])
+
+    return run
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +258,8 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows are key, i, q, node, label, n, vector (a byte for each coordinate),
     keys, indexed, query.  Each block's queries are searched in an R-tree over
     its members; pairs of one component are left out, and a pair that meets in
-    several blocks is given by the one of its least common key.
+    several blocks is given by the one of its least common key, if keys are
+    told.
     """
     held: list[tuple] = []
     pairs: set[tuple[int, int]] = set()
@@ -234,7 +279,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = index[tree.search(points[i], int(n[i]))]
             own = set(held[i][7])
             for j in hit[label[hit] != label[i]].tolist():
-                if next(k for k in held[j][7] if k in own) == held[i][0]:
+                if not own or next(k for k in held[j][7] if k in own) == held[i][0]:
                     pairs.add((min(node[i], node[j]), max(node[i], node[j])))
 
     def found() -> pa.RecordBatch:
@@ -293,6 +338,16 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _met(rows: DataFrame, one: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row for each key with its number
+    ``c`` of rows.  Keys of over n / HOT rows are joined by broadcast, so the
+    rows of a hub stay where they are."""
+    hot = one.where(F.col("c") > n // HOT).drop("c")
+    cold = one.where(F.col("c") <= n // HOT).drop("c")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): label is the least node
     of its component.  Large and small stars alternate until nothing moves;
@@ -301,11 +356,12 @@ def components(links: DataFrame) -> DataFrame:
     marks = (F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 7))"))
     then = edges.agg(*marks).first()
     while True:
+        n = 2 * then[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v")
-        small = large.groupBy("v").agg(F.min("u").alias("m"))
-        after = large.join(small, "v").select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v")).unionByName(small.select(F.col("m").alias("u"), "v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        large = _met(both, least, "u", n).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v")
+        small = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("c"))
+        after = _met(large, small, "v", n).select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v")).unionByName(small.select(F.col("m").alias("u"), "v"))
         after = staged(after.where("u <> v").distinct(), "edges")
         now = after.agg(*marks).first()
         if now == then:
@@ -344,6 +400,36 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _searches(blocks: DataFrame, sets: DataFrame, keys: bool) -> DataFrame:
+    """Candidate pairs (a, b) of blocks (key, node, label, query, tiles): every
+    query is searched in the trees of its block, but for its own label.
+
+    Tiles bound what a task holds; each tile of members is an R-tree and meets
+    each tile of queries.  ``keys`` sends a node's keys along (2 * KEYS at most,
+    or the first shingles of a small set), so that a pair comes from one block.
+    """
+    tiled = blocks.join(sets.select("node", "n", "vector"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    if keys:
+        tiled = tiled.join(blocks.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node")
+    else:
+        tiled = tiled.withColumn("keys", F.array().cast("array<long>"))
+    sides = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.col("tiles") - 1),
+            lambda t: F.array(
+                F.struct(F.col("tile").alias("i"), t.alias("q"), F.lit(True).alias("indexed"), (F.col("query") & (F.col("tile") == t)).alias("query")),
+                F.struct(t.alias("i"), F.col("tile").alias("q"), F.lit(False).alias("indexed"), (F.col("query") & (F.col("tile") != t)).alias("query")),
+            ),
+        )
+    )
+    # a tile of members goes only where a tile has queries
+    asked = blocks.where("query").select("key", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("q")).distinct()
+    dealt = tiled.select("key", "node", "label", "n", "vector", "keys", F.explode(sides).alias("s")).where("s.indexed or s.query")
+    dealt = dealt.select("key", "s.i", "s.q", "node", "label", "n", "vector", "keys", "s.indexed", "s.query").join(asked, ["key", "q"], "left_semi")
+    dealt = dealt.select("key", "i", "q", "node", "label", "n", "vector", "keys", "indexed", "query")
+    return dealt.repartition("key", "i", "q").sortWithinPartitions("key", "i", "q").mapInArrow(_searched, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Component of every document under links of Jaccard similarity >= 0.8.
 
@@ -351,61 +437,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null or wordless texts have an empty set and are components of their own;
     so are rows with a null id (component null).  Rows that repeat an id keep
     their rows; an id with several texts joins their components only if the
-    texts link.  Empty tables give no rows; other columns are not read.
+    texts link.  A pair at exactly the threshold links.  A text of any length
+    is read whole, in parts.  Empty tables give no rows; other columns are not
+    read.
     """
     texts = docs.select("text")
-    stars = texts.mapInArrow(_stars, "key long, node long, pivot long")
+    stars = texts.mapInArrow(_stars(common_shingles(texts)), "key long, node long, pivot long")
     dealt = stars.repartition(F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.col("node")))
     paired = dealt.sortWithinPartitions(F.col("pivot").isNotNull(), "key", "node").mapInArrow(_chain, "key long, pivot long, node long")
-    ends = F.explode(F.array("pivot", "node")).alias("node")
-    members = staged(paired.select("key", ends).distinct(), "members")
+    members = staged(paired.select("key", F.explode(F.array("pivot", "node")).alias("node")).distinct(), "members")
+    # the same members under several keys are one block
+    block = (
+        members.groupBy("key")
+        .agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y"))
+        .groupBy("m", "x", "y")
+        .agg(F.min("key").alias("key"))
+        .select("key", F.ceil(F.col("m") / TREE).cast("int").alias("tiles"), F.col("m").alias("c"))
+    )
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    pivots = members.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"))
-    pairs = members.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    sets = _sets_of(texts, members.select("node").distinct())
+    blocks = staged(_met(members, block, "key", members.count()).join(degree, "node"), "blocks")
+    n = blocks.count()
+    pivots = blocks.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"), F.count("*").alias("c"))
+    sets = _sets_of(texts, blocks.select("node").distinct())
+
+    first = _met(blocks, pivots, "key", n).select("key", "node", F.col("node").alias("label"), (F.col("node") == F.col("pivot")).alias("query"), "tiles")
+    pairs = staged(_searches(first, sets, keys=False), "pairs")
     links = staged(_links(pairs, sets).where("ok").select("a", "b"), "links")
     label = components(links)
 
-    # keys whose members are not yet one component are blocks of the R-tree search
-    marked = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = blocks.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main")).where("parts > 1")
-    marked = staged(marked.join(open_keys, "key").select("key", "node", "label", (F.col("label") != F.col("main")).alias("query")), "blocks")
-    points = sets.select("node", "n", "vector")
-    # the same members under several keys are one block; tiles bound what a task holds
-    block = (
-        marked.groupBy("key")
-        .agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node, query))").alias("x"), F.expr("bit_xor(xxhash64(query, node, 7))").alias("y"))
-        .groupBy("m", "x", "y")
-        .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("m") / TREE).cast("int").alias("tiles"))
-    )
-    blocks = marked.join(block, "key")
-    # at most 2 * KEYS keys of a node
-    own = blocks.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    tiled = blocks.join(points, "node").join(own, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # each tile of members is an R-tree and meets each tile of queries
-    sides = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.col("tiles") - 1),
-            lambda t: F.array(
-                F.struct(F.col("tile").alias("i"), t.alias("q"), F.lit(True).alias("indexed"), (F.col("query") & (F.col("tile") == t)).alias("query")),
-                F.struct(t.alias("i"), F.col("tile").alias("q"), F.lit(False).alias("indexed"), (F.col("query") & (F.col("tile") != t)).alias("query")),
-            ),
-        )
-    )
-    dealt = tiled.select("key", "node", "label", "n", "vector", "keys", F.explode(sides).alias("s")).where("s.indexed or s.query")
-    dealt = dealt.select("key", "s.i", "s.q", "node", "label", "n", "vector", "keys", "s.indexed", "s.query")
-    candidates = dealt.repartition("key", "i", "q").sortWithinPartitions("key", "i", "q").mapInArrow(_searched, "a long, b long").distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = staged(_links(candidates.join(tried, ["a", "b"], "left_anti"), sets).where("ok").select("a", "b"), "links")
+    open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("c")).where("parts > 1")
+    second = staged(_met(marked, open_keys, "key", n).select("key", "node", "label", (F.col("label") != F.col("main")).alias("query"), "tiles"), "open")
+    candidates = _searches(second, sets, keys=True)
+    found = staged(_links(candidates.join(pairs, ["a", "b"], "left_anti"), sets).where("ok").select("a", "b"), "links")
     if not found.isEmpty():
         label = components(links.unionByName(found))
 
     named = docs.select("doc_id", "text").mapInArrow(_named, docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n_shingles long, node long")
     firsts = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_node = firsts.select("node", "label").join(least, "label").select("node", "component_id")
+    least = firsts.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("c"))
+    of_node = _met(firsts.select("node", "label"), least, "label", label.count()).select("node", "component_id")
     return named.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

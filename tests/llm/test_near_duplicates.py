@@ -106,3 +106,34 @@ def test_long_texts_are_hashed_in_parts():
     assert len(data) > 2 * shingles.PIECE
     got, first = shingles.word_hashes(data, offs)
     assert (got == shingles._word_hashes(data, offs)[0]).all() and first.tolist() == [0, 900_003]
+
+
+def test_stock_phrase_makes_no_large_block(spark, sets):
+    """Short texts that share a phrase meet by their own words."""
+    phrase = " ".join(f"stock{i}" for i in range(14))
+    docs = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} {phrase}") for i in range(600)]
+    docs += [(1000 + i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} {phrase} z") for i in range(0, 600, 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    common = nd.common_shingles(df.select("text"))
+    assert len(common) >= 10
+    sizes = {}
+    for kind in (None, common):
+        for _, data, offs in pieces(pa.array([t for _, t in docs])):
+            keys = nd.group_keys(*shingle_sets(data, offs), kind)[0]
+            sizes[kind is None] = int(np.unique(keys, return_counts=True)[1].max())
+    assert sizes[False] <= 4  # without the order some stock shingle is a key of all
+    assert sorted((tuple(r) for r in nd.near_duplicates(df).collect()), key=repr) == brute(docs, sets)
+
+
+@pytest.mark.parametrize("n", [1, 5, 23, 63])
+def test_first_shingles_meet_whatever_the_order(n):
+    rng = np.random.default_rng(n)
+    for _ in range(60):
+        pool = np.unique(rng.integers(0, 2**64, 2 * n + 2, dtype=np.uint64))
+        rng.shuffle(pool)
+        common = np.sort(rng.choice(pool, n // 2, replace=False))
+        shared = -(-8 * n // 9)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n : 2 * n - shared]]))
+        if nd.enough(len(np.intersect1d(a, b)), len(a), len(b)):
+            k = [set(nd.group_keys(x, np.array([0, len(x)]), common)[0].tolist()) for x in (a, b)]
+            assert k[0] & k[1]
