@@ -70,6 +70,19 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
 
 
+#: A key of more than one in so many rows is joined by broadcast; there are fewer such keys than this.
+HOT = 500
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` (about ``n``) joined with ``one``, which has a row for each key
+    with its number ``c`` of rows.  Keys of over n / HOT rows are joined by
+    broadcast, so the rows of a hub stay where they are."""
+    hot, cold = F.broadcast(one.where(F.col("c") > n // HOT).drop("c")), one.where(F.col("c") <= n // HOT).drop("c")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+
+
 def hash_sample(df: DataFrame, by: list[str], limit: int) -> DataFrame:
     """About nine tenths of ``limit`` rows by a hash of their columns ``by``, or all if they are no more.
 

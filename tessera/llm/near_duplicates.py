@@ -43,7 +43,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import join_hot, staged
 from tessera.llm.shingles import U, mix, pieces, shingle_sets, sums
 
 #: Similarity as a fraction: 100 * shared >= 80 * united.
@@ -54,8 +54,6 @@ KEYS, TREE, LEAF = 64, 2048, 16
 LOAD = 3.9
 #: Common shingles told to the executors, and how often a piece has one at least.
 COMMON, OFTEN = 1 << 16, 8
-#: Share of an aggregation's rows beyond which a key is joined by broadcast; there are fewer such keys than this.
-HOT = 500
 #: 64-bit words of the filter that spares unpaired sets the second pass.
 FILTER_WORDS = 1 << 17
 
@@ -338,16 +336,6 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _met(rows: DataFrame, one: DataFrame, key: str, n: int) -> DataFrame:
-    """``rows`` joined with ``one``, which has a row for each key with its number
-    ``c`` of rows.  Keys of over n / HOT rows are joined by broadcast, so the
-    rows of a hub stay where they are."""
-    hot = one.where(F.col("c") > n // HOT).drop("c")
-    cold = one.where(F.col("c") <= n // HOT).drop("c")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): label is the least node
     of its component.  Large and small stars alternate until nothing moves;
@@ -359,9 +347,9 @@ def components(links: DataFrame) -> DataFrame:
         n = 2 * then[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        large = _met(both, least, "u", n).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v")
+        large = join_hot(both, least, "u", n).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v")
         small = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("c"))
-        after = _met(large, small, "v", n).select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v")).unionByName(small.select(F.col("m").alias("u"), "v"))
+        after = join_hot(large, small, "v", n).select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v")).unionByName(small.select(F.col("m").alias("u"), "v"))
         after = staged(after.where("u <> v").distinct(), "edges")
         now = after.agg(*marks).first()
         if now == then:
@@ -455,12 +443,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("key", F.ceil(F.col("m") / TREE).cast("int").alias("tiles"), F.col("m").alias("c"))
     )
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    blocks = staged(_met(members, block, "key", members.count()).join(degree, "node"), "blocks")
+    blocks = staged(join_hot(members, block, "key", members.count()).join(degree, "node"), "blocks")
     n = blocks.count()
     pivots = blocks.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"), F.count("*").alias("c"))
     sets = _sets_of(texts, blocks.select("node").distinct())
 
-    first = _met(blocks, pivots, "key", n).select("key", "node", F.col("node").alias("label"), (F.col("node") == F.col("pivot")).alias("query"), "tiles")
+    first = join_hot(blocks, pivots, "key", n).select("key", "node", F.col("node").alias("label"), (F.col("node") == F.col("pivot")).alias("query"), "tiles")
     pairs = staged(_searches(first, sets, keys=False), "pairs")
     links = staged(_links(pairs, sets).where("ok").select("a", "b"), "links")
     label = components(links)
@@ -468,7 +456,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = blocks.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("c")).where("parts > 1")
-    second = staged(_met(marked, open_keys, "key", n).select("key", "node", "label", (F.col("label") != F.col("main")).alias("query"), "tiles"), "open")
+    second = staged(join_hot(marked, open_keys, "key", n).select("key", "node", "label", (F.col("label") != F.col("main")).alias("query"), "tiles"), "open")
     candidates = _searches(second, sets, keys=True)
     found = staged(_links(candidates.join(pairs, ["a", "b"], "left_anti"), sets).where("ok").select("a", "b"), "links")
     if not found.isEmpty():
@@ -477,7 +465,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", "text").mapInArrow(_named, docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n_shingles long, node long")
     firsts = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = firsts.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("c"))
-    of_node = _met(firsts.select("node", "label"), least, "label", label.count()).select("node", "component_id")
+    of_node = join_hot(firsts.select("node", "label"), least, "label", label.count()).select("node", "component_id")
     return named.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, staged, words
+from tessera.llm.common import join_hot, let, staged, words
 
 #: Kinds in listed order, and what a text must hold for the pattern to be tried.
 #: The patterns are the contract's with possessive repetitions, which match the
@@ -208,30 +208,27 @@ def bootstrap(units: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
     instances and a score of ``confident``; its instances of little doubt are
     sure from then on.  Rounds end when nothing new is sure.
     """
-    edges = units.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    edges = staged(edges, "edges")
+    edges = staged(units.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     # a pattern of one instance says nothing of others
-    many = edges.groupBy("pattern").agg(F.count("*").alias("n")).where("n > 1")
-    edges = staged(edges.join(many, "pattern"), "edges")
+    many = edges.groupBy("pattern").agg(F.count("*").alias("n")).where("n > 1").withColumn("c", F.col("n"))
+    edges = staged(join_hot(edges, many, "pattern", edges.count()), "edges")
+    total = edges.count()
     sure = staged(edges.where("seed").select("instance").distinct(), "sure")
     trusted, known = None, sure.count()
     for _ in range(rounds):
         marked = edges.join(sure.withColumn("sure", F.lit(True)), "instance", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
-        met = staged(marked.groupBy("pattern").agg(F.count_if("sure").alias("pos")).where("pos > 0"), "met")
-        doubt = (
-            marked.where("not sure").join(met.select("pattern", F.lit(True).alias("met")), "pattern", "left").groupBy("instance")
-            .agg((F.count_if(F.col("met").isNull()) / (F.count("*") + FEW)).alias("doubt"))
-        )
-        doubt = staged(doubt, "doubt")
-        other = edges.join(met.where(F.col("pos") >= support), "pattern").join(doubt, "instance").groupBy("pattern").agg(F.sum("doubt").alias("doubt"))
-        scored = met.join(many, "pattern").join(other, "pattern", "left").withColumn("score", F.col("pos") / (F.col("pos") + F.coalesce("doubt", F.lit(0.0)) + 0.5))
-        trusted = staged(scored.where((F.col("pos") >= support) & (F.col("score") >= confident) & (F.col("pos") >= share * F.col("n"))).select("pattern", "score"), "trusted")
-        found = edges.join(trusted, "pattern", "left_semi").join(doubt.where(F.col("doubt") <= 1 - confident + 1e-9), "instance", "left_semi").select("instance")
+        met = staged(marked.groupBy("pattern").agg(F.count_if("sure").alias("pos"), F.count("*").alias("c")).where("pos > 0"), "met")
+        other = join_hot(marked.where("not sure"), met.select("pattern", F.lit(True).alias("met"), "c"), "pattern", total, "left")
+        doubt = staged(other.groupBy("instance").agg((F.count_if(F.col("met").isNull()) / (F.count("*") + FEW)).alias("doubt")), "doubt")
+        other = join_hot(edges, met.where(F.col("pos") >= support).select("pattern", "c"), "pattern", total).join(doubt, "instance").groupBy("pattern").agg(F.sum("doubt").alias("doubt"))
+        scored = met.join(other, "pattern", "left").withColumn("score", F.col("pos") / (F.col("pos") + F.coalesce("doubt", F.lit(0.0)) + 0.5))
+        trusted = staged(scored.where((F.col("pos") >= support) & (F.col("score") >= confident) & (F.col("pos") >= share * F.col("c"))).select("pattern", "score", "c"), "trusted")
+        found = join_hot(edges, trusted.select("pattern", "c"), "pattern", total).join(doubt.where(F.col("doubt") <= 1 - confident + 1e-9), "instance", "left_semi").select("instance")
         sure = staged(sure.unionByName(found).distinct(), "sure")
         before, known = known, sure.count()
         if known == before:
             break
-    return trusted, sure
+    return trusted.select("pattern", "score"), sure
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
