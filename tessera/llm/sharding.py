@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import staged
 
 #: Hexadecimal digits of a text's digest that name its bin; rows of a cell of a bin, about.
-BIN_DIGITS, CELL = 3, 50_000
+BIN_DIGITS, CELL = 3, 1000
 
 
 def _order(text: Column) -> list[Column]:
@@ -55,8 +55,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.015
     at = lambda pos: F.least(F.floor(pos / F.col("target")), F.lit(n_shards - 1)).cast("int")
     bins = bins.select("bin", "digits", "b0", "r0", "target", F.when(F.col("bb") <= F.col("target") * tolerance, at(F.col("b0") + F.col("bb") / 2)).alias("whole"))
     celled = base.join(F.broadcast(bins), "bin").withColumn("cell", F.expr("substring(rank, 1, digits)"))  # 16 ** BIN_DIGITS rows
-    # a cell of several times CELL rows holds one key over and over; there is one for so many rows at most
-    full = celled.groupBy("bin", "cell").agg(F.count("*").alias("n")).where(F.col("n") > 8 * CELL).select("bin", "cell", F.lit(True).alias("full"))
+    # a cell of 64 times CELL rows holds one key over and over; there is one for so many rows at most
+    full = celled.groupBy("bin", "cell").agg(F.count("*").alias("n")).where(F.col("n") > 64 * CELL).select("bin", "cell", F.lit(True).alias("full"))
     salt = F.when(F.col("full"), F.shiftright("place", 33)).otherwise(F.lit(0))
     celled = celled.join(F.broadcast(full), ["bin", "cell"], "left").withColumn("salt", salt)
 
