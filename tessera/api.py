@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +12,15 @@ from tessera.language import ast as A
 from tessera.language.lexer import QueryError
 from tessera.language.parser import parse
 from tessera.operators import mutations
-from tessera.plans.compiler import Compiler
+from tessera.plans.compiler import Compiler, _names
 from tessera.plans.values import Fn, Rel, Scope, Val, fresh, sorting
 from tessera.sources.catalog import Catalog, standard
 
 
+def _names_of(node: A.Node | None) -> set[str]:
+    return {n.name for n in _names(node)} if node is not None else set()
+
+
 @dataclass
 class Result:
     """A DataFrame and whether it stands for one value or for many."""
@@ -105,7 +109,8 @@ class Engine:
         for o in objects:
             scope = compiler.unit()
             v = compiler.col(o, env, scope)
-            frames.append(scope.df.select(v.col.alias("value")).select("value.*"))
+            row = scope.df.select(v.col.alias("value")).select("value.*")
+            frames.append(row.withColumn(mutations.GIVEN, F.array(*(F.lit(c) for c in row.columns))))
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f, allowMissingColumns=True)
@@ -128,7 +133,8 @@ class Engine:
         if node.upsert:
             keys, action = node.conflict or ((table.id,), "replace")
             self.catalog.replace(name, mutations.upserted(table.df, rows, keys, action))
-        else:
+        rows = rows.drop(mutations.GIVEN)
+        if not node.upsert:
             self.catalog.replace(name, mutations.created(table.df, rows))
         full = mutations.conform(rows, table.df)
         if node.head.label:
@@ -194,9 +200,13 @@ class Engine:
         if direction == "<-":
             left, right = right, left
         table = self.catalog[edge.types[0]]
+        # what an end asks of the other one is the condition of the pairs
+        asked = [_names_of(head.mods.where) & {n for n in (other.binder, other.label) if n} for head, other in ((left, right), (right, left))]
+        conditions = [head.mods.where for head, both in zip((left, right), asked, strict=True) if both]
+        left, right = (replace(head, mods=replace(head.mods, where=None)) if both else head for head, both in zip((left, right), asked, strict=True))
         a_rel, a = self._ids(left, compiler, env, "_from")
         b_rel, b = self._ids(right, compiler, env, "_to")
-        # one edge for each matched pair, as the statement asks
+        # one edge for each matched pair, as the statement asks; with a condition it is a join
         pairs = a.crossJoin(b)
         scope = Scope(pairs)
         inner = dict(env)
@@ -204,6 +214,8 @@ class Engine:
             for n in (head.binder, head.label):
                 if n:
                     inner[n] = Val(F.col(c), rel.elem.type)
+        for condition in conditions:
+            scope.df = scope.df.where(compiler.col(condition, inner, scope).col)
         fields = {n: compiler.col(e, inner, scope).col for n, e in props.fields}
         rows = scope.df.select("_from", "_to", *(c.alias(n) for n, c in fields.items()))
         n = rows.count()
@@ -217,6 +229,8 @@ class Engine:
     def _unlink(self, node: A.UnlinkQuery, compiler: Compiler, env: dict) -> Result:
         n = 0
         for path in node.paths:
+            if len(path.hops) != 1 or path.hops[0].hops is not None:
+                raise QueryError("unlink takes one edge of one hop at a time")
             hop = path.hops[0]
             edge = hop.edge
             table = self.catalog[edge.types[0]]

@@ -91,9 +91,11 @@ def ordered(xs: Column, keys: list[tuple[Fn, bool]]) -> Column:
 
 
 def distinct_by(xs: Column, key: Fn) -> Column:
-    """The first element of each key."""
-    keys = F.transform(xs, key)
-    return F.filter(xs, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """The first element of each key: sorted by key and place, neighbours tell."""
+    keyed = F.array_sort(F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = lambda s: F.filter(s, lambda e, j: (j == 0) | ~e["k"].eqNullSafe(F.get(s, j - 1)["k"]))
+    kept = F.element_at(F.transform(F.array(keyed), firsts), 1)
+    return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def zipped(xs: Column, ys: Column) -> Column:
@@ -229,8 +231,50 @@ def map_merge(a: Column, b: Column, fn: Callable[[Column, Column], Column]) -> C
     return F.map_zip_with(a, b, lambda k, x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(fn(x, y)))
 
 
-def map_range(m: Column, lo: Column, hi: Column) -> Column:
-    return F.filter(F.array_sort(F.map_entries(m)), lambda e: (e["key"] >= lo) & (e["key"] < hi))
+def map_range(m: Column, lo: Column | None, hi: Column | None) -> Column:
+    """Entries of the keys from ``lo`` to below ``hi``, by key."""
+    entries = F.array_sort(F.map_entries(m))
+    return F.filter(entries, lambda e: (F.lit(True) if lo is None else e["key"] >= lo) & (F.lit(True) if hi is None else e["key"] < hi))
+
+
+def map_bound(m: Column, k: Column, after: bool) -> Column:
+    """The entry of the least key not below (or above) ``k``."""
+    return first(F.array_sort(F.filter(F.map_entries(m), lambda e: e["key"] > k if after else e["key"] >= k)))
+
+
+# statistics
+def variance(xs: Column) -> Column:
+    """Of a sample; of fewer than two, none."""
+    mean = average(xs)
+    return F.when(F.size(xs) > 1, F.element_at(F.transform(F.array(mean), lambda m: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))), 1) / (F.size(xs) - 1))
+
+
+def stddev(xs: Column) -> Column:
+    return F.sqrt(variance(xs))
+
+
+def quantile(xs: Column, q: Column) -> Column:
+    """With interpolation between neighbours."""
+
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * q
+        lo, hi = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+        return lo + (hi - lo) * (at - F.floor(at))
+
+    return F.when(F.size(xs) > 0, F.element_at(F.transform(F.array(F.array_sort(xs)), between), 1).cast("double"))
+
+
+def moving_average(xs: Column, width: Column) -> Column:
+    return F.transform(xs, lambda _, i: average(F.slice(xs, F.greatest(i + 2 - width, F.lit(1)).cast("int"), F.least(i + 1, width).cast("int"))))
+
+
+def histogram(xs: Column, n: Column) -> Column:
+    """Used cells of equal width: {cell (0-based), count}; equal values are all in the first."""
+    lo, hi = F.array_min(xs), F.array_max(xs)
+    width = (hi - lo) / n
+    cells = F.transform(xs, lambda x: F.when(width == 0, 0).otherwise(F.least(F.floor((x - lo) / F.nullif(width, F.lit(0.0))), n - 1)).cast("int"))
+    used = F.array_sort(F.array_distinct(cells))
+    return F.transform(used, lambda c: F.struct(c.alias("cell"), F.size(F.filter(cells, lambda x: x == c)).cast("long").alias("count")))
 
 
 # deques and heaps

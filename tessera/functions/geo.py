@@ -101,3 +101,25 @@ def tile_bounds(z: Column, x: Column, y: Column) -> Column:
     n = F.pow(F.lit(2.0), z)
     lat = lambda v: F.degrees(F.atan((F.exp(math.pi * (1 - 2 * v / n)) - F.exp(-math.pi * (1 - 2 * v / n))) / 2))
     return bbox(x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y))
+
+
+def simplify(line: Column, tolerance: float) -> Column:
+    """The line without points that are nearer than ``tolerance`` to the last
+    one kept; both ends stay."""
+
+    def step(kept: Column, p: Column) -> Column:
+        return F.when(F.size(kept) == 0, F.array(p)).when(distance(F.try_element_at(kept, F.lit(-1)), p) >= tolerance, F.array_append(kept, p)).otherwise(kept)
+
+    inner = F.aggregate(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, 1, 0), step)
+    return F.when(F.size(line) > 1, F.array_append(inner, F.try_element_at(line, F.lit(-1)))).otherwise(line)
+
+
+def transform(p: Column, crs: str) -> Column:
+    """A point between lon/lat degrees (EPSG:4326) and Web Mercator metres (EPSG:3857)."""
+    if crs == "EPSG:3857":
+        r = 6_378_137.0  # fixed value: the sphere of Web Mercator
+        return point(F.radians(p["lon"]) * r, F.log(F.tan(F.lit(math.pi / 4) + F.radians(p["lat"]) / 2)) * r)
+    if crs == "EPSG:4326":
+        r = 6_378_137.0
+        return point(F.degrees(p["lon"] / r), F.degrees(2 * F.atan(F.exp(p["lat"] / r)) - math.pi / 2))
+    raise ValueError(f"unknown reference system {crs}")

@@ -56,6 +56,7 @@ _GEO = {
     "point": _f(G.point), "bbox": _f(G.bbox), "bounding_box": _f(G.bounding_box), "centroid": _f(G.centroid), "area": _f(G.area, "double"), "length": _f(G.length, "double"),
     "distance": _f(G.distance, "double"), "haversine_distance": _f(G.haversine, "double"), "contains": _f(G.ring_contains, "boolean"), "within": _f(lambda p, r: G.ring_contains(r, p), "boolean"),
     "intersects": _f(G.box_intersects, "boolean"), "overlaps": _f(G.box_overlaps, "boolean"), "touches": _f(G.box_touches, "boolean"), "covering_cells": _f(G.covering_cells, None, 1), "tile_bounds": _f(G.tile_bounds),
+    "box_contains": _f(G.box_contains, "boolean"), "simplify": _f(G.simplify, None, 1), "transform": _f(G.transform, None, 1),
 }
 _VECTOR = {"dot": _f(V.dot, "double"), "norm": _f(V.norm, "double"), "cosine": _f(V.cosine, "double")}
 _ALGO = {
@@ -67,7 +68,7 @@ for _ns, _fns in {"math": _MATH, "text": _TEXT, "string": _TEXT, "time": _TIME,
     FUNCTIONS |= {f"{_ns}::{n}" if _ns else n: f for n, f in _fns.items()}
 FUNCTIONS |= {
     "concat": _TEXT["concat"], "now": _TIME["now"], "uuid": _f(F.uuid, "string"), "desc": _f(lambda x: x, "same"), "asc": _f(lambda x: x, "same"),
-    "regex::email": _f(lambda: F.lit(X.EMAIL), "string"), "coalesce": _f(F.coalesce, "same"), "json::get": _f(F.get_json_object, "string", 1),
+    "money::round": _f(N.money_round, None, 1, 2), "regex::email": _f(lambda: F.lit(X.EMAIL), "string"), "coalesce": _f(F.coalesce, "same"), "json::get": _f(F.get_json_object, "string", 1),
     **{n: _MATH[n] for n in ("abs", "sqrt", "floor", "ceil", "round")},
 }
 
@@ -79,6 +80,7 @@ METHODS: dict[str, Function] = {
     "amount": _f(lambda p: p["amount"]), "currency": _f(lambda p: p["currency"], "string"), "add": _f(N.money_add), "convert": _f(N.money_convert, None, 2, 3),
     "total_seconds": _f(T.total_seconds, "double"), "overlaps": _f(T.span_overlaps, "boolean"),
     "centroid": _GEO["centroid"], "area": _GEO["area"], "bounding_box": _GEO["bounding_box"], "length": _GEO["length"], "distance": _GEO["distance"], "haversine_distance": _GEO["haversine_distance"], "within": _GEO["within"],
+    "simplify": _GEO["simplify"], "transform": _GEO["transform"],
     # maps
     "keys": _f(F.map_keys), "values": _f(F.map_values), "entries": _f(F.map_entries), "into_array": _f(F.map_entries), "contains_key": _f(F.map_contains_key, "boolean"),
     "get_or": _f(C.map_get_or), "get_many": _f(C.map_get_many),

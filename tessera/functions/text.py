@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +20,17 @@ def tokens(s: Column) -> Column:
     return F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, not in every lambda that names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(s: Column, n: int) -> Column:
-    t = tokens(s)
-    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(t, i, n))
+    def of(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(t, i, n))
+
+    return _bound(tokens(s), of)
 
 
 def slugify(s: Column) -> Column:
@@ -29,5 +39,9 @@ def slugify(s: Column) -> Column:
 
 def phrase_positions(s: Column, phrase: list[str]) -> Column:
     """Token positions at which the words of a phrase stand in a row."""
-    t = tokens(s)
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), lambda i: F.slice(t, i + 1, len(phrase)) == F.array(*map(F.lit, phrase)))
+
+    def of(t: Column) -> Column:
+        stands = lambda i: reduce(and_, (F.get(t, i + k) == w for k, w in enumerate(phrase)))
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), stands)
+
+    return _bound(tokens(s), of)

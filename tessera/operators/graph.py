@@ -53,7 +53,7 @@ def transitive_closure(edges: DataFrame, seed=None) -> DataFrame:
     while not front.isEmpty():
         nxt = front.select("_from", F.col("_to").alias("m")).join(steps.withColumnsRenamed({"_from": "m", "_to": "t"}), "m").select("_from", F.col("t").alias("_to")).distinct()
         front = cut(nxt.join(seen, ["_from", "_to"], "left_anti"))
-        seen = cut(seen.unionAll(front))
+        seen = seen.unionAll(front)  # each frontier is written once
     return seen
 
 
@@ -180,12 +180,20 @@ def _levels(tree: DataFrame, node, up: bool) -> DataFrame:
     front = cut(steps.where(F.col("__a") == node).select(F.col("__b").alias("id"), F.lit(1).alias("level")))
     out, level = front, 1
     while not front.isEmpty():
+        _same(out, node)
         level += 1
         front = cut(front.join(steps, F.col("id") == F.col("__a")).select(F.col("__b").alias("id"), F.lit(level).alias("level")))
+        if not front.join(out.select("id"), "id", "left_semi").isEmpty():
+            raise ValueError("the parents have a cycle, or a node has two")
         out = out.unionAll(front)
     return out
 
 
+def _same(found: DataFrame, node) -> None:
+    if not found.where(F.col("id") == node).isEmpty():
+        raise ValueError("the parents have a cycle")
+
+
 def depth(tree: DataFrame, node) -> DataFrame:
     return ancestors(tree, node).agg(F.coalesce(F.max("level"), F.lit(0)).alias("depth"))
 
@@ -207,7 +215,10 @@ def _paths(tree: DataFrame, root) -> DataFrame:
     out, level = front, 0
     while not front.isEmpty():
         level += 1
-        front = cut(front.join(steps, F.col("id") == F.col("__a")).select(F.col("__b").alias("id"), F.lit(level).alias("level"), F.array_append("path", F.col("__b")).alias("path")))
+        front = cut(front.join(steps, F.col("id") == F.col("__a")).select(F.col("__b").alias("id"), F.lit(level).alias("level"), F.array_append("path", F.col("__b")).alias("path"), F.array_contains("path", F.col("__b")).alias("again")))
+        if not front.where("again").isEmpty():
+            raise ValueError("the parents have a cycle")
+        front = front.drop("again")
         out = out.unionAll(front)
     return out
 

@@ -12,29 +12,37 @@ def created(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(conform(rows, table))
 
 
-def conform(rows: DataFrame, table: DataFrame) -> DataFrame:
-    have = set(rows.columns)
+#: The fields that a new row names.
+GIVEN = "__given"
+
+
+def conform(rows: DataFrame, table: DataFrame, *more: str) -> DataFrame:
+    """Rows in the table's columns and types, missing fields null; ``more`` are kept beside them."""
+    have = set(rows.columns) - set(more)
     unknown = have - set(table.columns)
     if unknown:
         raise ValueError(f"unknown fields: {', '.join(sorted(unknown))}")
-    return rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema))
+    return rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema), *more)
 
 
 def upserted(table: DataFrame, rows: DataFrame, keys: tuple[str, ...], action: str) -> DataFrame:
-    """replace: the new row; merge: new fields where given, else the old;
-    ignore: the old row.  Rows without a conflict are added."""
-    given = set(rows.columns)
-    new = conform(rows, table)
+    """replace: the new row; merge: the fields that the new row names, none
+    included, else the old; ignore: the old row.  Rows without a conflict are
+    added.  A column GIVEN of ``rows`` lists the fields that each names; without
+    it, all columns are."""
+    given = F.col(GIVEN) if GIVEN in rows.columns else F.array(*(F.lit(c) for c in rows.columns))
+    named = rows.withColumn("__named", given).drop(GIVEN)
+    new = conform(rows.drop(GIVEN), table)
     if action == "replace":
         return table.join(new.select(*keys), list(keys), "left_anti").select(table.columns).unionByName(new)
     if action == "ignore":
         return table.unionByName(new.join(table.select(*keys), list(keys), "left_anti").select(table.columns))
-    a, b = table.alias("a"), new.withColumn("__new", F.lit(True)).alias("b")
+    a, b = table.alias("a"), conform(named, table, "__named").alias("b")
     on = None
     for k in keys:
         one = F.col(f"a.{k}") == F.col(f"b.{k}")
         on = one if on is None else on & one
-    pick = lambda c: F.coalesce(f"b.{c}", f"a.{c}") if c in given else F.coalesce(f"a.{c}", f"b.{c}")
+    pick = lambda c: F.when(F.array_contains("b.__named", c), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
     return a.join(b, on, "full_outer").select(*(pick(c).alias(c) for c in table.columns))
 
 

@@ -22,6 +22,7 @@ from tessera.language import ast as A
 from tessera.language.lexer import QueryError
 from tessera.operators import tables
 from tessera.operators.positions import numbered, ranks
+from tessera.operators.shared import cut
 from tessera.plans.values import Fn, GroupScope, Link, Rel, Scope, Val, fresh, sorting
 from tessera.sources.catalog import Catalog
 
@@ -114,7 +115,7 @@ class Compiler:
         for label, mods in q.blocks:
             if label not in roots:
                 raise QueryError(f"for {label}: no such root")
-            roots[label] = self.modified(roots[label], mods, env, scope)
+            roots[label] = self.modified(roots[label], mods, {**env, **roots}, scope)
         only = next(iter(roots))
         env = {**env, **roots}
         if q.where is not None:
@@ -138,11 +139,12 @@ class Compiler:
         return self.ev(q.projection, {**env, **roots}, scope)
 
     def group_target(self, keys: A.ObjectOf, roots: dict[str, Rel]) -> str:
+        """The root whose binder the keys name; of constant keys, the first."""
         used = {n.name for _, e in keys.fields for n in _names(e)}
-        for label, rel in roots.items():
-            if set(rel.names) & used:
-                return label
-        raise QueryError("the keys of a group must name a root's binder")
+        named = [label for label, rel in roots.items() if set(rel.names) & used]
+        if len(named) > 1:
+            raise QueryError("the keys of a group name the binders of several roots")
+        return named[0] if named else next(iter(roots))
 
     # ------------------------------------------------------------ links
     def attach_path(self, path: A.Path, roots: dict, labels: dict, env: dict, inner: bool) -> None:
@@ -254,7 +256,7 @@ class Compiler:
         bound = lambda n, d: d if n is None else int(n.value)
         lo, hi = bound(span.start, 1), bound(span.end, None)
         if hi is None:
-            raise QueryError("hops without an end would not stop on a cycle; use transitive_closure")
+            return self.reached(steps, pk, end, col, lo)
         hi = hi if span.inclusive else hi - 1
         walk, out = steps, []
         for n in range(1, hi + 1):
@@ -269,6 +271,21 @@ class Compiler:
             df = df.unionAll(x)
         return df
 
+    @staticmethod
+    def reached(steps: DataFrame, pk: str, end: str, col: str, lo: int) -> DataFrame:
+        """Walks without an end: every node once for each start, by its first
+        step, so cycles end.  Each round is written to the shared folder."""
+        a, b = fresh("x"), fresh("y")
+        nxt = steps.select(F.col(col), F.col(pk).alias(a), F.col(end).alias(b))
+        front = seen = cut(steps.dropDuplicates([pk, end]).select(col, pk, end, F.lit(1).alias("__hops")))
+        n = 1
+        while not front.isEmpty():
+            n += 1
+            walk = front.select(pk, end).join(nxt, F.col(end) == F.col(a)).select(col, pk, F.col(b).alias(end)).dropDuplicates([pk, end])
+            front = cut(walk.join(seen.select(pk, end), [pk, end], "left_anti").select(col, pk, end, F.lit(n).alias("__hops")))
+            seen = seen.unionAll(front)
+        return seen.where(F.col("__hops") >= lo).drop("__hops")
+
     def follow(self, rel: Rel, link: Link) -> Rel:
         """Flat traversal: rows of the link joined to the rows at hand, nothing nested."""
         rows = link.make()
@@ -419,7 +436,9 @@ class Compiler:
                 df = df.limit(max(0, end - start))
             return rel.but(df=df, iterating=True)
         n = fresh("n")
-        w = Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))
+        if not rel.pk:
+            return self.cut(rel, a, b)
+        w = Window.partitionBy(*rel.pk)
         # ranks from 1, compared as they are: Catalyst then keeps k rows of a key on the map side
         df = rel.df.withColumn(n, F.row_number().over(w.orderBy(*sorting(rel.order))))
         size = F.count("*").over(w)
@@ -433,6 +452,28 @@ class Compiler:
                 df = df.withColumn(n + "b", F.col(n) <= place(b)).where(n + "b").drop(n + "b")
         return rel.but(df=df.drop(n), iterating=True)
 
+    def placed(self, rel: Rel) -> tuple[Rel, str]:
+        """Rows of a whole collection with their 0-based position in its order."""
+        n, v = fresh("n"), fresh("v")
+        keys = [(fresh("o"), c, down) for c, down in rel.order]
+        df = rel.df.withColumns({v: rel.elem.col, **{k: c for k, c, _ in keys}})
+        df = numbered(df, sorting(tuple((F.col(k), down) for k, _, down in keys)) if keys else [], n)
+        elem = _copy(rel.elem, col=F.col(v))
+        return rel.but(df=df, elem=elem, order=((F.col(n), False),), iterating=True), n
+
+    def cut(self, rel: Rel, a: Val | None, b: Val | None) -> Rel:
+        """A slice of a whole collection by positions, for ends that are
+        computed or count from the end."""
+        rel, n = self.placed(rel)
+        size = rel.df.agg(F.count("*")).scalar()
+        place = lambda v: F.when(v.col < 0, size + v.col).otherwise(v.col)
+        df = rel.df
+        if a is not None:
+            df = df.where(F.col(n) >= place(a))
+        if b is not None:
+            df = df.where(F.col(n) < place(b))
+        return rel.but(df=df)
+
     def grouped(self, rel: Rel, keys: A.ObjectOf, env: dict, label: str | None = None) -> Rel:
         rel = self.unfused(self.plain(rel))
         row = Scope(rel.df)
@@ -479,10 +520,13 @@ class Compiler:
         rel = self.plain(rel)
         elem = self.filtered_elem(rel)
         if rel.order:
-            n = fresh("n")
             rel = self.unfused(rel)
-            part = Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))
-            rel = rel.but(df=rel.df.withColumn(n, F.row_number().over(part.orderBy(*sorting(rel.order)))))
+            if rel.pk:
+                n = fresh("n")
+                rel = rel.but(df=rel.df.withColumn(n, F.row_number().over(Window.partitionBy(*rel.pk).orderBy(*sorting(rel.order)))))
+            else:
+                rel, n = self.placed(rel)
+            elem = rel.elem.col
             pairs = F.array_sort(F.collect_list(F.struct(F.col(n).alias("n"), elem.alias("v"))))
             agg = F.transform(pairs, lambda p: p["v"])
         elif rel.cond is not None:
@@ -987,7 +1031,7 @@ class Compiler:
         short = name.split("::")[-1]
         if node.args and (name.split("::")[0] in ("graph", "tree", "search") or name in ("geo::within_radius", "geo::nearest")):
             return self.table_function(name, node, env, scope)
-        if name in FUNCTIONS and not (short in self.METHODS_OF_MANY and node.args and self._many(node.args[0], env, scope)):
+        if name in FUNCTIONS and (name.startswith("geo::") or not (short in self.METHODS_OF_MANY and node.args and self._many(node.args[0], env, scope))):
             return self.builtin(FUNCTIONS[name], list(node.args), env, scope)
         if name in ("Some", "Ok"):
             return self.ev(node.args[0], env, scope)
@@ -1062,6 +1106,12 @@ class Compiler:
             ops = {"contains": times.span_contains, "overlaps": times.span_overlaps, "intersect": times.span_intersect, "union": times.span_union, "is_empty": times.span_is_empty}
             if node.name in ops:
                 return Val(ops[node.name](base.col, *other))
+        if isinstance(kind, T.StructType):
+            names = set(kind.names)
+            if node.name == "round" and names == {"amount", "currency"}:
+                return self.builtin(FUNCTIONS["money::round"], [base, *node.args], env, scope)
+            if node.name in ("intersects", "overlaps", "touches", "contains") and {"west", "south", "east", "north"} <= names:
+                return self.builtin(FUNCTIONS["geo::box_contains" if node.name == "contains" else f"geo::{node.name}"], [base, *node.args], env, scope)
         if node.name in METHODS:
             return self.builtin(METHODS[node.name], [base, *node.args], env, scope)
         if node.name in self.METHODS_OF_MANY:
@@ -1116,6 +1166,9 @@ class Compiler:
                 return self.sliced(out, A.RangeOf(None, args[0], False), env, scope)
             return out
         if name == "reversed":
+            if not rel.order and rel.pk:
+                raise QueryError("reversed needs an order")
+            rel = rel if rel.order else self.placed(self.unfused(self.plain(rel)))[0]
             return self._kept(rel, rel.but(order=tuple((c, not down) for c, down in rel.order)))
         if name in ("slice", "range") and isinstance(args[0], A.RangeOf):
             return self.sliced(rel, args[0], env, scope)
@@ -1154,15 +1207,15 @@ class Compiler:
         if name in ("key_by", "associate_by"):
             return self.keyed(rel, fn(), self.ev(args[1], env, scope) if name == "associate_by" else None)
         if name == "partition":
-            yes, no = (self.nest(self._filter(rel, fn(), env, keep), scope) for keep in (True, False))
-            return Val(F.struct(yes.col.alias("matched"), no.col.alias("rest")))
+            return _Halves({"matched": lambda: self._filter(rel, fn(), env, True), "rest": lambda: self._filter(rel, fn(), env, False)}, lambda r: self.nest(r, scope).col)
         if name == "contains":
             v = self.col(args[0], env, scope)
             return Val(scope.matches(self._where_col(self.plain(rel), rel.elem.col == v.col)), T.BooleanType())
         if name == "contains_by":
             return self.rel_method(A.Method(node.base, "any", args), rel, env, scope)
         if name in ("exactly_one", "expect_one"):
-            arr = self.nest(rel, scope)
+            # two rows tell one from many
+            arr = self.nest(self.sliced(self.plain(rel), A.RangeOf(None, A.Literal(2), False), env, scope), scope)
             return Val(C.exactly_one(arr.col)) if name == "exactly_one" else Val(C.expect_one(arr.col), rel.elem.type)
         if name == "to_array":
             return rel
@@ -1170,6 +1223,9 @@ class Compiler:
             return rel
         if name == "transitive_closure":
             return self.closure(node, rel, env, scope)
+        if name == "search" and args and isinstance(args[0], A.Call) and args[0].fn.name.endswith("_query"):
+            kind = args[0].fn.name.split("::")[-1].removesuffix("_query")
+            return self.table_function(f"search::{kind}", A.Call(A.Name(f"search::{kind}"), (node.base, *args[0].args)), env, scope)
         # what is sequential by nature runs over the ordered array
         arr = self.nest(rel, scope)
         got = self.array_method(node, arr, env, scope)
@@ -1239,19 +1295,33 @@ class Compiler:
         df = row.df.withColumns({i: F.row_number().over(part.orderBy(*sorting((*keys, *rel.order)))).cast("long") - 1, r: F.rank().over(by).cast("long"), d: F.dense_rank().over(by).cast("long")})
         return rel.but(df=df, elem=element(rel.elem.col), iterating=True, order=((F.col(i), False),))
 
+    #: Positions of a block of a moving window.
+    BLOCK = 1 << 16
+
     def moving(self, rel: Rel, width: int) -> Rel:
+        """Means of the last ``width`` elements.  A whole collection is cut into
+        blocks of positions, each with the last elements of the one before."""
         rel = self.unfused(self.plain(rel))
-        w = (Window.partitionBy(*rel.pk) if rel.pk else Window.partitionBy(F.lit(1))).orderBy(*sorting(rel.order)).rowsBetween(1 - width, 0)
         m = fresh("m")
-        return rel.but(df=rel.df.withColumn(m, F.avg(rel.elem.col).over(w)), elem=Val(F.col(m), T.DoubleType()), iterating=True)
+        if rel.pk:
+            w = Window.partitionBy(*rel.pk).orderBy(*sorting(rel.order)).rowsBetween(1 - width, 0)
+            return rel.but(df=rel.df.withColumn(m, F.avg(rel.elem.col).over(w)), elem=Val(F.col(m), T.DoubleType()), iterating=True)
+        rel, n = self.placed(rel)
+        size, block, own = max(width, self.BLOCK), fresh("b"), fresh("w")
+        at = F.floor(F.col(n) / size)
+        blocks = F.when(F.col(n) % size > size - width, F.array(at, at + 1)).otherwise(F.array(at))
+        df = rel.df.withColumn(own, at).withColumn(block, F.explode(blocks))
+        w = Window.partitionBy(block).orderBy(n).rowsBetween(1 - width, 0)
+        df = df.withColumn(m, F.avg(rel.elem.col).over(w)).where(F.col(block) == F.col(own))
+        return rel.but(df=df, elem=Val(F.col(m), T.DoubleType()))
 
     def histogram(self, rel: Rel, n: int, scope: Scope) -> Rel:
-        """Equal-width cells: {cell (0-based), count}."""
+        """Equal-width cells: {cell (0-based), count}; equal values are all in the first."""
         rel = self.unfused(self.plain(rel))
         lo, hi = rel.df.agg(F.min(rel.elem.col)).scalar(), rel.df.agg(F.max(rel.elem.col)).scalar()
         cell, k = fresh("c"), fresh("k")
         width = (hi - lo) / F.lit(n)
-        df = rel.df.select(F.least(F.floor((rel.elem.col - lo) / width), F.lit(n - 1)).cast("int").alias(cell)).groupBy(cell).agg(F.count("*").alias(k))
+        df = rel.df.select(F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((rel.elem.col - lo) / F.nullif(width, F.lit(0.0))), F.lit(n - 1))).cast("int").alias(cell)).groupBy(cell).agg(F.count("*").alias(k))
         return Rel(df, Val(F.struct(F.col(cell).alias("cell"), F.col(k).alias("count")), T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("count", T.LongType())])), iterating=True)
 
     def _column(self, rel: Rel, name: str) -> DataFrame:
@@ -1369,6 +1439,15 @@ class Compiler:
             return Val(F.array_max(x), element)
         if name in ("avg", "mean"):
             return Val(C.average(x), T.DoubleType())
+        if name in ("variance", "stddev", "median", "quantile", "moving_average", "histogram"):
+            clean = F.array_compact(x)
+            if name in ("variance", "stddev"):
+                return Val(getattr(C, name)(clean), T.DoubleType())
+            if name in ("median", "quantile"):
+                return Val(C.quantile(clean, F.lit(0.5) if name == "median" else c()), T.DoubleType())
+            if name == "moving_average":
+                return many(C.moving_average(x, c()), T.ArrayType(T.DoubleType()))
+            return many(C.histogram(clean, c()), T.ArrayType(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("count", T.LongType())])))
         if name == "map":
             t = result(ev(), element)
             return many(F.transform(x, one()), T.ArrayType(t) if t else None)
@@ -1488,6 +1567,11 @@ class Compiler:
             return Val(C.map_with(x, c(), c(1)), kind)
         if name == "without":
             return Val(C.map_without(x, c()), kind)
+        if name in ("lower_bound", "upper_bound"):
+            return Val(C.map_bound(x, c(), name == "upper_bound"), T.StructType([T.StructField("key", k), T.StructField("value", v)]))
+        if name == "range" and isinstance(node.args[0], A.RangeOf):
+            a, b = self.bounds(node.args[0], env, scope)
+            return Val(C.map_range(x, a.col if a else None, b.col if b else None), T.ArrayType(T.StructType([T.StructField("key", k), T.StructField("value", v)])))
         if name == "map_values":
             fn = f()
             return Val(F.transform_values(x, lambda _, y: self.apply(fn, [Val(y, v)], scope).col))
@@ -1500,6 +1584,22 @@ class Compiler:
         return None
 
 
+class _Halves(Val):
+    """Both parts of a partition: rows by name, arrays only if the whole is asked for."""
+
+    def __init__(self, members: dict, nested) -> None:
+        super().__init__(None)
+        self.members, self.nested = members, nested
+
+    @property
+    def col(self) -> Column:
+        return F.struct(*(self.nested(make()).alias(n) for n, make in self.members.items()))
+
+    @col.setter
+    def col(self, _) -> None:
+        pass
+
+
 class _Pending:
     """An element that rows will give later; its links wait for it."""
 

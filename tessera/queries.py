@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import family_queries
 from tessera.api import Engine
 from tessera.functions import geo
 from tessera.operators import graph, search
@@ -41,7 +42,7 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select o_orderkey as id from orders order by o_orderkey limit 4 offset 3",
     ),
     "index_at": (
-        "select orders@o[order by o.o_totalprice desc, o.o_orderkey][0].{id: o_orderkey, total: o_totalprice} from orders@o:Order".replace("{id: o_orderkey, total: o_totalprice}", "{o_orderkey, o_totalprice}"),
+        "select orders@o[order by o.o_totalprice desc, o.o_orderkey][0].{o_orderkey, o_totalprice} from orders@o:Order",
         "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 1",
     ),
     "index_negative": (
@@ -279,7 +280,7 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select o_orderkey as id, rank() over (partition by o_custkey order by o_totalprice desc) as rank from orders",
     ),
     "skip_take": ("select orders.order_by(|o| (order::desc(o.o_totalprice), o.o_orderkey)).skip(3).take(4).map(|o| {id: o.o_orderkey}) from orders@o:Order", "select o_orderkey as id from orders order by o_totalprice desc, o_orderkey limit 4 offset 3"),
-    "reversed_first": ("select orders[order by o.o_orderkey].reversed().first().{o_orderkey} from orders@o:Order".replace("orders[", "orders@o["), "select max(o_orderkey) as o_orderkey from orders"),
+    "reversed_first": ("select orders@o[order by o.o_orderkey].reversed().first().{o_orderkey} from orders@o:Order", "select max(o_orderkey) as o_orderkey from orders"),
     "top_k": ("select orders.top_k(5, |o| o.o_totalprice).map(|o| {id: o.o_orderkey}) from orders@o:Order", "select o_orderkey as id from orders order by o_totalprice desc limit 5"),
     "index_by": (
         "select orders.index_by(|o| o.o_custkey)@e[*].{k: e.key, n: len(e.values)} from orders@o:Order",
@@ -300,11 +301,6 @@ TEXTS: dict[str, tuple[str, str]] = {
     "contains": ("select {a: nations@n[*].n_name.contains('NATION_7'), b: nations.contains_by(|n| n.n_nationkey == 99)} from nations@n:Nation", "select coalesce(bool_or(n_name = 'NATION_7'), false) as a, coalesce(bool_or(n_nationkey = 99), false) as b from nation"),
     # -- sequences
     "fold_sum": (
-        "select customers@c[*].{id: c.c_custkey, v: c.places@e[order by e.o_orderkey][*].o_orderkey.fold(0, |a, x| a * 3 % 1000 + x)} from customers@c:Customer " + CUSTOMER_ORDERS + " where c.c_custkey < 20",
-        "with recursive t as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) r from orders where o_custkey < 20), f as (select c_custkey as id, cast(0 as bigint) as v, 0 as r from customer where c_custkey < 20 union all select f.id, f.v * 3 % 1000 + t.o_orderkey, f.r + 1 from f join t on t.o_custkey = f.id and t.r = f.r + 1) select id, v from f qualify row_number() over (partition by id order by r desc) = 1",
-    ),
-    # the same over every customer; a list fold is quick enough in SQL
-    "fold_sum_all": (
         "select customers@c[*].{id: c.c_custkey, v: c.places@e[order by e.o_orderkey][*].o_orderkey.fold(0, |a, x| a * 3 % 1000 + x)} from customers@c:Customer " + CUSTOMER_ORDERS,
         "select c_custkey as id, list_reduce(list_prepend(cast(0 as bigint), coalesce(list(o_orderkey order by o_orderkey) filter (o_orderkey is not null), [])), lambda a, x: a * 3 % 1000 + x) as v from customer left join orders on o_custkey = c_custkey group by 1",
     ),
@@ -314,11 +310,7 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
     "reduce": ("select {m: nations@n[*].n_nationkey.reduce(|a, x| if a > x { a } else { x })} from nations@n:Nation", "select max(n_nationkey) as m from nation"),
     "flatten_depth2": (
-        "select orders@o[*].{k: [[o.o_orderkey, o.o_custkey], [o.o_orderkey]]}@r[*].k[***] from orders@o:Order where o.o_orderkey < 10".replace("@r[*].k[***]", ".map(|r| r.k[**]).flatten()"),
-        "select o_orderkey as value from orders where o_orderkey < 10 union all select o_custkey from orders where o_orderkey < 10 union all select o_orderkey from orders where o_orderkey < 10",
-    ),
-    "flatten_depth2_all": (
-        "select orders@o[*].{k: [[o.o_orderkey, o.o_custkey], [o.o_orderkey]]}.map(|r| r.k[**]).flatten() from orders@o:Order",
+        "select orders@o[*].{k: [[o.o_orderkey, o.o_custkey], [o.o_orderkey]]}@r[*].k[***] from orders@o:Order",
         "select o_orderkey as value from orders union all select o_custkey from orders union all select o_orderkey from orders",
     ),
     "comprehension": (
@@ -371,7 +363,7 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select c_custkey as id, lower(c_name) as l, upper(c_mktsegment) as u, replace(c_name, 'Customer', 'C') as r, cast(length(c_name) as integer) as n, starts_with(c_mktsegment, 'B') as s, c_mktsegment || '-' || c_custkey as k, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') as g from customer",
     ),
     "decimal_round": (
-        "select orders@o[*].{id: o.o_orderkey, a: decimal_parse(o.o_totalprice as str, 4).round(1, HalfEven), b: decimal(o.o_orderkey, 2)} from orders@o:Order".replace("a: decimal_parse(o.o_totalprice as str, 4).round(1, HalfEven), ", "a: o.o_totalprice.round(1, HalfUp), "),
+        "select orders@o[*].{id: o.o_orderkey, a: o.o_totalprice.round(1, HalfUp), b: decimal(o.o_orderkey, 2)} from orders@o:Order",
         "select o_orderkey as id, round(o_totalprice, 1) as a, cast(o_orderkey / 100.0 as decimal(38,2)) as b from orders",
     ),
     "money_add": (
@@ -383,10 +375,6 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select p_partkey as id, p_size >= 10 and p_size < 20 as a, p_size < 25 and 20 < 30 as b from part",
     ),
     "json_field": (
-        "select events@e[*].{id: e.event_id, k: json::get(e.props, '$.k') as i64} from events@e:Event where e.event_id < 500",
-        "select event_id as id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_id < 500",
-    ),
-    "json_field_all": (
         "select events@e[*].{id: e.event_id, k: json::get(e.props, '$.k') as i64} from events@e:Event",
         "select event_id as id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
     ),
@@ -406,10 +394,6 @@ def _per_root(i: int) -> Query:
     return _text(text)
 
 
-def _transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine.standard(spark, sf_dir).sql("select edges.transitive_closure({seed: 3}) from edges@e:NationNeighbours")
-
-
 def _closure_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine.standard(spark, sf_dir).sql("select edges.transitive_closure({}) from edges@e:NationNeighbours")
 
@@ -456,6 +440,34 @@ def _pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pagerank(edges, 0.85, 5).select("node", F.round("rank", 9).alias("rank"))
 
 
+def _ran(statement: str) -> Query:
+    """What a statement gives back."""
+    return lambda spark, sf_dir: Engine.standard(spark, sf_dir).sql(statement)
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of texts and of vectors of the same ids, fused."""
+    texts = search.full_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "license version", 50)
+    near = search.nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", [1.0] * 64, 50)
+    return search.hybrid(texts, near, 20).select("id", F.round("score", 6).alias("score"))
+
+
+#: Documents with their tokens.
+_TOKENED = r"(select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') as t from documents)"
+_BM25_SQL = f"""
+    with d as materialized (select doc_id as id, len(t) as n, list_filter(t, lambda x: x in ('license', 'version', 'idiot')) as t from {_TOKENED}),
+    whole as (select count(*) as docs, avg(n) as mean from d), tf as (select id, n, term, count(*) as tf from (select id, n, unnest(t) as term from d) group by all),
+    df as (select term, count(*) as df from tf group by 1)
+    select id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score from tf join df using (term), whole group by id order by sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) desc, id limit 20
+"""
+_PAGERANK_SQL = (
+    "with e as (select n_nationkey as f, n_regionkey as t from nation), o as (select f, count(*) as k from e group by f), v as (select f as node from e union select t from e), c as (select count(*) as n from v), r0 as (select node, 1.0::double / n as rank from v, c)"
+    + "".join(
+        f", r{i} as (select v.node, 0.15::double / c.n + 0.85::double * (coalesce((select sum(r.rank / o.k) from e join r{i - 1} r on r.node = e.f join o on o.f = e.f where e.t = v.node), 0) + coalesce((select sum(rank) from r{i - 1} where node not in (select f from o)), 0) / c.n) as rank from v, c)"
+        for i in range(1, 6)
+    )
+    + " select node, round(rank, 9) as rank from r5"
+)
 _HAVERSINE_SQL = (
     "select c_custkey as id, round(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(48.86 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48.86)) * pow(sin(radians(2.35 - lon) / 2), 2)))) / 1000, 3) as km"
     " from (select c_custkey, cast(c_custkey % 360 - 180 as double) lon, cast(c_custkey % 170 - 85 as double) lat from customer)"
@@ -466,22 +478,45 @@ BUILDERS: dict[str, tuple[Query, str | None]] = {
     "multi_root_orders": (_per_root(0), "select o_orderkey as id from orders where o_totalprice > 490000 order by o_orderkey limit 9"),
     "multi_root_parts": (_per_root(1), "select p_partkey as id from part where p_size = 7"),
     "transitive_closure": (
-        _transitive_closure,
-        "with recursive e as (select a.n_nationkey as f, b.n_nationkey as t from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey), r as (select f, t from e where f = 3 union select r.f, e.t from r join e on e.f = r.t) select f as _from, t as _to from r",
-    ),
-    "transitive_closure_all": (
         _closure_of_all,
         "with recursive e as (select a.n_nationkey as f, b.n_nationkey as t from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey), r as (select f, t from e union select r.f, e.t from r join e on e.f = r.t) select f as _from, t as _to from r",
     ),
     "connected_components": (_components, "select n_nationkey as node, min(n_nationkey) over (partition by n_regionkey) as component from nation"),
-    "pagerank": (_pagerank, None),
+    "pagerank": (_pagerank, _PAGERANK_SQL),
     "vector_knn": (
         _knn,
         "select vec_id as id from embeddings e, (select embedding q from embeddings where vec_id = 0) order by list_cosine_similarity(cast(e.embedding as double[]), cast(q as double[])) desc, vec_id limit 10",
     ),
     "haversine": (_haversine, _HAVERSINE_SQL),
-    "phrase_search": (_phrase, None),
-    "full_text_search": (_full_text, None),
+    "phrase_search": (
+        _phrase,
+        f"select doc_id as id, cast(len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) as bigint) as n from {_TOKENED} where n > 0",
+    ),
+    "full_text_search": (_full_text, _BM25_SQL),
+    "phrase_slop_search": (
+        lambda spark, sf_dir: search.phrase(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "the of", 2).groupBy("id").agg(F.count("*").alias("n")),
+        f"select doc_id as id, cast(len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'the' and list_contains(t[i + 1:i + 3], 'of'))) as bigint) as n from {_TOKENED} where n > 0",
+    ),
+    "hybrid_search": (_hybrid, None),
+    "update_patch": (
+        _mutated("Customer", "update c@c:Customer { c_mktsegment: 'PATCHED', c_acctbal: 0.0 } where c.c_nationkey == 3"),
+        "select c_custkey, c_name, c_nationkey, case when c_nationkey = 3 then 0.0 else c_acctbal end as c_acctbal, case when c_nationkey = 3 then 'PATCHED' else c_mktsegment end as c_mktsegment from customer",
+    ),
+    "update_minus": (
+        _mutated("Customer", "update c@c:Customer set { c.c_acctbal -= 10.5 } where c.c_acctbal > 0.0"),
+        "select c_custkey, c_name, c_nationkey, case when c_acctbal > 0 then c_acctbal - 10.5 else c_acctbal end as c_acctbal, c_mktsegment from customer",
+    ),
+    "update_counts": (_ran("update c@c:Customer set { c.c_acctbal = 1.0 } where c.c_nationkey == 5"), "select count(*) as value from customer where c_nationkey = 5"),
+    "delete_counts": (_ran("delete c@c:Customer where c.c_acctbal < 0.0"), "select count(*) as value from customer where c_acctbal < 0"),
+    "create_default_result": (_ran("create r@r:Region [{r_regionkey: 70, r_name: 'A'}, {r_regionkey: 71}]"), "select * from (values (70, 'A'), (71, null)) v(r_regionkey, r_name)"),
+    "upsert_merge_none": (
+        _mutated("Nation", "upsert n@n:Nation [{n_nationkey: 3, n_name: None}] on conflict (n_nationkey) merge"),
+        "select n_nationkey, case when n_nationkey = 3 then null else n_name end as n_name, n_regionkey from nation",
+    ),
+    "link_on_condition": (
+        _mutated("NationNeighbours", "link (a@a:Nation)->[e@e:NationNeighbours {}]->(b@b:Nation where b.n_nationkey == a.n_nationkey + 1)"),
+        "select a.n_nationkey as _from, b.n_nationkey as _to from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey <> b.n_nationkey union all select n_nationkey, n_nationkey + 1 from nation where n_nationkey + 1 in (select n_nationkey from nation)",
+    ),
     "create_rows": (_mutated("Region", "create r@r:Region [{r_regionkey: 90, r_name: 'NEW'}, {r_regionkey: 91, r_name: 'NEWER'}]"), "select r_regionkey, r_name from region union all values (90, 'NEW'), (91, 'NEWER')"),
     "upsert_merge": (
         _mutated("Nation", "upsert n@n:Nation [{n_nationkey: 3, n_name: 'CHANGED'}, {n_nationkey: 77, n_name: 'ADDED', n_regionkey: 1}] on conflict (n_nationkey) merge"),
@@ -510,6 +545,9 @@ BUILDERS: dict[str, tuple[Query, str | None]] = {
     ),
 }
 
+TEXTS |= family_queries.TEXTS
+#: The ranking alone.
+TEXTS["search_method"] = (TEXTS["search_method"][0], f"select id from ({_BM25_SQL})")
 QUERIES: dict[str, Query] = {n: _text(t) for n, (t, _) in TEXTS.items()} | {n: q for n, (q, _) in BUILDERS.items()}
 ORACLE_SQL: dict[str, str] = {n: s for n, (_, s) in TEXTS.items()} | {n: s for n, (_, s) in BUILDERS.items() if s}
 
