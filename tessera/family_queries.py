@@ -79,8 +79,8 @@ TEXTS: dict[str, tuple[str, str]] = {
         "select p_partkey as id, cast(4 * p_size as double) as a, p_size / 2.0 as b, cast(2 * p_size + 4 as double) as c, round(sqrt(9 + p_size * p_size), 6) as d, p_size > 10.5 as e, p_size > 2.5 as f, cast(p_size as double) as g, p_size >= 10 as h, p_size > 10 as i, p_size = 10 as j, cast((p_size // 2 + 1) * 3 as integer) as k, cast(85.0511 as double) as l, 2 as m, round(radians(cast(p_size as double)) * 6378137.0, 3) as n from part",
     ),
     "geo_within_radius": (
-        "select geo::within_radius(customers@c[*].{id: c.c_custkey, lon: (c.c_custkey % 360 - 180) as f64, lat: (c.c_custkey % 170 - 85) as f64}, {x: 2.35, y: 48.86, radius: 2000000.0}).map(|r| {id: r.id, km: (r.distance / 1000).round(3)}) from customers@c:Customer",
-        "select id, round(d / 1000, 3) as km from (select c_custkey as id, 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(48.86 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48.86)) * pow(sin(radians(2.35 - lon) / 2), 2)))) as d from (select c_custkey, cast(c_custkey % 360 - 180 as double) lon, cast(c_custkey % 170 - 85 as double) lat from customer)) where d <= 2000000",
+        "select geo::within_radius(customers@c[*].{id: c.c_custkey, lon: (c.c_custkey % 360 - 180) as f64, lat: (c.c_custkey % 170 - 85) as f64}, {x: 2.35, y: 48.86, radius: 6000000.0}).map(|r| {id: r.id, km: (r.distance / 1000).round(3)}) from customers@c:Customer",
+        "select id, round(d / 1000, 3) as km from (select c_custkey as id, 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(48.86 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48.86)) * pow(sin(radians(2.35 - lon) / 2), 2)))) as d from (select c_custkey, cast(c_custkey % 360 - 180 as double) lon, cast(c_custkey % 170 - 85 as double) lat from customer)) where d <= 6000000",
     ),
     "geo_nearest": (
         "select geo::nearest(customers@c[*].{id: c.c_custkey, lon: (c.c_custkey % 360 - 180) as f64, lat: (c.c_custkey % 170 - 85) as f64}, {x: 2.35, y: 48.86, k: 1}).map(|r| {km: (r.distance / 1000).round(3)}) from customers@c:Customer",

@@ -20,7 +20,7 @@ def tokens(s: Column) -> Column:
     return F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _bound(value: Column, body) -> Column:
+def bound(value: Column, body) -> Column:
     """``body(value)`` with the value evaluated once, not in every lambda that names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -30,7 +30,7 @@ def ngrams(s: Column, n: int) -> Column:
         starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.slice(t, i, n))
 
-    return _bound(tokens(s), of)
+    return bound(tokens(s), of)
 
 
 def slugify(s: Column) -> Column:
@@ -44,4 +44,4 @@ def phrase_positions(s: Column, phrase: list[str]) -> Column:
         stands = lambda i: reduce(and_, (F.get(t, i + k) == w for k, w in enumerate(phrase)))
         return F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), stands)
 
-    return _bound(tokens(s), of)
+    return bound(tokens(s), of)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geo, text, vectors
+from tessera.operators.shared import cut
 
 #: Usual parameters of BM25, and of reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
@@ -28,14 +29,18 @@ def all_terms(df: DataFrame, column: str, query: str) -> DataFrame:
 def full_text(df: DataFrame, id: str, column: str, query: str, limit: int = 10) -> DataFrame:
     """(id, score) of the best rows by BM25."""
     terms = sorted({t for t in query.lower().split() if t})
-    docs = df.select(F.col(id).alias("id"), text.tokens(F.col(column)).alias("t")).select("id", F.size("t").alias("n"), F.filter("t", lambda t: t.isin(*terms)).alias("t"))
-    whole = docs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    tf = docs.where(F.size("t") > 0).select("id", "n", F.explode("t").alias("term")).groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
+    if not terms:
+        return df.select(F.col(id).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    # texts are read and tokenised once: what is kept of each is its length and a count for each term
+    counted = lambda t: F.struct(F.size(t).alias("n"), F.array(*(F.size(F.array_remove(t, w)) for w in terms)).alias("rest"))
+    docs = cut(df.select(F.col(id).alias("id"), text.bound(text.tokens(F.col(column)), counted).alias("c")).select("id", "c.n", F.transform("c.rest", lambda r: F.col("c.n") - r).alias("tf")))
+    whole = docs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))))
     n, mean = whole.select("docs").scalar(), whole.select("mean").scalar()
-    # one row for each query term
-    scored = tf.join(F.broadcast(df_), "term").withColumn("s", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean)))
-    return scored.groupBy("id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, seen = F.col("tf")[i], whole.select(f"df{i}").scalar()
+        score = score + F.log(1 + (n - seen + 0.5) / (seen + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / mean))
+    return docs.where(F.exists("tf", lambda x: x > 0)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def phrase(df: DataFrame, id: str, column: str, words: str, slop: int = 0, limit: int | None = None) -> DataFrame:
