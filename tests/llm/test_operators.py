@@ -56,11 +56,8 @@ def xx(*values):
     return h - (1 << 64) if h >> 63 else h
 
 
-def test_quality_model_matches_brute_force(spark, corpus, labels):
-    """Buckets, multinomials, threshold, scores and verdicts, all recomputed in Python."""
-    docs = corpus.where("doc_id is not null").dropDuplicates(["doc_id"])
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    trusted = {r["doc_id"]: r["quality"] == 1 for r in labels.where("doc_id is not null").collect()}
+def quality_by_hand(text, trusted):
+    """Weights, threshold, scores and verdicts of rows {row: text}; trusted: {row: bool} of the labelled ones."""
 
     def buckets(t):
         h = [xx(w) for w in WORD.findall(t or "")]
@@ -77,8 +74,21 @@ def test_quality_model_matches_brute_force(spark, corpus, labels):
     score = {i: np.mean([weight[b] for b in g]) if g else None for i, g in grams.items()}
     failed = {i: (c := counts(t))[0] < 50 or 100 * c[4] > 50 * c[0] for i, t in text.items()}
     of = lambda kind: [score[i] for i, k in trusted.items() if k is kind and i in score and not failed[i]]
-    low, high = np.percentile(of(True), 0.5), np.percentile(of(False), 95)
-    threshold = min(high + (low - high) / 4, low)
+    if of(False):
+        low, high = np.percentile(of(True), 0.5), np.percentile(of(False), 95)
+        threshold = min(high + (low - high) / 4, low)
+    else:
+        threshold = min(of(True))
+    kept = {i: not failed[i] and score[i] is not None and score[i] >= threshold - 1e-9 for i in text}
+    return weight, threshold, score, failed, kept
+
+
+def test_quality_model_matches_brute_force(spark, corpus, labels):
+    """Buckets, multinomials, threshold, scores and verdicts, all recomputed in Python."""
+    docs = corpus.where("doc_id is not null").dropDuplicates(["doc_id"])
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    trusted = {r["doc_id"]: r["quality"] == 1 for r in labels.where("doc_id is not null").collect()}
+    weight, threshold, score, failed, _ = quality_by_hand(text, trusted)
     weights, got = quality.llr_model(docs, quality.trusted_sample(labels))
     assert got == pytest.approx(threshold, abs=1e-5) and np.allclose(weights, weight, atol=1e-6)
     for r in quality.quality(docs, labels).collect():
@@ -570,18 +580,16 @@ def test_mixing(corpus, nothing):
     assert mixing.mix_to_weights(nothing, F.array("source")).count() == 0
 
 
-def test_mixing_targets_and_cut_by_hand(spark):
-    """Targets by exact fractions, then the cut by one walk over the seeded order."""
+def mix_by_hand(rows):
+    """Targets by exact fractions, then the cut by one walk over the seeded
+    order: {(doc_id, source, size, taken): rows} of rows (doc_id, text, source)."""
     from fractions import Fraction
 
-    rng = random.Random(2)
-    rows = [(i, " ".join("w" * rng.randrange(1, 30)), rng.choice(["a", "b", "c", "d", None])) for i in range(400)] + [(None, f"x {'y ' * (i % 9)}{i}", "b") for i in range(300)] + [(1, None, "a"), (2, "", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     size = Counter()
     for _, t, s in rows:
         size[s] += len(WORD.findall(t or ""))
-    order = ["a", "b", "c", "d", None]
-    weight = dict(zip(order, [1, 2, 3, 1, 2], strict=True))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
     target, open_ = {}, set(order)
     while open_:
         left = sum(size.values()) - sum(target.values())
@@ -591,13 +599,20 @@ def test_mixing_targets_and_cut_by_hand(spark):
         open_ = open_ - over if over else set()
     want = Counter()
     for s in order:
-        own = sorted((hashlib.md5(f"17:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), i, len(WORD.findall(t or ""))) for i, t, x in rows if x == s)
-        whole, rest = divmod(int(target[s]), size[s])
+        own = sorted(((hashlib.md5(f"17:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), i, len(WORD.findall(t or ""))) for i, t, x in rows if x == s), key=lambda r: r[0])
+        whole, rest = divmod(int(target[s]), size[s]) if size[s] else (0, 0)
         at = 0
         for _, i, n in own:
             want[i, s, n, n * (whole + (n > 0 and at < rest and at + n / 2 <= rest))] += 1
             at += n
-    got = mixing.mix_to_weights(docs, F.array("source")).collect()
+    return want, target
+
+
+def test_mixing_targets_and_cut_by_hand(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("w" * rng.randrange(1, 30)), rng.choice(["a", "b", "c", "d", None])) for i in range(400)] + [(None, f"x {'y ' * (i % 9)}{i}", "b") for i in range(300)] + [(1, None, "a"), (2, "", None)]
+    want, target = mix_by_hand(rows)
+    got = mixing.mix_to_weights(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.array("source")).collect()
     assert Counter((r["doc_id"], r["pattern"][0], r["size"], r["taken"]) for r in got) == want
     assert all(r["target"][0] == pytest.approx(float(target[r["pattern"][0]])) for r in got)
 
@@ -664,27 +679,31 @@ def test_sharding(corpus, nothing, tolerance):
     assert sharding.shard_by_bytes(nothing).count() == 0
 
 
-def test_sharding_cells_leave_the_order(spark, monkeypatch):
-    """Small cells, a text and a row that repeat: shards and slots are those of a plain sort."""
-    rows = [(i, f"text {i % 90}") for i in range(400)] + [(i, "hot text of many") for i in range(1000, 1500)] + [(None, "null id")] * 200 + [(3, None), (4, "")]
-    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, size int")
-    whole = Counter(map(tuple, sharding.shard_by_bytes(docs).collect()))
-    monkeypatch.setattr(sharding, "CELL", 8)
-    assert Counter(map(tuple, sharding.shard_by_bytes(docs.repartition(5)).collect())) == whole
-
+def shards_by_hand(rows):
+    """{(doc_id, size, shard, slot): rows} of rows (doc_id, text), by a plain sort."""
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    ordered = sorted((md5(t or "")[:3], md5(f"{'' if i is None else i}:{md5(t or '')}"), i, len((t or "").encode()) + 1) for i, t in rows)
+    ordered = sorted(((md5(t or "")[:3], md5(f"{'' if i is None else i}:{md5(t or '')}"), i, len((t or "").encode()) + 1) for i, t in rows), key=lambda r: r[:2])
     bins, target = Counter(), sum(r[3] for r in ordered) / 16
     for b, _, _, n in ordered:
         bins[b] += n
-    at, before, slots, want = 0, Counter(), Counter(), Counter()
+    at, before, slots, want = 0, {}, Counter(), Counter()
     for b, _, i, n in ordered:
         before.setdefault(b, at)
         at += n
         k = min(15, int((before[b] + bins[b] / 2 if bins[b] <= target * 0.015 else at - n / 2) // target))
         want[i, n, k, slots[k]] += 1
         slots[k] += 1
-    assert Counter((i, n, k, slot) for i, n, _, k, slot in whole.elements()) == want
+    return want
+
+
+def test_sharding_cells_leave_the_order(spark, monkeypatch):
+    """Small cells, a text and a row that repeat: shards and slots are those of a plain sort."""
+    rows = [(i, f"text {i % 90}") for i in range(400)] + [(i, "hot text of many") for i in range(1000, 1500)] + [(None, "null id")] * 200 + [(3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, size int")
+    whole = Counter(map(tuple, sharding.shard_by_bytes(docs).collect()))
+    monkeypatch.setattr(sharding, "CELL", 8)
+    assert Counter(map(tuple, sharding.shard_by_bytes(docs.repartition(5)).collect())) == whole
+    assert Counter((i, n, k, slot) for i, n, _, k, slot in whole.elements()) == shards_by_hand(rows)
 
 
 # -- 10 warc

@@ -8,8 +8,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.test_near_duplicates import brute
+from tests.llm.test_operators import mix_by_hand, quality_by_hand, shards_by_hand
 
-from tessera.llm import quality
 from tessera.llm.decontamination import drop_contaminated
 from tessera.llm.near_duplicates import keep_one_of_each
 
@@ -38,8 +38,10 @@ def test_stages(spark, sf_dir, sets):
             assert docs.columns == columns
         ids = [r["doc_id"] for r in rows]
         if name == "quality_rules":
-            kept = [r["doc_id"] for r in quality.quality(before, labels).where("kept").collect()]
-            assert Counter(ids) == Counter(kept) and ids
+            texts = dict(enumerate((r["doc_id"], r["text"]) for r in before.collect()))
+            good = {r["doc_id"] for r in labels.collect()}
+            *_, kept = quality_by_hand({k: t for k, (_, t) in texts.items()}, {k: True for k, (i, _) in texts.items() if i in good})
+            assert Counter(ids) == Counter(i for k, (i, _) in texts.items() if kept[k]) and ids
         elif name == "jaccard_join":
             want = {d for d, _, c in brute([(r["doc_id"], r["text"]) for r in before.collect()], sets) if d == c and d is not None}
             assert {d for d in ids if d is not None} == want
@@ -48,9 +50,11 @@ def test_stages(spark, sf_dir, sets):
             bad = {r["doc_id"] for r in before.collect() if any(len(q & sets(r["text"])) >= 0.8 * len(q) for q in items)}
             assert set(ids) == {r["doc_id"] for r in before.collect()} - bad and bad
         elif name == "mixing":
-            assert max(Counter(ids).values()) <= 3 and set(ids) <= {r["doc_id"] for r in before.collect()}
+            want, _ = mix_by_hand([(r["doc_id"], r["text"], r["source"]) for r in before.collect()])
+            assert Counter(ids) == +Counter({i: taken // n * m for (i, _, n, taken), m in want.items() if n})
         else:
-            assert Counter(ids) == Counter(r["doc_id"] for r in before.collect())
+            want = shards_by_hand([(r["doc_id"], r["text"]) for r in before.collect()])
+            assert Counter((r["doc_id"], r["size"], r["shard"], r["slot"]) for r in rows) == want
     assert steps == ["quality_rules", "jaccard_join", "decontamination", "mixing", "sharding"]
     got = sorted(map(str, corpus_pipeline.run(spark, sf_dir).collect()))
     assert got == sorted(map(str, rows))
