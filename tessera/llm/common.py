@@ -75,12 +75,15 @@ HOT = 500
 
 
 def join_hot(rows: DataFrame, one: DataFrame, key: str, n: int, how: str = "inner") -> DataFrame:
-    """``rows`` (about ``n``) joined with ``one``, which has a row for each key
-    with its number ``c`` of rows.  Keys of over n / HOT rows are joined by
-    broadcast, so the rows of a hub stay where they are."""
-    hot, cold = F.broadcast(one.where(F.col("c") > n // HOT).drop("c")), one.where(F.col("c") <= n // HOT).drop("c")
+    """``rows`` (about ``n``) joined with ``one``, a staged table with a row for
+    each key and its number ``c`` of rows.  Keys of over n / HOT rows are joined
+    by broadcast, so the rows of a hub stay where they are."""
+    hot = one.where(F.col("c") > n // HOT).drop("c")
+    if hot.isEmpty():
+        return rows.join(one.drop("c"), key, how)
+    cold = one.where(F.col("c") <= n // HOT).drop("c")
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
 
 
 def hash_sample(df: DataFrame, by: list[str], limit: int) -> DataFrame:

@@ -125,8 +125,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_shingles(texts: DataFrame) -> np.ndarray:
     """The COMMON commonest shingles of small sets, counted over all texts; an
     aid to the order of shingles only, which any list leaves exact."""
-    rows = texts.mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
-    return np.sort(np.array([r["shingle"] for r in rows], np.int64).view(U))
+    rows = texts.mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(U))
 
 
 def dims(n: int) -> int:
@@ -346,9 +346,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         n = 2 * then[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        large = join_hot(both, least, "u", n).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v")
-        small = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("c"))
+        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), "least")
+        large = staged(join_hot(both, least, "u", n).where("v > u").select(F.col("m").alias("u"), "v").where("u <> v"), "large")
+        small = staged(large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("c")), "small")
         after = join_hot(large, small, "v", n).select(F.col("m").alias("u"), F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v")).unionByName(small.select(F.col("m").alias("u"), "v"))
         after = staged(after.where("u <> v").distinct(), "edges")
         now = after.agg(*marks).first()
@@ -435,17 +435,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     paired = dealt.sortWithinPartitions(F.col("pivot").isNotNull(), "key", "node").mapInArrow(_chain, "key long, pivot long, node long")
     members = staged(paired.select("key", F.explode(F.array("pivot", "node")).alias("node")).distinct(), "members")
     # the same members under several keys are one block
-    block = (
+    block = staged(
         members.groupBy("key")
         .agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y"))
         .groupBy("m", "x", "y")
         .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("m") / TREE).cast("int").alias("tiles"), F.col("m").alias("c"))
+        .select("key", F.ceil(F.col("m") / TREE).cast("int").alias("tiles"), F.col("m").alias("c")),
+        "block",
     )
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
     blocks = staged(join_hot(members, block, "key", members.count()).join(degree, "node"), "blocks")
     n = blocks.count()
-    pivots = blocks.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"), F.count("*").alias("c"))
+    pivots = staged(blocks.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"), F.count("*").alias("c")), "pivots")
     sets = _sets_of(texts, blocks.select("node").distinct())
 
     first = join_hot(blocks, pivots, "key", n).select("key", "node", F.col("node").alias("label"), (F.col("node") == F.col("pivot")).alias("query"), "tiles")
@@ -453,9 +454,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = staged(_links(pairs, sets).where("ok").select("a", "b"), "links")
     label = components(links)
 
-    marked = blocks.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = staged(blocks.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("c")).where("parts > 1")
+    open_keys = staged(parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("c")).where("parts > 1"), "keys")
     second = staged(join_hot(marked, open_keys, "key", n).select("key", "node", "label", (F.col("label") != F.col("main")).alias("query"), "tiles"), "open")
     candidates = _searches(second, sets, keys=True)
     found = staged(_links(candidates.join(pairs, ["a", "b"], "left_anti"), sets).where("ok").select("a", "b"), "links")
@@ -464,8 +465,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = docs.select("doc_id", "text").mapInArrow(_named, docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n_shingles long, node long")
     firsts = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = firsts.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("c"))
-    of_node = join_hot(firsts.select("node", "label"), least, "label", label.count()).select("node", "component_id")
+    firsts = staged(firsts, "firsts")
+    least = staged(firsts.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("c")), "least")
+    of_node = join_hot(firsts.select("node", "label"), least, "label", firsts.count()).select("node", "component_id")
     return named.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -210,7 +210,7 @@ def bootstrap(units: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
     """
     edges = staged(units.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     # a pattern of one instance says nothing of others
-    many = edges.groupBy("pattern").agg(F.count("*").alias("n")).where("n > 1").withColumn("c", F.col("n"))
+    many = staged(edges.groupBy("pattern").agg(F.count("*").alias("n")).where("n > 1").withColumn("c", F.col("n")), "many")
     edges = staged(join_hot(edges, many, "pattern", edges.count()), "edges")
     total = edges.count()
     sure = staged(edges.where("seed").select("instance").distinct(), "sure")
