@@ -24,8 +24,9 @@ from tessera.llm.common import n_words, staged
 REPEAT_COSTS = (0, 1, 3)
 #: Patterns and sources at most on the driver; more are refused, not dropped.
 MAX_PATTERNS = 100_000
-#: Hexadecimal digits of the seeded order that make a cell; the cut is found over cells first.
-CELL_DIGITS = 4
+#: Hexadecimal digits of the seeded order that make a cell: the cut is found among
+#: the 256 cells of two digits, then among those of four in one of them.
+CELL_DIGITS = (2, 4)
 
 
 def fill_targets(sizes: list[int], weights: list[int], most: float = len(REPEAT_COSTS)) -> list[float]:
@@ -164,7 +165,7 @@ def _pattern_key(pattern: Column) -> Column:
 
 
 def _placed(docs: DataFrame, membership: Column, seed: int) -> DataFrame:
-    """Adds the pattern, its key __mix_p, and the seeded order __mix_h with its cell.
+    """Adds the pattern, its key __mix_p, and the seeded order __mix_h.
 
     The order is a digest of seed, id and text, so rows that share an id or
     lack one are still told apart; __mix_draw (0 to 1) tells equal rows apart.
@@ -172,12 +173,11 @@ def _placed(docs: DataFrame, membership: Column, seed: int) -> DataFrame:
     marked = docs.withColumn("__mix_pattern", F.array_sort(F.array_distinct(membership)))
     text = F.md5(F.coalesce(F.col("text"), F.lit("")))
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
-    marked = marked.withColumns({"__mix_p": _pattern_key(F.col("__mix_pattern")), "__mix_h": h, "__mix_draw": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)})
-    return marked.withColumn("__mix_cell", F.substring("__mix_h", 1, CELL_DIGITS))
+    return marked.withColumns({"__mix_p": _pattern_key(F.col("__mix_pattern")), "__mix_h": h, "__mix_draw": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)})
 
 
 #: What is kept of a row to find the rules.
-SLIM = ("__mix_size", "__mix_pattern", "__mix_p", "__mix_h", "__mix_cell", "__mix_draw")
+SLIM = ("__mix_size", "__mix_pattern", "__mix_p", "__mix_h", "__mix_draw")
 
 
 def _rules(sized: DataFrame, weights) -> DataFrame:
@@ -210,11 +210,17 @@ def _rules(sized: DataFrame, weights) -> DataFrame:
     plan = [(list(p), x // n if n else 0, x % n if n else 0, [sizes[s] for s in p], [targets[s] for s in p]) for (p, n), x in zip(patterns, given, strict=True)]
     plan = sized.sparkSession.createDataFrame(plan, schema).withColumn("__mix_p", _pattern_key(F.col("__mix_pattern")))
     # the cell in which a pattern's share is reached, then the place in it; equal rows are one step
-    cells = sized.groupBy("__mix_p", "__mix_cell").agg(F.sum("__mix_size").alias("b"))
-    before = Window.partitionBy("__mix_p").orderBy("__mix_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cells.withColumn("b0", F.coalesce(F.sum("b").over(before), F.lit(0))).join(plan.select("__mix_p", F.col("__mix_rest").alias("rest")), "__mix_p").where("b0 < rest")
-    cut = cut.groupBy("__mix_p").agg(F.max("__mix_cell").alias("__mix_cell"), F.max_by("b0", "__mix_cell").alias("b0"), F.first("rest").alias("rest"))
-    edge = sized.where("__mix_size > 0").join(F.broadcast(cut), ["__mix_p", "__mix_cell"]).groupBy("__mix_p", "__mix_h").agg(F.sum("__mix_size").alias("n"), F.max("__mix_size").alias("one"), F.first("b0").alias("b0"), F.first("rest").alias("rest"))
+    own = sized.where("__mix_size > 0")
+    cut = plan.select("__mix_p", F.lit("").alias("cell"), F.lit(0).cast("long").alias("b0"), F.col("__mix_rest").alias("rest"))
+    before = Window.partitionBy("__mix_p").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    within = 0
+    for digits in CELL_DIGITS:
+        inside = own.withColumn("cell", F.substring("__mix_h", 1, within)).join(F.broadcast(cut), ["__mix_p", "cell"])
+        cells = inside.groupBy("__mix_p", F.substring("__mix_h", 1, digits).alias("cell")).agg(F.sum("__mix_size").alias("b"), F.first("b0").alias("b0"), F.first("rest").alias("rest"))
+        reached = cells.withColumn("at", F.col("b0") + F.coalesce(F.sum("b").over(before), F.lit(0))).where("at < rest")
+        cut = staged(reached.groupBy("__mix_p").agg(F.max("cell").alias("cell"), F.max_by("at", "cell").alias("b0"), F.first("rest").alias("rest")), "cut")
+        within = digits
+    edge = own.withColumn("cell", F.substring("__mix_h", 1, within)).join(F.broadcast(cut), ["__mix_p", "cell"]).groupBy("__mix_p", "__mix_h").agg(F.sum("__mix_size").alias("n"), F.max("__mix_size").alias("one"), F.first("b0").alias("b0"), F.first("rest").alias("rest"))
     in_cell = Window.partitionBy("__mix_p").orderBy("__mix_h").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("at", F.col("b0") + F.coalesce(F.sum("n").over(in_cell), F.lit(0)))
     # a row is taken if more than half of it fits; of equal rows, the share that fits
