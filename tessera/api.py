@@ -61,10 +61,14 @@ class Engine:
         node = parse(text)
         compiler = Compiler(self.catalog, self.functions)
         env = {k: self._value(v) for k, v in values.items()}
+        scope = compiler.unit()
+        if isinstance(node, A.Block) and not isinstance(node.result, A.SelectQuery):
+            for pattern, e in node.lets:
+                env = compiler.bind(pattern, compiler.ev(e, env, scope), env, scope)
+            node = node.result
         run = {A.Create: self._create, A.Update: self._update, A.Delete: self._delete, A.LinkQuery: self._link, A.UnlinkQuery: self._unlink}.get(type(node))
         if run:
             return run(node, compiler, env)
-        scope = compiler.unit()
         return self._result(compiler, compiler.query(node, env, scope), scope)
 
     def sql(self, text: str, **values) -> DataFrame:

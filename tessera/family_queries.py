@@ -167,6 +167,14 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
     "ascription": ("select parts@p[*].{id: p.p_partkey, a: (p.p_size : f64) / 2} from parts@p:Part", "select p_partkey as id, p_size / 2.0 as a from part"),
     "search_method": ("select docs.search(full_text_query({id: 'doc_id', text: 'license version idiot', limit: 20})).map(|r| {id: r.id}) from docs@d:Document", None),
+    "function_items": (
+        "fn double(x: i64) -> i64 { x * 2 } const fn taxed(x: f64, rate: f64) -> f64 { let t = x * rate; x + t } select parts@p[*].{id: p.p_partkey, a: double(p.p_size), b: taxed(p.p_retailprice, 0.5).round(4)} from parts@p:Part",
+        "select p_partkey as id, p_size * 2 as a, round(p_retailprice * 1.5, 4) as b from part",
+    ),
+    "fragments": (
+        "let spent = (select customers@c[*].{id: c.c_custkey, totals: c.places@e[*].o_totalprice} from customers@c:Customer links (customers)->[places@e:CustomerPlacesOrder]->(orders@o:Order)); select spent@s[*].{id: s.id, n: count(s.totals)} from spent",
+        "select c_custkey as id, cast((select count(*) from orders where o_custkey = c_custkey) as integer) as n from customer",
+    ),
     "open_hops": ("select nations@n[*].{id: n.n_nationkey, k: len(n.near)} from nations@n:Nation links (nations)->[near@e:NationNeighbours hops ..3]->(ends@m:Nation)", "select n_nationkey as id, cast(4 + 16 as bigint) as k from nation"),
     "merged_label": (
         "select customers@c[*].{id: c.c_custkey, n: len(c.all)} from customers@c:Customer links (customers)->[all@e:CustomerPlacesOrder]->(orders@o:Order), (customers)->[all@e2:CustomerPlacesOrder]->(orders2@o2:Order)",
