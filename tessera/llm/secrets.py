@@ -1,8 +1,8 @@
 """Secret scan: candidate strings, and a random forest that removes false positives.
 
 Candidates are runs of at least 16 key characters with a digit, values of at
-least 6 characters of any kind that a telling name is assigned, and framed key
-blocks over several lines.  A forest over
+least 6 characters of any kind that a telling name is assigned, keys of known
+formats, and framed key blocks over several lines.  A forest over
 length, character transitions, dictionary coverage, path and neighbouring words
 tells secrets from hashes in paths, identifiers, numbers and long words.  It is
 trained from labelled findings; :func:`labelled_findings` makes a deterministic
@@ -34,8 +34,10 @@ SHORT = 6
 _NAMED = r"(?<=[=:\s\"'`])(?<=[=:]\s{0,3}[\"'`]?)(?<=(?i:" + "|".join(sorted(set(KEYWORDS))) + r")[A-Za-z0-9_-]{0,16}[\"']?\s{0,3}[=:]\s{0,3}[\"'`]?)(?![=:])[^\s\"'`<>,;&()\[\]{}|]{" + str(SHORT) + ",}+"
 #: A key block over lines, framed as PEM.
 _BLOCK = r"-----BEGIN [A-Z ]{1,40}+-----[^-]++-----END [A-Z ]{1,40}+-----"
-CANDIDATE = f"{_BLOCK}|{_NAMED}|{_RUN}"
-FEATURES = ("private", "length", "entropy", "switches", "digits", "uppers", "symbols", "repeats", "hex", "numeric", "coverage", "in_path", "extension", "assigned", "quoted", "keyword", "plain_words")
+#: Fixed formats of public providers' keys, which may be without a digit.
+KNOWN = r"(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"
+CANDIDATE = f"{_BLOCK}|{_NAMED}|{_RUN}|(?<![A-Za-z0-9+/_.-]){KNOWN}"
+FEATURES = ("private", "known", "length", "entropy", "switches", "digits", "uppers", "symbols", "repeats", "hex", "numeric", "coverage", "in_path", "extension", "assigned", "quoted", "keyword", "plain_words")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    return docs.where(text.rlike("[0-9=:]|-----BEGIN ")).select("doc_id", F.explode(let(text, found)).alias("c")).select("doc_id", "c.*")
+    return docs.where(text.rlike("[0-9=:]|-----BEGIN |A[KS]IA|gh[pousr]_")).select("doc_id", F.explode(let(text, found)).alias("c")).select("doc_id", "c.*")
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
@@ -85,6 +87,7 @@ def features(found: DataFrame, known: list[str]) -> DataFrame:
     return found.withColumns(
         {
             "private": v.rlike("^-----BEGIN [A-Z ]*PRIVATE KEY").cast("double"),
+            "known": v.rlike(f"^{KNOWN}$").cast("double"),
             "length": n.cast("double"),
             "entropy": let(v, entropy),
             "switches": count(r"(?<=^|a)(?=[A9-])|(?<=A)(?=[a9-])|(?<=9)(?=[aA-])", classes) + (F.size(F.split(classes, r"(?<=a)(?=[A9-])|(?<=A)(?=[9-])|(?<=9)(?=[aA-])")) - 1) / n,
@@ -127,8 +130,8 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, known: list[str] |
         F.substring("r", 1, 32),
         F.substring("r", 1, 64),
         F.substring("b", 1, 40),
-        F.concat(F.lit("AKIA"), F.upper(F.substring("b", 1, 16))),
-        F.concat(F.lit("ghp_"), F.regexp_replace(F.substring("b", 1, 60), "[+/]", "x")),
+        F.concat(F.lit("AKIA"), F.upper(F.substring(F.when(F.col("id") % 4 == 1, mixed).otherwise(F.regexp_replace("b", "[+/]", "7")), 1, 16))),
+        F.concat(F.lit("ghp_"), F.regexp_replace(F.substring("b", 1, 36), "[+/]", "x")),
         # from here on only candidates because a name tells
         F.substring("b", 1, 8),
         F.substring("b", 1, 12),
