@@ -396,11 +396,7 @@ def _searches(blocks: DataFrame, sets: DataFrame, keys: bool) -> DataFrame:
     each tile of queries.  ``keys`` sends a node's keys along (2 * KEYS at most,
     or the first shingles of a small set), so that a pair comes from one block.
     """
-    tiled = blocks.join(sets.select("node", "n", "vector"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    if keys:
-        tiled = tiled.join(blocks.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node")
-    else:
-        tiled = tiled.withColumn("keys", F.array().cast("array<long>"))
+    tiled = blocks.select("key", "node", "label", "query", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
     sides = F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.col("tiles") - 1),
@@ -410,11 +406,15 @@ def _searches(blocks: DataFrame, sets: DataFrame, keys: bool) -> DataFrame:
             ),
         )
     )
-    # a tile of members goes only where a tile has queries
-    asked = blocks.where("query").select("key", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("q")).distinct()
-    dealt = tiled.select("key", "node", "label", "n", "vector", "keys", F.explode(sides).alias("s")).where("s.indexed or s.query")
-    dealt = dealt.select("key", "s.i", "s.q", "node", "label", "n", "vector", "keys", "s.indexed", "s.query").join(asked, ["key", "q"], "left_semi")
-    dealt = dealt.select("key", "i", "q", "node", "label", "n", "vector", "keys", "indexed", "query")
+    # a tile of members goes only where a tile has queries; vectors are joined last, so they are dealt once
+    asked = tiled.where("query").select("key", F.col("tile").alias("q")).distinct()
+    dealt = tiled.select("key", "node", "label", F.explode(sides).alias("s")).where("s.indexed or s.query")
+    dealt = dealt.select("key", "s.i", "s.q", "node", "label", "s.indexed", "s.query").join(asked, ["key", "q"], "left_semi")
+    if keys:
+        dealt = dealt.join(blocks.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node")
+    else:
+        dealt = dealt.withColumn("keys", F.array().cast("array<long>"))
+    dealt = dealt.join(sets.select("node", "n", "vector"), "node").select("key", "i", "q", "node", "label", "n", "vector", "keys", "indexed", "query")
     return dealt.repartition("key", "i", "q").sortWithinPartitions("key", "i", "q").mapInArrow(_searched, "a long, b long").distinct()
 
 
