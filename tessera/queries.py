@@ -454,11 +454,25 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Documents with their tokens.
 _TOKENED = r"(select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') as t from documents)"
-_BM25_SQL = f"""
-    with d as materialized (select doc_id as id, len(t) as n, list_filter(t, lambda x: x in ('license', 'version', 'idiot')) as t from {_TOKENED}),
-    whole as (select count(*) as docs, avg(n) as mean from d), tf as (select id, n, term, count(*) as tf from (select id, n, unnest(t) as term from d) group by all),
-    df as (select term, count(*) as df from tf group by 1)
-    select id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) as score from tf join df using (term), whole group by id order by sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) desc, id limit 20
+
+
+def _bm25(terms: str, limit: int) -> str:
+    """(id, score) of the best documents."""
+    listed = ", ".join(f"'{t}'" for t in terms.split())
+    return f"""
+        with d as materialized (select doc_id as id, len(t) as n, list_filter(t, lambda x: x in ({listed})) as t from {_TOKENED}),
+        whole as (select count(*) as docs, avg(n) as mean from d), tf as (select id, n, term, count(*) as tf from (select id, n, unnest(t) as term from d) group by all),
+        df as (select term, count(*) as df from tf group by 1)
+        select id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) as score from tf join df using (term), whole group by id order by score desc, id limit {limit}
+    """
+
+
+_BM25_SQL = f"select id, round(score, 6) as score from ({_bm25('license version idiot', 20)})"
+_ONES = "list_transform(range(64), lambda i: cast(1 as double))"
+_HYBRID_SQL = f"""
+    with t as (select id, row_number() over (order by score desc, id) as r from ({_bm25("license version", 50)})),
+    v as (select vec_id as id, row_number() over (order by list_cosine_similarity(cast(embedding as double[]), {_ONES}) desc, vec_id) as r from embeddings qualify r <= 50)
+    select id, round(sum(1.0::double / (60 + r)), 6) as score from (select * from t union all select * from v) group by id order by sum(1.0::double / (60 + r)) desc, id limit 20
 """
 _PAGERANK_SQL = (
     "with e as (select n_nationkey as f, n_regionkey as t from nation), o as (select f, count(*) as k from e group by f), v as (select f as node from e union select t from e), c as (select count(*) as n from v), r0 as (select node, 1.0::double / n as rank from v, c)"
@@ -497,7 +511,7 @@ BUILDERS: dict[str, tuple[Query, str | None]] = {
         lambda spark, sf_dir: search.phrase(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "the of", 2).groupBy("id").agg(F.count("*").alias("n")),
         f"select doc_id as id, cast(len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'the' and list_contains(t[i + 1:i + 3], 'of'))) as bigint) as n from {_TOKENED} where n > 0",
     ),
-    "hybrid_search": (_hybrid, None),
+    "hybrid_search": (_hybrid, _HYBRID_SQL),
     "update_patch": (
         _mutated("Customer", "update c@c:Customer { c_mktsegment: 'PATCHED', c_acctbal: 0.0 } where c.c_nationkey == 3"),
         "select c_custkey, c_name, c_nationkey, case when c_nationkey = 3 then 0.0 else c_acctbal end as c_acctbal, case when c_nationkey = 3 then 'PATCHED' else c_mktsegment end as c_mktsegment from customer",
