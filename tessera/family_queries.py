@@ -175,6 +175,10 @@ TEXTS: dict[str, tuple[str, str]] = {
         "let spent = (select customers@c[*].{id: c.c_custkey, totals: c.places@e[*].o_totalprice} from customers@c:Customer links (customers)->[places@e:CustomerPlacesOrder]->(orders@o:Order)); select spent@s[*].{id: s.id, n: count(s.totals)} from spent",
         "select c_custkey as id, cast((select count(*) from orders where o_custkey = c_custkey) as integer) as n from customer",
     ),
+    "closure_by_steps": (
+        "select graph::transitive_closure({seed: nations@n[where n.n_nationkey == 3][*], step: |u| u.near@e[**].ends@m[*], key: |u| u.n_nationkey}).map(|u| {id: u.n_nationkey, name: u.n_name}) from nations@n:Nation links (nations)->[near@e:NationNeighbours]->(ends@m:Nation)",
+        "select n_nationkey as id, n_name as name from nation where n_regionkey = (select n_regionkey from nation where n_nationkey = 3)",
+    ),
     "open_hops": ("select nations@n[*].{id: n.n_nationkey, k: len(n.near)} from nations@n:Nation links (nations)->[near@e:NationNeighbours hops ..3]->(ends@m:Nation)", "select n_nationkey as id, cast(4 + 16 as bigint) as k from nation"),
     "merged_label": (
         "select customers@c[*].{id: c.c_custkey, n: len(c.all)} from customers@c:Customer links (customers)->[all@e:CustomerPlacesOrder]->(orders@o:Order), (customers)->[all@e2:CustomerPlacesOrder]->(orders2@o2:Order)",

@@ -1029,6 +1029,9 @@ class Compiler:
         if isinstance(target, Fn):
             return self.apply(target, [self.ev(a, env, scope) for a in node.args], scope)
         short = name.split("::")[-1]
+        if short == "transitive_closure" and node.args and isinstance(node.args[0], A.ObjectOf) and "step" in dict(node.args[0].fields):
+            config = dict(node.args[0].fields)
+            return self.closure_by(self.ev(config["seed"], env, scope), self.ev(config["step"], env, scope), self.ev(config["key"], env, scope))
         if node.args and (name.split("::")[0] in ("graph", "tree", "search") or name in ("geo::within_radius", "geo::nearest")):
             return self.table_function(name, node, env, scope)
         if name in FUNCTIONS and (name.startswith("geo::") or not (short in self.METHODS_OF_MANY and node.args and self._many(node.args[0], env, scope))):
@@ -1399,6 +1402,37 @@ class Compiler:
         out = out.select(F.struct(*out.columns).alias(col))
         return Rel(out, Val(F.col(col), out.schema[col].dataType), iterating=True)
 
+    def closure_by(self, seed: Rel, step: Fn, key: Fn) -> Rel:
+        """Elements reached from ``seed`` by any number of steps, each key once.
+
+        The elements must be of one type, whose links the step walks.  A round
+        joins the frontier with the step and removes known keys, so cycles
+        end; each frontier is written to the shared folder once."""
+        start = seed.elem
+        if not hasattr(start, "id"):
+            raise QueryError("the seed must be documents with an id")
+        col, known = fresh("c"), fresh("k")
+
+        def elements(df: DataFrame) -> Rel:
+            v = _copy(Val(F.col(col), start.type), key=F.col(col)[start.id], id=start.id, rows=start.rows)
+            v.links = {n: Link(link.label, v.key, link.make) for n, link in start.links.items()}
+            return Rel(df, v, iterating=True)
+
+        def keyed(rel: Rel) -> DataFrame:
+            rel = self.stars(rel, 1) if rel.following is not None else rel
+            rel = self.unfused(self.plain(rel))
+            row = Scope(rel.df)
+            k = self.apply(key, [rel.elem], row).col
+            return row.df.select(rel.elem.col.alias(col), k.alias(known)).dropDuplicates([known])
+
+        front = seen = cut(keyed(seed))
+        while not front.isEmpty():
+            env = self.bind(step.params[0], elements(front), dict(step.env), self.unit())
+            reached = keyed(self.ev(step.body, env, self.unit()))
+            front = cut(reached.join(seen.select(known), known, "left_anti").select(col, known))
+            seen = seen.unionAll(front)
+        return elements(seen)
+
     # -- methods of arrays and maps
     def array_method(self, node: A.Method, arr: Val, env, scope) -> Val | None:
         name, x, args = node.name, arr.col, node.args
