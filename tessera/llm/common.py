@@ -86,19 +86,6 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str, n: int, how: str = "inne
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
 
 
-def hash_sample(df: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """About nine tenths of ``limit`` rows by a hash of their columns ``by``, or all if they are no more.
-
-    A share of the hash range is kept where the rows are: unlike an ordered
-    limit, nothing meets in one task.  Rows that repeat ``by`` are kept or left
-    together, so they should be few; twice the limit is never exceeded.
-    """
-    n = df.count()
-    if n <= limit:
-        return df
-    return df.where(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < F.lit(int(0.9 * limit / n * (1 << 40)))).limit(2 * limit)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once.
 

@@ -100,6 +100,34 @@ def test_quality_model_matches_brute_force(spark, corpus, labels):
                 assert r["kept"] == (not failed[i] and score[i] >= threshold)
 
 
+def test_quality_uses_every_label(spark, monkeypatch):
+    """Model and threshold come from all of 24 000 labelled documents, whichever way labels are joined, and whatever kind of id."""
+    rng = random.Random(3)
+    text = {i - 500: " ".join(f"{'junk' if i % 7 == 0 and rng.random() < 0.5 else 'w'}{int(rng.expovariate(0.01))}" for _ in range(50 + i % 3)) for i in range(24_000)}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(4)
+    labels = docs.select("doc_id", F.when(F.pmod("doc_id", F.lit(7)) == (-500) % 7, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    weight, threshold, _, _, kept = quality_by_hand(text, {i: (i + 500) % 7 != 0 for i in text})
+    assert quality.trusted_sample(labels).count() == len(text)
+    named = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    for d, lab, blocks in ((docs, labels, quality.BLOCKS), (docs, labels, 0), (named(docs), named(labels), quality.BLOCKS), (docs.withColumn("doc_id", F.col("doc_id").cast("int")), labels, 0)):
+        monkeypatch.setattr(quality, "BLOCKS", blocks)
+        weights, got = quality.llr_model(d, quality.trusted_sample(lab))
+        assert np.allclose(weights, weight, atol=1e-6) and got == pytest.approx(threshold, abs=1e-5)
+    assert 0 < sum(kept.values()) < len(text)
+
+
+def test_quality_percentiles(spark):
+    """Exact, as F.percentile has them, also with many ties and groups of one."""
+    rng = random.Random(4)
+    rows = [(True, rng.choice([-0.5, rng.random()])) for _ in range(3001)] + [(False, 0.25)]
+    df = spark.createDataFrame(rows, "trusted boolean, score double").repartition(3)
+    shares = [0.0, 0.005, 0.37, 0.95, 1.0]
+    want = {r["trusted"]: r["p"] for r in df.groupBy("trusted").agg(F.percentile("score", F.array(*map(F.lit, shares))).alias("p")).collect()}
+    got = quality._percentiles(df, shares)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert quality._percentiles(df.limit(0), shares) == {}
+
+
 def test_quality_separates(spark):
     good = [(i, " ".join(f"clean{(i * 7 + j * 3) % 40}" for j in range(80))) for i in range(40)]
     bad = [(100 + i, " ".join(f"junk{(i * 5 + j * 7) % 60}***" for j in range(80))) for i in range(20)]
