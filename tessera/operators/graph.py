@@ -171,7 +171,47 @@ def ancestors(tree: DataFrame, node) -> DataFrame:
 
 def descendants(tree: DataFrame, node) -> DataFrame:
     """(id, level) downward; children are level 1."""
-    return _levels(tree, node, up=False)
+    links = cut(tree.where("id is not null and parent is not null").select("id", F.col("parent").alias("up"), F.lit(0).alias("w")))
+    if not _single(links):
+        return _levels(tree, node, up=False)
+    found = _climb(links.where(F.col("id") != node)).where(F.col("up") == node).select("id", "level")
+    _apart(found, links, node)
+    return found
+
+
+def _single(links: DataFrame) -> bool:
+    """Whether no node has two rows; with two, walks are followed one by one."""
+    return links.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def _apart(found: DataFrame, links: DataFrame, node) -> None:
+    """An error if the node's own parent is among what was found below it."""
+    own = links.where(F.col("id") == node).select("up").first()
+    if own is not None and (own["up"] == node or not found.where(F.col("id") == own["up"]).isEmpty()):
+        raise ValueError("the parents have a cycle")
+
+
+def _climb(rows: DataFrame, below: bool = False) -> DataFrame:
+    """Rows (id, up, w, ...) with the top of each node as ``up`` and its ``level`` under it.
+
+    ``w`` becomes its sum on the way up, the top left out, or with ``below`` over
+    the node and all below it.  Pointers double, so there is a round for each
+    binary digit of the depth, over all rows.  What still moves after as many
+    rounds as their number has digits is on a cycle or below one, and left out.
+    """
+    rest = [c for c in rows.columns if c not in ("id", "up", "w")]
+    now, span = cut(rows.withColumns({"level": F.lit(1), "live": F.lit(True)})), 1
+    n = now.count()
+    while span <= n and not now.where("live").isEmpty():
+        live, far = now.where("live"), now.select(*(F.col(c).alias(f"far_{c}") for c in ("id", "up", "w", "level", "live")))
+        w = F.col("w") if below else F.col("w") + F.coalesce("far_w", F.lit(0))
+        moved = live.join(far, F.col("up") == F.col("far_id"), "left").select("id", F.coalesce("far_up", "up").alias("up"), w.alias("w"), *rest, (F.col("level") + F.coalesce("far_level", F.lit(0))).alias("level"), F.coalesce("far_live", F.lit(False)).alias("live"))
+        nxt = moved.unionByName(now.where("not live"))
+        if below:  # those that moved point at the node 2^k above, which has counted what is nearer
+            more = live.groupBy(F.col("up").alias("far_id")).agg(F.sum("w").alias("far_w"))
+            nxt = nxt.join(more, F.col("id") == F.col("far_id"), "left").withColumn("w", F.col("w") + F.coalesce("far_w", F.lit(0))).drop("far_id", "far_w")
+        now, span = cut(nxt), 2 * span
+    return now.where("not live").drop("live")
 
 
 def _levels(tree: DataFrame, node, up: bool) -> DataFrame:

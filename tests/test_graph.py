@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from tessera.operators import graph, search
+from tessera.operators.shared import cut
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +53,34 @@ def test_tree(spark):
     assert ids(graph.lowest_common_ancestor(tree, 4, 6)) == [1]
 
 
+def test_rounds_do_not_grow_from_each_other(spark):
+    tree = spark.range(64).selectExpr("id", "case when id > 1 then id div 2 end as parent")
+    steps, front, sizes = tree.where("parent is not null").selectExpr("id as b", "parent as a"), tree.where("id = 1").select("id"), []
+    for _ in range(5):
+        front = cut(front.join(steps, front["id"] == steps["a"]).select(steps["b"].alias("id")))
+        sizes.append(front._jdf.queryExecution().optimizedPlan().constraints().size())
+    assert front.count() == 32
+    assert sizes == [0] * 5
+
+
+@pytest.mark.parametrize("rows", [[(1, 3), (2, 1), (3, 2)], [(1, 1), (2, 1)]])
+def test_cycle_in_a_tree_is_an_error(spark, rows):
+    tree = spark.createDataFrame(rows, "id int, parent int")
+    for f in (graph.descendants, graph.preorder):
+        with pytest.raises(ValueError, match="cycle"):
+            f(tree, 1)
+
+
+def test_repeated_rows_and_other_trees(spark):
+    ids = lambda df: [r["id"] for r in df.collect()]
+    twice = spark.createDataFrame([(1, None), (2, 1), (2, 1), (3, 2), (5, 1)], "id int, parent int")
+    assert ids(graph.preorder(twice, 1)) == [1, 2, 2, 3, 3, 5]
+    apart = spark.createDataFrame([(1, None), (2, 1), (7, None), (8, 7), (20, 21), (21, 20), (None, 1)], "id int, parent int")
+    assert ids(graph.preorder(apart, 1)) == [1, None, 2]
+    assert pairs(graph.descendants(apart, 7)) == [(8, 1)]
+    assert ids(graph.postorder(apart, 99)) == []
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "red fox jumps"), (2, "the red old fox"), (3, "blue sea")], "id int, text string")
     assert [r["id"] for r in search.full_text(docs, "id", "text", "red fox").collect()] == [1, 2]
