@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.positions import sums_before
 from tessera.operators.shared import cut
 
 
@@ -248,6 +249,28 @@ def lowest_common_ancestor(tree: DataFrame, a, b) -> DataFrame:
     return own(a).join(own(b).withColumnRenamed("level", "other"), "id").orderBy("level", "other").limit(1).select("id")
 
 
+def _placed(tree: DataFrame, root) -> DataFrame | None:
+    """(id, level, pre, size) of a subtree: place in preorder and number of nodes;
+    the root's size is left at 0.  None where a node has two rows.
+
+    A node comes after its parent and what is below earlier siblings, so its
+    place is the sum of such offsets on its way up.
+    """
+    links = cut(tree.where("parent is not null").select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("w")))
+    top = cut(tree.where(F.col("id") == root).select("id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("pre"), F.lit(0).cast("long").alias("size")))
+    tops = top.count()
+    if tops == 0:
+        return top
+    if tops > 1 or not _single(links):
+        return None
+    below = _climb(links.where(~F.col("id").eqNullSafe(F.lit(root))).withColumn("parent", F.col("up")), below=True).where(F.col("up") == root)
+    _apart(below, links, root)
+    placed = cut(sums_before(below.select("id", "parent", F.col("w").alias("size")), [F.col("parent"), F.col("id")], "size", "before"))
+    first = placed.groupBy(F.col("parent").alias("up")).agg(F.min("before").alias("first"))
+    offsets = placed.join(first, F.col("parent") == F.col("up")).select("id", "up", (F.col("before") - F.col("first") + 1).alias("w"), "size")
+    return top.unionByName(_climb(offsets).select("id", "level", F.col("w").alias("pre"), "size"))
+
+
 def _paths(tree: DataFrame, root) -> DataFrame:
     """(id, level, path) of a subtree; paths are arrays of ids from the root."""
     steps = tree.where("parent is not null").select(F.col("id").alias("__b"), F.col("parent").alias("__a"))
@@ -264,15 +287,21 @@ def _paths(tree: DataFrame, root) -> DataFrame:
 
 
 def preorder(tree: DataFrame, root) -> DataFrame:
-    return _paths(tree, root).orderBy("path").select("id", "level")
+    placed = _placed(tree, root)
+    rows = placed.orderBy("pre") if placed is not None else _paths(tree, root).orderBy("path")
+    return rows.select("id", "level")
 
 
 def postorder(tree: DataFrame, root) -> DataFrame:
-    """Children first: a node's path sorts after those it begins."""
-    paths = _paths(tree, root)
+    """Children first: a node comes after all below it and before its ancestors."""
+    placed = _placed(tree, root)
+    if placed is not None:
+        return placed.orderBy(F.col("level") == 0, F.col("pre") + F.col("size") - F.col("level")).select("id", "level")
     last = F.array_append(F.transform("path", lambda x: F.struct(F.lit(0).alias("end"), x.alias("id"))), F.struct(F.lit(1).alias("end"), F.lit(None).cast(dict(tree.dtypes)["id"]).alias("id")))
-    return paths.orderBy(last).select("id", "level")
+    return _paths(tree, root).orderBy(last).select("id", "level")
 
 
 def level_order(tree: DataFrame, root) -> DataFrame:
-    return _paths(tree, root).orderBy("level", "path").select("id", "level")
+    placed = _placed(tree, root)
+    rows = placed.orderBy("level", "pre") if placed is not None else _paths(tree, root).orderBy("level", "path")
+    return rows.select("id", "level")

@@ -23,6 +23,17 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return marked.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
 
 
+def sums_before(df: DataFrame, order: list[Column], weight: str, name: str) -> DataFrame:
+    """Adds the sum of ``weight`` (long) over the rows before each one in ``order``, as ``numbered`` adds their number."""
+    rows = cut(df.orderBy(*order))
+    marked = rows.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy("__part").agg(F.sum(weight).alias("__n"))
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before(Window.orderBy("__part"))), F.lit(0)).alias("__start"))
+    own = F.coalesce(F.sum(weight).over(before(Window.partitionBy("__part").orderBy("__at"))), F.lit(0))
+    return marked.withColumn("__own", own).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__own")).drop("__part", "__at", "__own", "__start")
+
+
 def ranks(df: DataFrame, order: list[tuple[Column, bool]], keys: list[str], position: str, rank: str, dense: str) -> DataFrame:
     """Adds rank and dense rank (from 1) by ``keys`` to numbered rows.
 

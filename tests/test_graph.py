@@ -63,6 +63,21 @@ def test_rounds_do_not_grow_from_each_other(spark):
     assert sizes == [0] * 5
 
 
+def test_deep_tree_takes_few_rounds(spark, monkeypatch):
+    """A path of 50 nodes with a leaf on each: rounds go with the digits of the depth."""
+    n, rounds = 50, []
+    tree = spark.range(1, 2 * n + 1).selectExpr("id", f"case when id > {n} then id - {n} when id > 1 then id - 1 end as parent")
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
+    down = [(i, i - 1) for i in range(1, n + 1)]
+    up = [(n + i, i) for i in range(n, 0, -1)]
+    got = {f: [tuple(r) for r in getattr(graph, f)(tree, 1).collect()] for f in ("preorder", "postorder", "level_order", "descendants")}
+    assert got["preorder"] == down + up
+    assert got["postorder"] == [x for i in range(n, 0, -1) for x in ((n + i, i), (i, i - 1))]
+    assert got["level_order"] == [(1, 0)] + [x for i in range(1, n) for x in ((i + 1, i), (n + i, i))] + [(2 * n, n)]
+    assert sorted(got["descendants"]) == sorted((down + up)[1:])
+    assert len(rounds) < 100
+
+
 @pytest.mark.parametrize("rows", [[(1, 3), (2, 1), (3, 2)], [(1, 1), (2, 1)]])
 def test_cycle_in_a_tree_is_an_error(spark, rows):
     tree = spark.createDataFrame(rows, "id int, parent int")
