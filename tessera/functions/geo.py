@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import bound
+
 #: Mean radius of the Earth in metres (fixed value).
 EARTH = 6_371_008.8
 
@@ -20,13 +22,16 @@ def bbox(west: Column, south: Column, east: Column, north: Column) -> Column:
 
 
 def bounding_box(ring: Column) -> Column:
-    lon, lat = F.transform(ring, lambda p: p["lon"]), F.transform(ring, lambda p: p["lat"])
-    return bbox(F.array_min(lon), F.array_min(lat), F.array_max(lon), F.array_max(lat))
+    def of(r: Column) -> Column:
+        lon, lat = F.transform(r, lambda p: p["lon"]), F.transform(r, lambda p: p["lat"])
+        return bbox(F.array_min(lon), F.array_min(lat), F.array_max(lon), F.array_max(lat))
+
+    return bound(ring, of)
 
 
 def _edges(ring: Column) -> Column:
     """Pairs of neighbouring points of a closed ring."""
-    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, F.pmod(i + 1, F.size(ring))).alias("b")))
+    return bound(ring, lambda r: F.transform(r, lambda p, i: F.struct(p.alias("a"), F.get(r, F.pmod(i + 1, F.size(r))).alias("b"))))
 
 
 def _cross(e: Column) -> Column:
@@ -39,11 +44,15 @@ def area(ring: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """Of the area; of a degenerate ring, the mean of its points."""
-    twice = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + _cross(e))
-    x = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["lon"] + e["b"]["lon"]) * _cross(e))
-    y = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["a"]["lat"] + e["b"]["lat"]) * _cross(e))
-    mean = lambda f: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[f]) / F.size(ring)
-    return F.when(twice != 0, point(x / (3 * twice), y / (3 * twice))).otherwise(point(mean("lon"), mean("lat")))
+
+    def of(r: Column) -> Column:
+        total = lambda edges, f: F.aggregate(edges, F.lit(0.0), lambda s, e: s + f(e))
+        both = lambda f: lambda e: (e["a"][f] + e["b"][f]) * _cross(e)
+        sums = bound(_edges(r), lambda e: F.struct(total(e, _cross).alias("twice"), total(e, both("lon")).alias("x"), total(e, both("lat")).alias("y")))
+        mean = lambda f: F.aggregate(r, F.lit(0.0), lambda s, p: s + p[f]) / F.size(r)
+        return bound(sums, lambda t: F.when(t["twice"] != 0, point(t["x"] / (3 * t["twice"]), t["y"] / (3 * t["twice"]))).otherwise(point(mean("lon"), mean("lat"))))
+
+    return bound(ring, of)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -51,7 +60,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def length(line: Column) -> Column:
-    steps = F.transform(F.slice(line, 2, F.greatest(F.size(line), F.lit(1))), lambda p, i: distance(F.get(line, i), p))
+    steps = bound(line, lambda r: F.transform(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), lambda p, i: distance(F.get(r, i), p)))
     return F.aggregate(steps, F.lit(0.0), lambda s, d: s + d)
 
 
@@ -63,37 +72,58 @@ def haversine(a: Column, b: Column) -> Column:
 
 
 def box_contains(box: Column, p: Column) -> Column:
+    return bound(F.struct(box.alias("box"), p.alias("p")), lambda x: _box_contains(x["box"], x["p"]))
+
+
+def _box_contains(box: Column, p: Column) -> Column:
     return p["lon"].between(box["west"], box["east"]) & p["lat"].between(box["south"], box["north"])
 
 
 def ring_contains(ring: Column, p: Column) -> Column:
     """Ray casting; points on an edge may fall on either side."""
 
-    def crosses(e: Column) -> Column:
+    def crosses(e: Column, p: Column) -> Column:
         a, b = e["a"], e["b"]
         spans = (a["lat"] > p["lat"]) != (b["lat"] > p["lat"])
         return F.when(spans, p["lon"] < (b["lon"] - a["lon"]) * (p["lat"] - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]).otherwise(F.lit(False))
 
-    return F.pmod(F.size(F.filter(_edges(ring), crosses)), F.lit(2)) == 1
+    return bound(p, lambda q: F.pmod(F.size(F.filter(_edges(ring), lambda e: crosses(e, q))), F.lit(2)) == 1)
 
 
-def box_intersects(a: Column, b: Column) -> Column:
+def _boxes(a: Column, b: Column, body) -> Column:
+    """``body`` of two boxes that are each evaluated once."""
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda x: body(x["a"], x["b"]))
+
+
+def _intersects(a: Column, b: Column) -> Column:
     return (a["west"] <= b["east"]) & (b["west"] <= a["east"]) & (a["south"] <= b["north"]) & (b["south"] <= a["north"])
 
 
-def box_overlaps(a: Column, b: Column) -> Column:
+def _overlaps(a: Column, b: Column) -> Column:
     return (a["west"] < b["east"]) & (b["west"] < a["east"]) & (a["south"] < b["north"]) & (b["south"] < a["north"])
 
 
+def box_intersects(a: Column, b: Column) -> Column:
+    return _boxes(a, b, _intersects)
+
+
+def box_overlaps(a: Column, b: Column) -> Column:
+    return _boxes(a, b, _overlaps)
+
+
 def box_touches(a: Column, b: Column) -> Column:
-    return box_intersects(a, b) & ~box_overlaps(a, b)
+    return _boxes(a, b, lambda x, y: _intersects(x, y) & ~_overlaps(x, y))
 
 
 def covering_cells(box: Column, size: float) -> Column:
     """Cells of a lon/lat grid that a box meets, as column:row."""
     cell = lambda v: F.floor(v / size).cast("int")
-    cols, rows = F.sequence(cell(box["west"]), cell(box["east"])), F.sequence(cell(box["south"]), cell(box["north"]))
-    return F.flatten(F.transform(cols, lambda c: F.transform(rows, lambda r: F.concat_ws(":", c.cast("string"), r.cast("string")))))
+
+    def of(b: Column) -> Column:
+        rows = F.sequence(cell(b["south"]), cell(b["north"]))
+        return F.flatten(F.transform(F.sequence(cell(b["west"]), cell(b["east"])), lambda c: F.transform(rows, lambda r: F.concat_ws(":", c.cast("string"), r.cast("string")))))
+
+    return bound(box, of)
 
 
 def tile_bounds(z: Column, x: Column, y: Column) -> Column:
@@ -110,8 +140,11 @@ def simplify(line: Column, tolerance: float) -> Column:
     def step(kept: Column, p: Column) -> Column:
         return F.when(F.size(kept) == 0, F.array(p)).when(distance(F.try_element_at(kept, F.lit(-1)), p) >= tolerance, F.array_append(kept, p)).otherwise(kept)
 
-    inner = F.aggregate(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, 1, 0), step)
-    return F.when(F.size(line) > 1, F.array_append(inner, F.try_element_at(line, F.lit(-1)))).otherwise(line)
+    def of(r: Column) -> Column:
+        inner = F.aggregate(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 0), step)
+        return F.when(F.size(r) > 1, F.array_append(inner, F.try_element_at(r, F.lit(-1)))).otherwise(r)
+
+    return bound(line, of)
 
 
 def transform(p: Column, crs: str) -> Column:

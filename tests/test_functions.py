@@ -101,3 +101,14 @@ def test_geo(one):
 
 def test_vectors(one):
     assert one(V.cosine(arr(1.0, 0.0), arr(1.0, 1.0))) == pytest.approx(0.7071, abs=1e-4)
+
+
+def test_a_ring_is_evaluated_once(spark):
+    """What a geometry is computed from stands once in the plan, also where it is itself computed."""
+    ring = F.array(*(G.point(F.col("id") * x, F.lit(y)) for x, y in ((0, 0), (1, 0), (1, 4), (0, 4))))
+    box = G.bounding_box(ring)
+    shapes = [G.area(ring), G.centroid(ring)["lon"], G.length(ring), G.box_touches(box, G.bbox(*(F.lit(v) for v in (2, 0, 9, 3)))), F.size(G.covering_cells(box, 2.0)), F.size(G.simplify(ring, 1.0))]
+    for shape in shapes:
+        plan = spark.range(2, 3).select(shape.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("(id#") == 2, plan
+    assert list(spark.range(2, 3).select(*(s.alias(str(i)) for i, s in enumerate(shapes))).first()) == [8.0, 1.0, 8.0, True, 6, 4]
